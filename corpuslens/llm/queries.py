@@ -28,3 +28,20 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.bounded_batches(spark)
     coded = encode_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every page's URL; built-in expressions only."""
+    from corpuslens.llm.url_filter import judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _op2_sql() -> str:
+    from corpuslens.llm.url_filter import sql
+
+    return sql()
+
+
+ORACLE["op2_url_filter"] = _op2_sql()
