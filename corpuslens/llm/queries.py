@@ -45,3 +45,32 @@ def _op2_sql() -> str:
 
 
 ORACLE["op2_url_filter"] = _op2_sql()
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every text's ids to token files in the shared folder and reads them back."""
+    import public_tokenizers
+
+    from corpuslens.llm import token_files
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    docs, path = common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")
+    out = common.shared_path(spark, "token-files")
+    dictionary = token_files.train_dictionary(docs, path)
+    token_files.write(docs, out, path, dictionary)
+    return token_files.read(spark, out, dictionary).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores every text as lossless WebP, reads it back, and gives digests and features."""
+    from corpuslens.llm.media import store_media
+
+    common.bounded_batches(spark)
+    kept = store_media(common.documents(spark, sf_dir))
+    tail = F.expr("substring(payload, greatest(octet_length(payload) - 15, 1), 16)")
+    return kept.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
