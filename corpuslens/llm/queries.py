@@ -74,3 +74,12 @@ def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
     )
+
+
+@query
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints every text, its edited form and the next document's text."""
+    from corpuslens.llm.merkle import compare_with_edits
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return compare_with_edits(common.documents(spark, sf_dir))
