@@ -83,3 +83,12 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return compare_with_edits(common.documents(spark, sf_dir))
+
+
+@query
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on sets of four-word shingles."""
+    from corpuslens.llm.minhash import near_duplicates
+
+    common.bounded_batches(spark)
+    return near_duplicates(common.documents(spark, sf_dir))
