@@ -92,3 +92,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     common.bounded_batches(spark)
     return near_duplicates(common.documents(spark, sf_dir))
+
+
+@query
+def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents into bins without two of a source or of a duplicate cluster."""
+    from corpuslens.llm.packing import pack
+
+    return pack(common.documents(spark, sf_dir))
