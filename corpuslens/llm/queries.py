@@ -100,3 +100,15 @@ def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuslens.llm.packing import pack
 
     return pack(common.documents(spark, sf_dir))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trains on the labelled rows outside fold 0 and scores every document."""
+    from corpuslens.llm import toxicity
+
+    common.bounded_batches(spark)
+    docs = common.documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (common.fold_of("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
