@@ -112,3 +112,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score_documents(docs, model)
     return scored.select("doc_id", (common.fold_of("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trains on the rows outside fold 0 and predicts every document's language."""
+    from corpuslens.llm import langid
+
+    common.bounded_batches(spark)
+    docs = common.documents(spark, sf_dir)
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", (common.fold_of("doc_id") == 0).alias("held_out"), "lang_pred", "score")
