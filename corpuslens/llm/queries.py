@@ -123,3 +123,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     found = langid.identify(docs, langid.train(docs))
     return found.select("doc_id", (common.fold_of("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds secrets in every document: base rules, and what the network adds."""
+    from corpuslens.llm.secret_scan import scan_documents
+
+    common.bounded_batches(spark)
+    found = scan_documents(common.documents(spark, sf_dir))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("found").alias("spans"), "n_model")
