@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed_counts(events: DataFrame, ts: str = "ts", group: str = "event_type", window: str = "1 day", late: str = "2 days") -> DataFrame:
     """Rows (start, grp, n, total): events and their value in each window; works on streams and on tables."""
-    marked = events.withWatermark(ts, late) if events.isStreaming else events
+    marked = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
     out = marked.groupBy(F.window(ts, window), F.col(group).alias("grp")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("start"), "grp", "n", "total")
 
