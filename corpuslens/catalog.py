@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import ACCENTED, BARE, PIECE, metadata_words, strip_tags
-from corpuslens.operators import autocomplete, collocation, context, load, metadata, reports
+from corpuslens.operators import autocomplete, collocation, context, load, metadata, objects, reports
 from corpuslens.operators import search as s
 from corpuslens.sources import markup, plain_text
 from corpuslens.store import Corpus, corpus
@@ -591,3 +591,79 @@ def line_of_byte(spark, sf_dir):
 def event_windows(spark, sf_dir):
     """The streaming report on the table at rest."""
     return windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("total", F.round("total", 4))
+
+
+# Lookups
+
+
+@query("@WITH p AS (SELECT doc, para, max(start) AS e FROM words GROUP BY ALL), h AS (SELECT doc, start FROM words WHERE norm = 'of') SELECT h.doc AS doc, start, min_by(para, e) AS page FROM h LEFT JOIN p ON p.doc = h.doc AND p.e >= h.start GROUP BY ALL")
+def first_page_of_object(spark, sf_dir):
+    c = _c(spark, sf_dir)
+    pages = c.words.groupBy("doc", F.col("para").alias("n")).agg(F.max("start").alias("end_byte"))
+    return objects.first_page(s.search(c.words, "of").select("doc", F.col("starts")[0].alias("start")), pages)
+
+
+@query("@SELECT source, doc, start FROM words JOIN docs USING (doc) WHERE norm = 'with' ORDER BY coalesce(source, 'ZZZZZ'), doc, start LIMIT 50")
+def hits_by_metadata(spark, sf_dir):
+    c = _c(spark, sf_dir)
+    return objects.sort_hits(s.search(c.words, "with"), c.docs, ["source"], limit=50).select("source", "doc", F.col("starts")[0].alias("start"))
+
+
+@query("@SELECT doc, para, count(*) AS word_count FROM words WHERE doc = 1 OR doc = 2 AND para = 1 GROUP BY ALL")
+def objects_by_id(spark, sf_dir):
+    return objects.by_ids(_c(spark, sf_dir).paras, [(1,), (2, 1, 1, 1, 1)], ("doc", "div1", "div2", "div3", "para")).select("doc", "para", "word_count")
+
+
+@query(f"WITH {HEADS} SELECT doc, min_by(head, n) AS first, max_by(head, n) AS last, count(*) AS n FROM h GROUP BY doc")
+def landing_bibliography(spark, sf_dir):
+    return objects.first_and_last(markup.headings(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html"), "head", "n")
+
+
+@query("SELECT doc_id AS doc, source, lang FROM documents WHERE source = 'src1'")
+def landing_by_value(spark, sf_dir):
+    return metadata.select_objects(_c(spark, sf_dir).docs, {"source": '"src1"'}).select("doc", "source", "lang")
+
+
+@query(GROUPED.format(f="lang") + " SELECT token, n FROM g WHERE grp = 'en'")
+def collocate_distribution(spark, sf_dir):
+    c = _c(spark, sf_dir)
+    return collocation.by_group(_hits(spark, sf_dir), c.words, c.docs, "lang", 5).where("grp = 'en'").select("token", "n")
+
+
+@query("@SELECT CAST(sum(word_count) AS BIGINT) AS words FROM docs WHERE lang = 'fr'")
+def total_words(spark, sf_dir):
+    return metadata.select_objects(_c(spark, sf_dir).docs, {"lang": '"fr"'}).agg(F.sum("word_count").alias("words"))
+
+
+@query("@SELECT doc, token, count(*) AS n FROM words GROUP BY ALL")
+def object_word_frequencies(spark, sf_dir):
+    return load.object_frequencies(_c(spark, sf_dir).words)
+
+
+def _rich(spark, sf_dir) -> DataFrame:
+    """Words with a lemma (the form without a final s) and an attribute."""
+    words = _c(spark, sf_dir).words
+    lemmas = words.where("token LIKE '%s'").select(F.col("token").alias("word"), F.regexp_replace("token", "s$", "").alias("lemma")).distinct()
+    return load.lemmatised(words, lemmas).withColumn("attrs", F.when(F.length("token") > 5, F.create_map(F.lit("size"), F.lit("long"))).otherwise(F.create_map().cast("map<string,string>")))
+
+
+@query("@" + _one("regexp_replace(token, 's$', '') = 'the'"))
+def lemma_terms(spark, sf_dir):
+    return _flat(s.search(_rich(spark, sf_dir), "lemma:the"))
+
+
+@query("@" + _one("starts_with(token, 'th') AND length(token) > 5"))
+def attribute_terms(spark, sf_dir):
+    return _flat(s.search(_rich(spark, sf_dir), "th.*:size:long"))
+
+
+@query("@SELECT CASE WHEN length(token) > 5 THEN 'long' ELSE 'NULL' END AS value, count(*) AS n FROM words WHERE starts_with(norm, 'th') GROUP BY 1")
+def word_property_counts(spark, sf_dir):
+    rich = _rich(spark, sf_dir)
+    return collocation.property_counts(s.search(rich, "th.*"), rich, "size")
+
+
+@query("@WITH near AS (SELECT y.token AS token FROM words x JOIN words y USING (doc, para, sent) WHERE x.norm = 'the' AND x.pos <> y.pos AND length(y.token) > 5) SELECT token || ':size:long' AS token, count(*) AS n FROM near GROUP BY 1")
+def collocates_by_attribute(spark, sf_dir):
+    rich = _rich(spark, sf_dir)
+    return collocation.around(s.search(rich, "the"), rich, attribute=("size", "long")).groupBy("token").agg(F.count("*").alias("n"))

@@ -67,3 +67,17 @@ def apply_filters(table: DataFrame, filters) -> DataFrame:
     for f in filters:
         table = f(table)
     return table
+
+
+def transformed(words: DataFrame, fn) -> DataFrame:
+    """Words whose token is a function of it, given as a function of a column (or of a pandas UDF); norm follows."""
+    from corpuslens.functions.text import fold
+
+    return words.withColumn("token", fn(F.col("token"))).withColumn("norm", fold(F.col("token")))
+
+
+def object_frequencies(words: DataFrame, level: str = "doc") -> DataFrame:
+    """Rows (keys, token, n) of each object of a level."""
+    from corpuslens.schema import keys_of
+
+    return words.groupBy(*keys_of(level), "token").agg(F.count("*").alias("n"))

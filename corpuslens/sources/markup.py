@@ -146,7 +146,7 @@ def _tag(s: State, name: str, closing: bool, attrs: dict, text: str, m: re.Match
 def _text(s: State, chunk: str, at: int) -> Iterator[dict]:
     if not LETTER.search(chunk) and not chunk.strip():
         return
-    pieces = list(PIECE.finditer(chunk.replace("­", "­")))
+    pieces = list(PIECE.finditer(chunk))
     for k, m in enumerate(pieces):
         raw = m[0]
         if LETTER.search(raw):
@@ -192,6 +192,13 @@ def words_of(rows: DataFrame) -> DataFrame:
 # Views that need no parser: built-in expressions over the markup.
 
 
+def cleaned(c: Column) -> Column:
+    """Markup before parsing: carriage returns and line ends as blanks, words joined over soft hyphens, abbreviations expanded."""
+    joined = F.regexp_replace(c, "(?:\u00ad|&shy;)\\s*", "")
+    plain = F.regexp_replace(joined, r"[\r\n]", " ")
+    return F.regexp_replace(plain, r"<abbr[^>]*expan=\"([^\"]*)\"[^>]*>[^<]*</abbr>", "$1")
+
+
 def headings(df: DataFrame, doc: str, markup: str) -> DataFrame:
     """Rows (doc, n, depth, head) of h1 to h3, in order from 1."""
     found = F.regexp_extract_all(F.col(markup), F.lit(r"(?s)<h[1-3][^>]*>.*?</h[1-3]>"), F.lit(0))
