@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from corpuslens.functions.text import metadata_words
 from corpuslens.sources import plain_text
 
-#: Metadata of document objects in the driver's tables, with their types.
-DOC_FIELDS = ("lang", "source", "n_chars", "quality", "toxic")
+
+def clustered(words: DataFrame) -> DataFrame:
+    """Words range-partitioned by norm and document, so that posting scans read few files and row groups, and frequent words are split."""
+    return words.repartitionByRange("norm", "doc").sortWithinPartitions("norm", "doc", "start")
 
 
 @dataclass
@@ -42,8 +44,8 @@ class Corpus:
         return values.select("field", F.explode(metadata_words(F.col("value"))).alias("word"), "value")
 
     def save(self, path: str) -> None:
-        """Words range-partitioned by norm, so that posting scans read few files and row groups."""
-        self.words.repartitionByRange("norm", "doc").sortWithinPartitions("norm", "doc", "start").write.parquet(f"{path}/words")
+        """Writes the tables as Parquet."""
+        clustered(self.words).write.parquet(f"{path}/words")
         self.docs.write.parquet(f"{path}/docs")
         self.texts.write.parquet(f"{path}/texts")
 
@@ -61,28 +63,36 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
 
 
+def with_word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
+    counts = words.groupBy("doc").agg(F.count("*").alias("word_count"))
+    return docs.join(counts, "doc", "left").withColumn("word_count", F.coalesce("word_count", F.lit(0)))
+
+
+def plain_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their fields; labels are metadata with gaps."""
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    return documents.select(F.col("doc_id").alias("doc"), "lang", "source", "n_chars").join(labels.withColumnRenamed("doc_id", "doc"), "doc", "left")
+
+
 def plain_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The documents table as a corpus; labels are document metadata with gaps."""
+    """The documents table as a corpus, nothing stored."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     words = plain_text.words(documents)
-    counts = words.groupBy("doc").agg(F.count("*").alias("word_count"))
-    docs = documents.select(F.col("doc_id").alias("doc"), "lang", "source", "n_chars").join(labels.withColumnRenamed("doc_id", "doc"), "doc", "left").join(counts, "doc", "left")
-    docs = docs.withColumn("word_count", F.coalesce("word_count", F.lit(0)))
-    return Corpus(words, docs, documents.select(F.col("doc_id").alias("doc"), "text"))
+    return Corpus(words, with_word_counts(plain_metadata(spark, sf_dir), words), documents.select(F.col("doc_id").alias("doc"), "text"))
 
 
 _BUILT: dict[tuple[str, str], Corpus] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The corpus of a directory; its words and docs are stored at the first use in a session."""
+    """The corpus of a directory; its words and documents are stored at the first use in a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
-        fresh, path = plain_corpus(spark, sf_dir), shared_folder(spark)
-        fresh.words.repartitionByRange("norm", "doc").sortWithinPartitions("norm", "doc", "start").write.parquet(f"{path}/words")
+        path = shared_folder(spark)
+        plain = plain_corpus(spark, sf_dir)
+        clustered(plain.words).write.parquet(f"{path}/words")
         words = spark.read.parquet(f"{path}/words")
-        docs = plain_corpus(spark, sf_dir).docs.drop("word_count").join(words.groupBy("doc").agg(F.count("*").alias("word_count")), "doc", "left").withColumn("word_count", F.coalesce("word_count", F.lit(0)))
-        docs.write.parquet(f"{path}/docs")
-        _BUILT[key] = Corpus(words, spark.read.parquet(f"{path}/docs"), fresh.texts)
+        # word counts come from the stored words, so that texts are segmented once
+        with_word_counts(plain_metadata(spark, sf_dir), words).write.parquet(f"{path}/docs")
+        _BUILT[key] = Corpus(words, spark.read.parquet(f"{path}/docs"), plain.texts)
     return _BUILT[key]
