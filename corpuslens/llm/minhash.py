@@ -14,6 +14,7 @@ Every link is confirmed on the full sets.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ COORDINATES = BANDS * ROWS
 #: Ids of candidate classes that are broadcast at most, 8 bytes each; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members of a bucket's block.
-BLOCK = 128
+BLOCK = 256
 NONE = np.uint64(2**64 - 1)
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -156,23 +157,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("v", "right"), "v").join(side("u", "left"), "u").select("u", "v", "left", "right").mapInArrow(check, "u bigint, v bigint").distinct()
 
 
-def _blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) among the members of each bucket that lie in different components.
+def _blocks(placed: DataFrame, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) among the members of each open bucket that lie in different components.
 
-    rest: (bucket, node, root, blocks).  Two blocks meet in one group of at
-    most about twice BLOCK members; a group gives a forest of links, never
-    more than its members.
+    placed: (bucket, node, root); open_: (bucket, n, main, others), the members
+    of a bucket, its largest component, and the members outside that.  Only
+    those are compared, in chunks of about BLOCK, with blocks of about BLOCK of
+    all members; so a group has at most about twice BLOCK members.  It gives a
+    forest of links, never more than its members.
     """
-    n = F.col("blocks")
-    mine = F.pmod(F.xxhash64("node"), n).cast("int")
-    dealt = rest.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)))
-    dealt = dealt.select("bucket", "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = dealt.join(sets, "node")
+    chunks, blocks = F.ceil(F.col("others") / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    seat = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("asks"))
+    asks = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: seat(place(chunks), j, True))
+    answers = F.transform(F.sequence(F.lit(0), chunks - 1), lambda i: seat(i, place(blocks), False))
+    dealt = placed.join(open_, "bucket").select("bucket", "node", "root", F.explode(F.when(F.col("root") == F.col("main"), answers).otherwise(F.concat(answers, asks))).alias("x"))
+    full = dealt.select("bucket", "node", "root", "x.i", "x.j", "x.asks").join(sets, "node")
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        nodes, roots = group["node"].tolist(), group["root"].tolist()
-        items = [np.frombuffer(x, np.uint64) for x in group["items"]]
-        order = sorted(range(len(nodes)), key=lambda k: len(items[k]))
         over: dict[int, int] = {}
 
         def top(r: int) -> int:
@@ -180,14 +182,18 @@ def _blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 r = over[r]
             return r
 
-        found = []
-        for x, a in enumerate(order):
-            for b in order[x + 1 :]:
-                if len(items[a]) * 100 < percent * len(items[b]):
-                    break
-                p, q = top(roots[a]), top(roots[b])
-                if p != q and similar(items[a], items[b], percent):
-                    found.append((nodes[a], nodes[b]))
+        def side(rows: pd.DataFrame) -> list[tuple[int, int, np.ndarray]]:
+            items = [np.frombuffer(x, np.uint64) for x in rows["items"]]
+            return sorted(zip(rows["node"].tolist(), rows["root"].tolist(), items), key=lambda r: (len(r[2]), r[0]))
+
+        answer = side(group[~group["asks"]])
+        sizes, found = [len(x) for _, _, x in answer], []
+        for u, ru, a in side(group[group["asks"]]):
+            first, last = bisect.bisect_left(sizes, -(-percent * len(a) // 100)), bisect.bisect_right(sizes, 100 * len(a) // percent)
+            for v, rv, b in answer[first:last]:
+                p, q = top(ru), top(rv)
+                if p != q and similar(a, b, percent):
+                    found.append((u, v))
                     over[max(p, q)] = min(p, q)
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
@@ -227,10 +233,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # buckets whose members beside the least lie in several components
     placed = members.where("node <> least").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     placed = stored(placed, "placed")
-    open_ = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rest = stored(placed.join(open_, "bucket"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(stored(_blocks(rest, sets, percent), "more"))
+    shares = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+    open_ = shares.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("most"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+    open_ = stored(open_.select("bucket", "n", F.col("most.root").alias("main"), (F.col("n") - F.col("most.m")).alias("others")), "open")
+    if not open_.isEmpty():
+        links = links.unionByName(stored(_blocks(placed, open_, sets, percent), "more"))
         roots = stored(components(links), "roots")
     named = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     out = all_.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
