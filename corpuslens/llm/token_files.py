@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import hashlib
 
+import re
 import struct
-import unicodedata
 
 from collections.abc import Iterable, Iterator
 
@@ -44,12 +44,15 @@ class WordEncoder:
 
     Valid for tokenizers that drop white space before they merge and whose
     normal form doesn't reach across it; probes check that, and otherwise
-    whole texts are encoded.  New words of letters are encoded many at a time,
-    one on a line, and told apart by the mark at a word's last id; where the
-    marks don't match the lines, one at a time.
+    whole texts are encoded.  Commas and stops behind a Latin letter or a
+    digit, before a blank, are runs of their own, unless the text has one behind
+    another sign.
+    New words of letters are encoded many at a time, one on a line, and told
+    apart by the mark at a word's last id; where the marks don't match the
+    lines, one at a time.
     """
 
-    STOPS = ".,;:!?"
+    _STUCK = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ÿ ][.,](?: |$)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,62 +61,56 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {c: self._each([c])[0] for c in self.STOPS}
+        self.used: set[str] = set()
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        probes = ["It's a  test.\nÀ l'été, 12,5 %", "ab cd\n\nef", "ΟΔΟΣ σ́ x"]
+        probes = ["It's a  test.\nÀ l'été, 12,5 %", "ab cd\n\nef.", "ΟΔΟΣ σ́ x, y", "3. 4.\n5"]
         self.by_word = bool(self.ends.any()) and all(self._each([p])[0] == b"".join(self._each(self._cut(p))) for p in probes)
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        return [w for w in text.replace("\n", " ").split(" ") if w]
+    @classmethod
+    def _cut(cls, text: str) -> list[str]:
+        text = text.replace("\n", " ")
+        if not cls._STUCK.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ")
+            if text[-1:] == ".":
+                text = text[:-1] + " ."
+        return text.split(" ")
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _of_letters(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(words), 500):
-            some = words[at : at + 500]
-            ids = np.frombuffer(self._each(["\n".join(some)])[0], "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some) and ends[-1] == len(ids):
-                flat, cuts = ids.tobytes(), (ends * 4).tolist()
+        groups = [words[at : at + 500] for at in range(0, len(words), 500)]
+        for some, flat in zip(groups, self._each(["\n".join(g) for g in groups])):
+            ends = np.flatnonzero(self.ends[np.frombuffer(flat, "<u4")]) + 1
+            if len(ends) == len(some) and 4 * ends[-1] == len(flat):
+                cuts = (ends * 4).tolist()
                 out += [flat[a:b] for a, b in zip([0, *cuts], cuts)]
             else:
                 out += self._each(some)
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        """Adds words to the cache."""
-        parts: dict[str, tuple[str, str]] = {}
-        others = []
-        for w in new:
-            if w.isalpha():
-                parts[w] = w, ""
-            elif w[-1] in self.STOPS and unicodedata.normalize("NFC", w[:-1]).lower().isalpha():  # no mark that would join the stop
-                parts[w] = w[:-1], w[-1]
-            else:
-                others.append(w)
-        bare = list({a for a, _ in parts.values() if a not in self.letters})
-        self.letters.update(zip(bare, self._of_letters(bare)))
-        self.words.update((w, self.letters[a] + self.letters[z] if z else self.letters[a]) for w, (a, z) in parts.items())
-        self.words.update(zip(others, self._each(others)))
-
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; null is empty."""
         if not self.by_word:
             return self._each([t or "" for t in texts])
         cut = [self._cut(t or "") for t in texts]
         words = set().union(*cut)
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            self.letters = {c: self.letters[c] for c in self.STOPS}
-            new = list(words)
-        self._learn(new)
-        return [b"".join(map(self.words.__getitem__, c)) for c in cut]
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > CACHE:  # what was used again since the last time stays
+            self.words = {w: self.words[w] for w in self.used} if len(self.used) + len(words) <= CACHE else {}
+            self.used.clear()
+            new = words.difference(self.words)
+        else:
+            self.used |= words - new
+        letters = [w for w in new if w.isalpha()]
+        self.words.update(zip(letters, self._of_letters(letters)))
+        others = [w for w in new if not w.isalpha()]
+        self.words.update(zip(others, self._each(others)))
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, c)) for c in cut]
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -168,31 +165,21 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 def write(df: DataFrame, out: str, path: str, dictionary: bytes, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes all texts and writes files in ascending id order under ``out``.
 
-    Null ids come first; rows of the same id are ordered by their frames.
-    Texts are encoded and compressed where they are read; only frames are
-    moved, range-partitioned by id and sorted within their partitions.  Rows of
+    Null ids come first; rows of the same id are ordered by text.  Texts are
+    range-partitioned by id, sorted within their partitions, and encoded and
+    compressed there, once.  Rows of
     ``out``: part and file (their order), first_start (ids before the file in
     its part), n_docs, n_tokens, blob (the file).
     """
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
-    def make():
-        encoder, press = load_encoder(path), compressor(dictionary).compress
-
-        def run(part: dict[str, list]) -> dict[str, list]:
-            ids = [x + end for x in encoder.encode(part["text"])]
-            packed = [narrow(x) for x in ids]
-            return {"doc_id": part["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "width": [w for _, w in packed], "frame": [press(x) for x, _ in packed]}
-
-        return run
-
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    frames = map_slices(texts, make, "doc_id bigint, n_tokens bigint, width int, frame binary")
     digest = hashlib.sha256(dictionary).digest()
     schema = "part int, file int, first_start bigint, n_docs bigint, n_tokens bigint, blob binary"
     arrow = to_arrow(schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, press = load_encoder(path), compressor(dictionary).compress
         part, file, start = TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
         size = 0
@@ -206,17 +193,20 @@ def write(df: DataFrame, out: str, path: str, dictionary: bytes, end_id: int | N
             return out
 
         for batch in batches:
-            for piece in slices(batch, "frame"):
-                for h in zip(*(piece.column(i).to_pylist() for i in range(4))):
+            for piece in slices(batch, "text"):
+                for doc_id, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist())):
+                    packed, width = narrow(ids + end)
+                    frame = press(packed)
                     # a file has ids of one width
-                    if held and (size + len(h[3]) > FILE_BYTES or len(held) >= FILE_DOCS or held[0][2] != h[2]):
+                    if held and (size + len(frame) > FILE_BYTES or len(held) >= FILE_DOCS or held[0][2] != width):
                         yield row()
-                    held.append(h)
-                    size += len(h[3])
+                    held.append((doc_id, len(packed) // width, width, frame))
+                    size += len(frame)
         if held:
             yield row()
 
-    ordered = frames.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
+    # texts are ordered before they are encoded: the sampling of the range partitioning then reads, but doesn't encode
+    ordered = texts.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     ordered.mapInArrow(pack, schema).write.option("compression", "none").parquet(out)
 
 
