@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm import common, langid, minhash, packing, secret_scan, toxicity
 
 #: A document goes if its toxicity is at least this, or its language is less certain than that.
-TOXIC, CERTAIN = 0.5, 0.5
+TOXIC, CERTAIN = 0.5, 0.34
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
