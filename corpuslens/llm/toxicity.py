@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import fold_of, map_slices, slices, stored, to_arrow
 
 #: Labelled training rows at most, chosen by a hash of the id.
-SAMPLE = 40_000
+SAMPLE = 20_000
 #: Words and beginnings that the classifier knows at most.
 FEATURES = 4000
 #: Documents of the sample that must have a feature.
@@ -242,11 +242,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     out.append(sorted(number[f] for f in levels_of(counts, len(words))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, arrow.field(1).type), part.column(2).cast(arrow.field(2).type)], schema=arrow)
 
-    got = rows.mapInArrow(vectors, "toxic int, features array<int>, patterns array<int>").toArrow().to_pydict()
-    order = sorted(range(len(got["toxic"])), key=lambda i: (got["toxic"][i], got["features"][i]))  # the same result, however the rows come
-    sets = [np.array(got["features"][i], np.int64) for i in order]
-    toxic = np.array([got["toxic"][i] for i in order])
-    votes = _votes(sets, [got["patterns"][i] for i in order], toxic, number, voter)
+    got = rows.mapInArrow(vectors, "toxic int, features array<int>, patterns array<int>").toArrow().combine_chunks()
+    toxic = got.column("toxic").to_numpy()
+    lists = lambda name: [(c.values.to_numpy(), np.asarray(c.offsets)) for c in got.column(name).chunks]
+    cut_up = lambda name: [v[i:j] for v, o in lists(name) for i, j in zip(o[:-1], o[1:])]  # noqa: E731  views, not Python numbers
+    sets, patterns = cut_up("features"), cut_up("patterns")
+    order = sorted(range(len(toxic)), key=lambda i: (toxic[i], sets[i].tobytes(), patterns[i].tobytes()))  # the same result, however the rows come
+    sets, patterns, toxic = [sets[i] for i in order], np.array([patterns[i] for i in order]), toxic[order]
+    votes = _votes(sets, patterns, toxic, number, voter)
     model = LabelModel()
     posterior = model.fit(votes, np.where(toxic == 1, 0.97, 0.03))
     weights, intercept = logistic(sets, posterior, np.array([LEXICON_WEIGHT * (f in lexicon) for f in names]))
@@ -254,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model({f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-3}, intercept, model)
 
 
-def _votes(sets: list[np.ndarray], patterns: list[list[int]], toxic: np.ndarray, number: dict[str, int], voter: dict[str, int]) -> np.ndarray:
+def _votes(sets: list[np.ndarray], patterns: np.ndarray, toxic: np.ndarray, number: dict[str, int], voter: dict[str, int]) -> np.ndarray:
     """Columns: each lexicon, each pattern, the mined lexicons, 'none of them' (votes -1), and the annotator."""
     kinds = list(LEXICONS)
     member = np.zeros((len(number), len(kinds) + MINED_VOTERS), bool)
@@ -264,7 +267,7 @@ def _votes(sets: list[np.ndarray], patterns: list[list[int]], toxic: np.ndarray,
         member[number[f], len(kinds) + v] = True
     hits = np.array([member[s].any(0) if len(s) else np.zeros(member.shape[1], bool) for s in sets])
     none = -(~hits.any(1)).astype(int)
-    return np.column_stack([hits[:, : len(kinds)].astype(int), np.array(patterns), hits[:, len(kinds) :].astype(int), none, np.where(toxic == 1, 1, -1)])
+    return np.column_stack([hits[:, : len(kinds)].astype(int), patterns, hits[:, len(kinds) :].astype(int), none, np.where(toxic == 1, 1, -1)])
 
 
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
