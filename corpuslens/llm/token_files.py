@@ -36,7 +36,7 @@ FILE_BYTES, FILE_DOCS = 4 << 20, 4096
 #: Texts, bytes of dictionary and zstandard level for the shared dictionary; the sample is bounded, whatever the corpus.
 SAMPLE_DOCS, DICT_BYTES, LEVEL = 1000, 64 << 10, 3
 #: Word forms whose ids a worker remembers.
-CACHE = 250_000
+CACHE = 800_000
 
 
 class WordEncoder:
@@ -49,17 +49,21 @@ class WordEncoder:
     another sign.
     New words of letters are encoded many at a time, one on a line, and told
     apart by the mark at a word's last id; where the marks don't match the
-    lines, one at a time.
+    lines, one at a time.  Words of Latin letters have nothing to normalise but
+    case, so they go to the same model behind a plain split at line ends.
     """
 
-    _STUCK = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ÿ ][.,](?: |$)")
+    _STUCK = re.compile(r"[.,](?<=[^A-Za-z0-9À-ÖØ-öø-ÿ ].)(?: |$)")
+    _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
         self.words: dict[str, bytes] = {}
         self.used: set[str] = set()
         names = self.tokenizer.get_vocab()
@@ -67,6 +71,8 @@ class WordEncoder:
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         probes = ["It's a  test.\nÀ l'été, 12,5 %", "ab cd\n\nef.", "ΟΔΟΣ σ́ x, y", "3. 4.\n5"]
         self.by_word = bool(self.ends.any()) and all(self._each([p])[0] == b"".join(self._each(self._cut(p))) for p in probes)
+        latin = [chr(c) for c in range(192, 256) if chr(c).isalpha()] + ["Straße", "ÉTÉ", "naïve", "The", "thening", "ÿØ"]
+        self.folds = self._of_letters([w.lower() for w in latin], self.plain) == self._each(latin)
 
     @classmethod
     def _cut(cls, text: str) -> list[str]:
@@ -77,13 +83,13 @@ class WordEncoder:
                 text = text[:-1] + " ."
         return text.split(" ")
 
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _each(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_letters(self, words: list[str]) -> list[bytes]:
+    def _of_letters(self, words: list[str], tokenizer=None) -> list[bytes]:
         out: list[bytes] = []
         groups = [words[at : at + 500] for at in range(0, len(words), 500)]
-        for some, flat in zip(groups, self._each(["\n".join(g) for g in groups])):
+        for some, flat in zip(groups, self._each(["\n".join(g) for g in groups], tokenizer)):
             ends = np.flatnonzero(self.ends[np.frombuffer(flat, "<u4")]) + 1
             if len(ends) == len(some) and 4 * ends[-1] == len(flat):
                 cuts = (ends * 4).tolist()
@@ -105,6 +111,9 @@ class WordEncoder:
             new = words.difference(self.words)
         else:
             self.used |= words - new
+        latin = list(filter(self._LATIN.fullmatch, new)) if self.folds else []
+        self.words.update(zip(latin, self._of_letters([w.lower() for w in latin], self.plain)))
+        new = new.difference(latin)
         letters = [w for w in new if w.isalpha()]
         self.words.update(zip(letters, self._of_letters(letters)))
         others = [w for w in new if not w.isalpha()]
