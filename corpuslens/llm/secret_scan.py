@@ -29,7 +29,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")  # runs are whole, so shorter ones fail here as they would afterwards
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 MIN_RUN = 16
-RUN = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![@.])")
+RUN = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")  # whole, whatever sign follows: that is the network's to judge
 BEFORE, MIDDLE, AFTER = 20, 48, 8
 WINDOW = BEFORE + MIDDLE + AFTER
 EMBED, WIDTH, FILTERS = 8, 5, 16
@@ -106,11 +106,15 @@ def findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray, np.ndarra
         return " ".join(word() for _ in range(k))
 
     def secret() -> tuple[str, str, str]:
-        k = int(rng.integers(18, 56))
+        k = int(rng.integers(MIN_RUN, 56 if rng.random() < 0.6 else 24))
         body = (pick(letters + digits, k), pick(digits + "abcdef", k + 6), pick(letters + digits + "+/", k) + "=" * int(rng.integers(0, 3)), pick(upper + digits, k), pick(letters + digits + "-_", k))[int(rng.integers(5))]
         prefix = str(rng.choice(["", "", "", "ghp_", "sk_live_", "xoxb-", "AIza", "AKIA", "eyJ", "glpat-", "key-"]))
         lead = str(rng.choice(["", "", "", " ", "password=", "token: ", 'api_key = "', "secret=", "Authorization: Bearer ", "key: ", "credentials "]))
-        return lead, prefix + body, str(rng.choice([" ", '" ', "\n", ", "]))
+        if rng.random() < 0.1:  # one part of a dotted key
+            parts = ["eyJ" + pick(letters + digits + "-_", int(n)) for n in rng.integers(15, 60, 2)] + [pick(letters + digits + "-_", 43)]
+            at = int(rng.integers(3))
+            return lead + "".join(p + "." for p in parts[:at]), parts[at], "".join("." + p for p in parts[at + 1 :]) + str(rng.choice([" ", ". ", "\n"]))
+        return lead, prefix + body, str(rng.choice([" ", '" ', "\n", ", ", ". ", ".\n", "." + word(), "@" + word() + ".example "]))
 
     def harmless() -> tuple[str, str, str]:
         kind = int(rng.integers(9))
@@ -119,7 +123,7 @@ def findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray, np.ndarra
             lambda: f"{rng.integers(1990, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}T{pick(digits, 2)}-{pick(digits, 2)}", lambda: "+" + pick(digits, 2) + "-" + pick(digits, 3) + "-555-" + pick(digits, 4) + "x" + pick(digits, 2),
             lambda: word() + pick(digits, 1) + word() + word() + word(), lambda: "version-" + "-".join(pick(digits, 2) for _ in range(4)), lambda: "x" + "=" * 18 + pick(digits, 1), lambda: "chapter" + pick(digits, 1) + "_" + word() + "-" + word() + "-" + word(),
         )[kind]()
-        return str(rng.choice(["", "", "http://", "see ", "www/", "id "])), body.ljust(MIN_RUN, "a"), str(rng.choice([" ", ". ", "\n", ", "]))
+        return str(rng.choice(["", "", "http://", "see ", "www/", "id "])), body.ljust(MIN_RUN, "a"), str(rng.choice([" ", ". ", "\n", ", ", "." + word() + " ", ".html ", "@" + word() + ".example "]))
 
     rows, labels = [], []
     for i in range(n):

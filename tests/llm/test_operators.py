@@ -243,6 +243,22 @@ def test_secret_scan(docs, none):
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
 
 
+def test_secrets_before_a_full_stop():
+    assert secret_scan.other_candidates(b"key abcd1234efgh5678. next", []) == [(4, 20)]
+    assert secret_scan.other_candidates(b"abcd1234efgh5678ijkl@host abcd1234efgh5678.abcd1234efgh5678.", []) == [(0, 20), (26, 42), (43, 59)]
+    net, rng = secret_scan.trained(), np.random.default_rng(3)
+    signs = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    for tail in (". The next", ".", ".\n", "@host.example"):
+        whole = []
+        for k in (16, 17, 24, 40) * 10:
+            key = "".join(rng.choice(signs, k - 1)) + "7"
+            text = f"my key {key}{tail}"
+            whole.append(secret_scan.masked(text, secret_scan.scan(text, net)) == f"my key [SECRET]{tail}")
+        assert np.mean(whole) >= 0.9
+    text = "Bearer eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U."
+    assert secret_scan.masked(text, secret_scan.scan(text, net)) == "Bearer [SECRET].[SECRET].[SECRET]."
+
+
 def test_network_on_findings_it_has_not_seen():
     net = secret_scan.trained()
     x, y = secret_scan.findings(600, 99)
