@@ -29,11 +29,9 @@ class Database:
     def hits(self, r: SearchRequest) -> DataFrame:
         """The request's hits, restricted to the documents that its metadata selects."""
         within = self.documents(r).select("doc") if r.metadata else None
-        q = r.q
         if r.approximate_ratio < 100:
-            near = [row.norm for row in s.fuzzy(self.corpus.lexicon, q, r.approximate_ratio / 100).limit(1000).collect()]
-            q = " | ".join(sorted(near)) or q
-        return s.search(self.corpus.words, q, r.method, r.arg, r.ordered, within=within)
+            return s.search(self.corpus.words, r.q.replace('"', ""), r.method, r.arg, r.ordered, within=within, pick=s.near_postings(self.corpus.lexicon, r.approximate_ratio / 100))
+        return s.search(self.corpus.words, r.q, r.method, r.arg, r.ordered, within=within)
 
     def _page(self, rows: DataFrame, r: SearchRequest, *order) -> DataFrame:
         start = max(1, r.start)

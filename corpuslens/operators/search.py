@@ -7,13 +7,16 @@ nested loop.  Groups are filtered, and restricted to a corpus, before they meet.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import folded
 from corpuslens.plans.predicates import is_plain, word_group
-from corpuslens.plans.syntax import Group, group_terms, parse_query, resolve_method, split_phrases
+from corpuslens.plans.syntax import METACHARACTERS, Group, group_terms, parse_query, resolve_method, split_phrases
 from corpuslens.schema import KEYS, SENTENCE, keys_of
 
 
@@ -22,6 +25,27 @@ def postings(words: DataFrame, group: Group, anchored: bool = False) -> DataFram
     return words.where(word_group(group, anchored))
 
 
+def near_postings(lexicon: DataFrame, ratio: float) -> Callable[..., DataFrame]:
+    """Like postings(), with all words that are similar to one of the group's; what a group excludes stays excluded."""
+
+    def near(words: DataFrame, group: Group, anchored: bool = False) -> DataFrame:
+        terms = [t for t in group.any_of if t[0] in ("TERM", "QUOTE")]
+        others = [t for t in group.any_of if t not in terms]  # lemmas and attributes are as they are
+        plain = sorted({folded(v.strip('"')) for _, v in terms if not METACHARACTERS.search(v)})
+        parts = [fuzzy(lexicon, v, ratio).select("norm") for v in plain]
+        if patterns := [t for t in terms if METACHARACTERS.search(t[1])]:
+            parts.append(_fuzzy_to_any(lexicon, lexicon.where(word_group(Group(patterns, group.none_of), anchored)).select("norm").distinct(), ratio))
+        rows = words
+        if parts:
+            forms = reduce(DataFrame.unionByName, parts).distinct()
+            rows = words.join(forms.withColumn("_near", F.lit(True)), "norm", "left").where(F.col("_near") | word_group(Group(others))).drop("_near") if others else words.join(forms, "norm", "left_semi")
+        elif others:
+            rows = words.where(word_group(Group(others)))
+        return rows.where(~word_group(Group(group.none_of), anchored)) if group.none_of else rows
+
+    return near
+
+
 def _hits(rows: DataFrame, key: tuple[str, ...], n: int) -> DataFrame:
     spots = F.array_sort(F.array(*(F.struct(F.col(f"p{i}").alias("pos"), F.col(f"s{i}").alias("start")) for i in range(n))))
     out = rows.select(*key, spots.alias("spots"))
@@ -32,12 +56,13 @@ def _span(n: int, value: Column, method: str) -> Column:
     return value <= n if method in ("proxy", "phrase") else value == n if method == "exact_cooc" else F.lit(True)
 
 
-def search(words: DataFrame, query: str, method: str | None = None, arg: int | None = None, ordered: bool = True, level: str = "sent", within: DataFrame | None = None, anchored: bool = False, limit: int | None = None) -> DataFrame:
+def search(words: DataFrame, query: str, method: str | None = None, arg: int | None = None, ordered: bool = True, level: str = "sent", within: DataFrame | None = None, anchored: bool = False, limit: int | None = None, pick: Callable[..., DataFrame] = postings) -> DataFrame:
     """Hits of a query: key columns, positions and starts of its words in text order.
 
     ``within`` (key columns of objects of one level) keeps words of those
     objects only.  ``level`` para looks for words in one paragraph, by their
     places in the text.  ``limit`` gives the first hits in document order.
+    ``pick`` finds a group's rows; other ones than postings() may overlap.
     """
     if within is not None:
         words = inside(words, within)
@@ -46,19 +71,19 @@ def search(words: DataFrame, query: str, method: str | None = None, arg: int | N
         return _hits(words.where(F.lit(False)).select(*SENTENCE, F.col("pos").alias("p0"), F.col("start").alias("s0")), SENTENCE, 1)
     name, n = resolve_method(" ".join("w" for _ in groups), method, arg, ordered)
     if len(groups) == 1:
-        out = _hits(postings(words, groups[0], anchored).select(*SENTENCE, F.col("pos").alias("p0"), F.col("start").alias("s0")), SENTENCE, 1)
+        out = _hits(pick(words, groups[0], anchored).select(*SENTENCE, F.col("pos").alias("p0"), F.col("start").alias("s0")), SENTENCE, 1)
     else:
-        out = _together(words, groups, *name.rsplit("_", 1), n, level, anchored)
+        out = _together(words, groups, *name.rsplit("_", 1), n, level, anchored, pick)
     return out.orderBy("doc", F.col("starts")[0]).limit(limit) if limit else out
 
 
-def _together(words: DataFrame, groups: list[Group], method: str, order: str, n: int, level: str, anchored: bool) -> DataFrame:
+def _together(words: DataFrame, groups: list[Group], method: str, order: str, n: int, level: str, anchored: bool, pick: Callable[..., DataFrame]) -> DataFrame:
     key = keys_of(level)
     spot = "pos" if level == "sent" else "start"
     n = n or 1
     if n == 1:
         n = len(groups) - 1
-    sides = [postings(words, g, anchored).select(*key, F.col(spot).alias(f"p{i}"), F.col("start").alias(f"s{i}")) for i, g in enumerate(groups)]
+    sides = [pick(words, g, anchored).select(*key, F.col(spot).alias(f"p{i}"), F.col("start").alias(f"s{i}")) for i, g in enumerate(groups)]
     if method == "phrase" and order == "ordered":
         rows = sides[0].withColumn("anchor", F.col("p0"))
         for i, side in enumerate(sides[1:], 1):
@@ -84,7 +109,7 @@ def _together(words: DataFrame, groups: list[Group], method: str, order: str, n:
         rows = rows.join(right, test).drop(*(f"r_{k}" for k in key))
     out = _hits(rows, key, len(sides))
     forms = [v for g in groups for _, v in g.any_of]
-    disjoint = all(map(is_plain, groups)) and len(set(forms)) == len(forms)
+    disjoint = pick is postings and all(map(is_plain, groups)) and len(set(forms)) == len(forms)
     return out if order == "ordered" or disjoint else out.distinct()
 
 
@@ -138,6 +163,20 @@ def fuzzy(lexicon: DataFrame, term: str, ratio: float) -> DataFrame:
     return close.select("norm", score("norm").alias("ratio")).where(F.col("ratio") >= ratio)
 
 
+def _fuzzy_to_any(lexicon: DataFrame, seeds: DataFrame, ratio: float) -> DataFrame:
+    """The lexicon's norms that are similar to one of the seeds' (column norm); they meet by the lengths that may be similar."""
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)], dtype=float)
+
+    n, least = F.length("seed"), ratio / (2 - ratio)  # |a - b| <= (1 - ratio) (a + b)
+    lengths = F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int")))
+    near = seeds.select(F.col("norm").alias("seed")).withColumn("length", lengths)
+    own = lexicon.select("norm").distinct().withColumn("length", F.length("norm"))
+    return own.join(near, "length").where(score("norm", "seed") >= ratio).select("norm").distinct()
+
+
 def indel_ratio(a: str, b: str) -> float:
     if not a and not b:
         return 1.0

@@ -1,6 +1,10 @@
+from collections import Counter
+
 from corpuslens.api import Database
+from corpuslens.operators.search import indel_ratio
 from corpuslens.plans.syntax import SearchRequest
 from corpuslens.registry import Registry
+from corpuslens.schema import SENTENCE
 from corpuslens.store import corpus
 
 
@@ -23,6 +27,25 @@ def test_reports(spark, sf_dir, tmp_path):
     assert spark.read.json(str(tmp_path / "x")).count() == 1
 
 
+def test_approximate_search_finds_all_forms_of_each_word(spark, sf_dir):
+    db = Database(corpus(spark, sf_dir))
+    words = list(map(tuple, db.corpus.words.select(*SENTENCE, "pos", "norm").collect()))
+    norms = {w[-1] for w in words}
+    like = lambda term, ratio: {n for n in norms if indel_ratio(n, term) >= ratio}
+    forms = like("the", 0.15)
+    assert len(forms) > 1000 and db.hits(SearchRequest(q="the", approximate_ratio=15)).count() == sum(w[-1] in forms for w in words)
+    at = {w[:-1]: w[-1] for w in words}
+    follows = Counter((n, m) for (*k, pos), n in at.items() if (m := at.get((*k, pos + 1))) and min(len(n), len(m)) > 3)
+    (one, two), _ = follows.most_common(1)[0]
+    first, second = like(one + "s", 0.7), like(two + "s", 0.7)
+    pairs = sum(n for (x, y), n in Counter((n, at.get((*k, pos + 1))) for (*k, pos), n in at.items()).items() if x in first and y in second)
+    assert pairs > 0 and db.hits(SearchRequest(q=f"{one}s {two}s", method="phrase", approximate_ratio=70)).count() == pairs
+    wide = set().union(*(like(n, 0.7) for n in norms if n.startswith(one[:3]) and n != one)) - {one}
+    assert any(not n.startswith(one[:3]) for n in wide)
+    assert db.hits(SearchRequest(q=f"{one[:3]}.* NOT {one}", approximate_ratio=70)).count() == sum(w[-1] in wide for w in words)
+    assert db.hits(SearchRequest(q="the qqqqqqqq", approximate_ratio=90)).count() == 0
+
+
 def test_registry():
     r = Registry({"a": len})
     r.register("a", max)
