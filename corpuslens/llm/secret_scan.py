@@ -2,7 +2,8 @@
 
 Candidates are the base rules' matches and all runs of MIN_RUN or more key
 characters with a digit and a letter.  The network reads the candidate with its
-surrounding bytes: embedding, one convolution, maximum and mean over the
+surrounding bytes, a long one in overlapping stretches of which the highest score
+counts: embedding, one convolution, maximum and mean over the
 positions, and a dense layer.  It is trained in numpy on labelled findings, made
 by a seeded generator of keys and of harmless look-alikes; its score is
 calibrated on findings kept out of that, and the threshold is the highest one
@@ -56,11 +57,15 @@ def other_candidates(data: bytes, base: list[tuple[int, int, int]]) -> list[tupl
     return out
 
 
+def middles(start: int, end: int) -> list[tuple[int, int]]:
+    """Stretches of at most MIDDLE bytes, half overlapping, that cover a candidate."""
+    last = end - MIDDLE
+    return [(start, end)] if last <= start else [(s, s + MIDDLE) for s in (*range(start, last, MIDDLE // 2), last)]
+
+
 def window(data: bytes, start: int, end: int) -> np.ndarray:
-    """Bytes around and in a candidate; a long one is seen by its beginning and its end; signs beyond ASCII are one."""
+    """Bytes around and in a stretch of at most MIDDLE; signs beyond ASCII are one."""
     held = data[start:end]
-    if len(held) > MIDDLE:
-        held = held[: MIDDLE // 2] + held[-MIDDLE // 2 :]
     text = data[max(0, start - BEFORE) : start].rjust(BEFORE, b"\0") + held.ljust(MIDDLE, b"\0") + data[end : end + AFTER].ljust(AFTER, b"\0")
     return np.minimum(np.frombuffer(text, np.uint8), 127)
 
@@ -130,7 +135,19 @@ def findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray, np.ndarra
         lead, body, tail = secret() if i % 2 else harmless()
         before = (words(4) + " " + lead).encode()
         data = before + body.encode() + (tail + words(2)).encode()
-        rows.append(window(data, len(before), len(before) + len(body)))
+        start, end = len(before), len(before) + len(body)
+        if rng.random() < 0.2:  # in a longer run: any stretch of a harmless one, or one that holds most of the key
+            joint = str(rng.choice(["/", "_", "-", "="]))
+            around = [joint.join(word() + pick(digits, int(rng.integers(3))) for _ in range(rng.integers(3, 9))) for _ in range(2)]
+            data = before + (around[0] + joint).encode()
+            start, end = len(before), len(data) + len(body) + 1 + len(around[1])
+            key = len(data), len(data) + len(body)
+            data += (body + joint + around[1] + tail + words(2)).encode()
+            held = middles(start, end)
+            start, end = max(held, key=lambda m: min(m[1], key[1]) - max(m[0], key[0])) if i % 2 else held[int(rng.integers(len(held)))]
+        else:
+            start, end = middles(start, end)[int(rng.integers(len(middles(start, end))))]
+        rows.append(window(data, start, end))
         labels.append(i % 2)
     return np.array(rows), np.array(labels, float)
 
@@ -190,7 +207,9 @@ def scan(text: str | None, net: Network) -> list[tuple[int, int, int, float]]:
     more = other_candidates(data, base)
     if not base and not more:
         return []
-    score = net.scores(np.array([window(data, s, e) for s, _, e in base] + [window(data, s, e) for s, e in more]))
+    parts = [middles(s, e) for s, e in [(s, e) for s, _, e in base] + more]
+    first = np.cumsum([0, *map(len, parts[:-1])])
+    score = np.maximum.reduceat(net.scores(np.array([window(data, s, e) for p in parts for s, e in p])), first)
     found = [(*b, float(p)) for b, p in zip(base, score)] + [(s, 3, e, float(p)) for (s, e), p in zip(more, score[len(base) :]) if p >= net.threshold]
     if len(data) != len(text):
         point = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])

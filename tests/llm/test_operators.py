@@ -259,6 +259,16 @@ def test_secrets_before_a_full_stop():
     assert secret_scan.masked(text, secret_scan.scan(text, net)) == "Bearer [SECRET].[SECRET].[SECRET]."
 
 
+def test_secrets_in_the_middle_of_long_runs():
+    assert secret_scan.middles(5, 53) == [(5, 53)] and secret_scan.middles(0, 100) == [(0, 48), (24, 72), (48, 96), (52, 100)]
+    net, rng = secret_scan.trained(), np.random.default_rng(5)
+    signs, names = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), "usr lib share project modules release internal data archive".split()
+    path = lambda: "/".join(rng.choice(names, 6))
+    hit = [secret_scan.masked(t := f"see /{path()}/{''.join(rng.choice(signs, 32))}/{path()} now", secret_scan.scan(t, net)) == "see [SECRET] now" for _ in range(50)]
+    false = [secret_scan.scan(f"see /{path()}/2024/{path()}/v7 now", net) != [] for _ in range(50)]
+    assert np.mean(hit) >= 0.95 and np.mean(false) <= 0.05
+
+
 def test_network_on_findings_it_has_not_seen():
     net = secret_scan.trained()
     x, y = secret_scan.findings(600, 99)
