@@ -34,11 +34,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each group of near copies (five words, 0.8)."""
+    """Keeps the row of the least id of each group of near copies (five words, 0.8); rows without an id come last, and equal ids are rows of their own."""
     common.bounded_batches(spark)
-    groups = common.stored(minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct(), "copies")
-    n = groups.count()
-    return docs.join(F.broadcast(groups) if n <= minhash.BROADCAST_IDS else groups, "doc_id", "left_anti").select(*docs.columns)
+    rows = common.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # stored, so that numbers stay
+    groups = common.stored(minhash.near_duplicates(rows, id_col="_row", width=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id"), "groups")
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("id"))
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_row"))
+    kept = groups.join(ids, "_row").groupBy("component_id").agg(least.alias("least")).select("least._row")
+    copies = common.stored(groups.select("_row").join(kept, "_row", "left_anti"), "copies")
+    n = copies.count()
+    return rows.join(F.broadcast(copies) if n <= minhash.BROADCAST_IDS else copies, "_row", "left_anti").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -340,6 +340,18 @@ def test_native_url_filter_has_no_python(spark, sf_dir):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_near_duplicate_stage_goes_by_row(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("a")), (None, text("a") + " tail"), (7, text("b")), (7, text("b")), (3, text("c")), (9, text("c")), (9, text("d")), (None, text("e")), (4, text("e") + " tail"), (5, ""), (5, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()]
+    assert sorted((i, t) for i, t in out if i) == sorted([(7, text("b")), (3, text("c")), (9, text("d")), (4, text("e") + " tail"), (5, ""), (5, "")])
+    rest = [t for i, t in out if i is None]
+    assert len(rest) == 2 and None in rest and any(t and t.startswith(text("a")) for t in rest)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
