@@ -8,13 +8,15 @@ zero, and L2; a temperature fitted on rows kept out of that calibrates the score
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import fold_of, map_slices
+from corpuslens.llm.common import fold_of, map_slices, slices, to_arrow
 
 #: Labelled rows outside fold 0 that training takes at most, spread evenly over the languages as far as they go.
 SAMPLE = 3000
@@ -104,14 +106,12 @@ def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndar
     return w[:-1], w[-1]
 
 
-def fit(samples: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
-    """From (features, counts, language) of texts with letters; every fifth is left for the temperature."""
+def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray) -> Model:
+    """From (features, counts, language) of texts with letters and the inverse document frequencies; every fifth is left for the temperature."""
     languages = sorted({s[2] for s in samples})
     if not languages:
         return Model([], np.zeros(SIZE), np.zeros((SIZE, 0)), np.zeros(0))
     held = np.arange(len(samples)) % 5 == 4
-    df = np.bincount(np.concatenate([s[0] for s in samples]), minlength=SIZE)
-    idf = np.log((1 + len(samples)) / (1 + df)) + 1
     rows = [(at, weighed(idf, at, n)) for at, n, _ in samples]
     target = np.array([languages.index(s[2]) for s in samples])
     train = [i for i in range(len(rows)) if not held[i]] or list(range(len(rows)))
@@ -134,16 +134,48 @@ def calibrated(logits: np.ndarray, target: np.ndarray) -> float:
     return float(min(np.geomspace(0.05, 20, 121), key=lambda t: (round(loss(t), 9), abs(np.log(t)))))
 
 
+def inverse_frequencies(texts: DataFrame) -> np.ndarray:
+    """Of the hashed n-grams, over all texts with a letter; each task sends one row for each of its n-grams."""
+    schema = "bucket int, n bigint"
+    arrow = to_arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SIZE + 1, np.int64)  # the last counts the texts
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for text in part.column(0).to_pylist():
+                    if (c := counts(text)) is not None:
+                        seen[:-1] += c > 0
+                        seen[-1] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, arrow.field(0).type), pa.array(seen[at])], schema=arrow)
+
+    got = texts.select("text").mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(SIZE + 1)
+    seen[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    return np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
+
+
+def shares(there: dict[str, int], sample: int) -> dict[str, float]:
+    """How many rows of each language are taken: equally many, and what the smaller ones leave goes to the larger."""
+    out, left = {}, float(sample)
+    for k, (lang, n) in enumerate(sorted(there.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(float(n), left / (len(there) - k))
+        left -= out[lang]
+    return out
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fits on rows outside fold 0 with a language; rows of null ids aren't learned from."""
+    """Fits on rows outside fold 0 with a language, a sample of them; n-grams are counted over all texts outside fold 0.  Rows of null ids aren't learned from."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id") != 0))
+    texts = rows.where(F.col("text").isNotNull() & (fold_of("doc_id") != 0))
+    rows = texts.where(F.col("lang").isNotNull())
     there = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many rows as languages
     if not there:
-        return fit([])
-    share = sample / len(there)
+        return fit([], np.zeros(SIZE))
+    share = shares(there, sample)
     dice = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20))
-    chosen = rows.where(dice < F.element_at(F.create_map(*(F.lit(x) for lang, n in there.items() for x in (lang, int(min(1.0, share / n) * (1 << 20)) + 1))), F.col("lang")))
+    chosen = rows.where(dice < F.element_at(F.create_map(*(F.lit(x) for lang, n in there.items() for x in (lang, int(share[lang] / n * (1 << 20)) + 1))), F.col("lang")))
 
     def make():
         def run(part: dict[str, list]) -> dict[str, list]:
@@ -156,7 +188,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     table = map_slices(chosen, make, "lang string, doc_id bigint, at array<int>, n array<int>").toArrow()
     samples = [(np.asarray(at.values), np.asarray(n.values), lang.as_py(), i.as_py()) for lang, i, at, n in zip(*(table.column(k) for k in range(4)))]
     samples.sort(key=lambda s: (s[3] * 0x9E3779B97F4A7C15 & (2**64 - 1), s[2], len(s[0])))  # the same order, however the rows come
-    return fit([s[:3] for s in samples])
+    return fit([s[:3] for s in samples], inverse_frequencies(texts))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -292,6 +292,15 @@ def test_language_identification(spark, docs, none):
     assert langid.identify(docs, empty).where("lang_pred <> 'und'").count() == 0 and langid.identify(none, model).count() == 0
 
 
+def test_language_statistics_are_of_all_rows(spark):
+    rows = [(i, f"the river {chr(97 + i % 26) * 3} stone", "en" if i % 50 else "fr", 0) for i in range(1, 600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n int").repartition(5)
+    model = langid.train(df, sample=40)
+    seen = [langid.counts(t) > 0 for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert np.allclose(model.idf, np.log((1 + len(seen)) / (1 + np.sum(seen, 0))) + 1)
+    assert langid.shares({"a": 5, "b": 1, "c": 1000, "d": 2000}, 300) == {"b": 1, "a": 5, "c": 147, "d": 147}
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     plain = toxicity.train(docs, labels)
