@@ -49,7 +49,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts; n_chars follows."""
     common.bounded_batches(spark)
-    return secret_scan.mask_column(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return secret_scan.mask_column(docs, secret_scan.train(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

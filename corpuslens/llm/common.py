@@ -65,15 +65,22 @@ def to_arrow(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that very long texts don't add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches of at most ``rows`` rows, so that very long texts don't add up; a lower setting of the session stays."""
+    given = int(spark.conf.get(BATCH_ROWS, "10000"))
+    if not 0 < given <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
+    """A fresh path in the folder that driver and executors share: that of spark.checkpoint.dir, which a cluster must name."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:  # unset: a test or a single machine
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir isn't set, and a machine's own folder is not shared")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="corpuslens-")
@@ -88,6 +95,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sampled(df: DataFrame, id_col: str, n: int, salt: str) -> DataFrame:
+    """Rows of the ``n`` ids with the least hashes, one row of each id; never more than ``n``, and the same ones in each run.
+
+    Two times as many hashes as are wanted, by their share of the table, are
+    ordered; texts are read only for the rows that are taken.
+    """
+    h = F.xxhash64(F.col(id_col), F.lit(salt))
+    total = df.count()
+    cut = min((1 << 63) - 1, (2 * n << 64) // max(1, total) - (1 << 63))
+    least = df.select(h.alias("h")).where(F.col("h") <= cut).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if least is None:
+        return df.where(F.lit(False))
+    one = df.select(h.alias("_h"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")).where(F.col("_h") <= least).groupBy("_h").agg(F.min("_row").alias("_row"))
+    return one.select("_row.*")
+
+
 def fold_of(id_col: str) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out of all training.  A null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5, F.lit(0))

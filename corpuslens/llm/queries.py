@@ -54,7 +54,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from corpuslens.llm import token_files
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    common.bounded_batches(spark, 500)
     docs, path = common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")
     out = common.shared_path(spark, "token-files")
     dictionary = token_files.train_dictionary(docs, path)
@@ -81,7 +81,7 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints every text, its edited form and the next document's text."""
     from corpuslens.llm.merkle import compare_with_edits
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    common.bounded_batches(spark, 500)
     return compare_with_edits(common.documents(spark, sf_dir))
 
 
@@ -127,9 +127,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finds secrets in every document: base rules, and what the network adds."""
-    from corpuslens.llm.secret_scan import scan_documents
+    """Finds secrets in every document: base rules, and what the network, trained outside fold 0, adds and says of each."""
+    from corpuslens.llm import secret_scan
 
     common.bounded_batches(spark)
-    found = scan_documents(common.documents(spark, sf_dir))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("found").alias("spans"), "n_model")
+    docs = common.documents(spark, sf_dir)
+    found = secret_scan.scan_documents(docs, secret_scan.train(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("found").alias("spans"), "scores", "n_model", "n_confirmed", "n_read")

@@ -1,18 +1,23 @@
 """Secret scans: base rules, and a character convolutional network over every candidate.
 
-Candidates are the base rules' matches and all runs of MIN_RUN or more key
-characters with a digit and a letter.  The network reads the candidate with its
-surrounding bytes, a long one in overlapping stretches of which the highest score
-counts: embedding, one convolution, maximum and mean over the
-positions, and a dense layer.  It is trained in numpy on labelled findings, made
-by a seeded generator of keys and of harmless look-alikes; its score is
-calibrated on findings kept out of that, and the threshold is the highest one
-that keeps RECALL of their secrets.  Base spans stay, whatever the network says.
+Candidates are the base rules' matches, and all runs of MIN_RUN or more key
+characters that have a digit, or capitals behind small letters.  The network
+reads each candidate with its surrounding bytes, a long one in overlapping
+stretches of which the highest score counts: embedding, one convolution, maximum
+and mean over the positions, and a dense layer.
+
+It is trained in numpy on labelled findings.  Some are of the documents: what the
+base rules find, as it stands and moved into other texts, is labelled as a secret,
+numbers are not.  The others are keys and harmless look-alikes by a seeded
+generator, put between bytes of the documents, as the tables name no other
+secrets.  Scores are calibrated on findings kept out of that, and the threshold
+is the highest one that keeps RECALL of their secrets.  Candidates of at least
+the threshold are spans of kind ``model``; base spans stay, whatever the network
+says, and carry its score.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from dataclasses import dataclass
@@ -21,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import map_slices
+from corpuslens.llm.common import fold_of, map_slices, sampled
 
 KINDS = ("assign", "access", "hex", "model")
 # The base rules.  On bytes, ignoring case concerns ASCII letters only.
@@ -29,12 +34,16 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")  # runs are whole, so shorter ones fail here as they would afterwards
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
-MIN_RUN = 16
-RUN = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")  # whole, whatever sign follows: that is the network's to judge
+MIN_RUN = 12
+RUN = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+")  # whole, whatever sign follows: that is the network's to judge
+TELLING = re.compile(rb"[0-9]|[a-z][A-Z].*[a-z][A-Z]")
 BEFORE, MIDDLE, AFTER = 20, 48, 8
 WINDOW = BEFORE + MIDDLE + AFTER
-EMBED, WIDTH, FILTERS = 8, 5, 16
-FINDINGS, EPOCHS, RECALL = 2400, 6, 0.99
+EMBED, WIDTH, FILTERS = 8, 5, 32
+#: Generated findings, passes, the share of the secrets that the threshold keeps.
+FINDINGS, EPOCHS, RECALL = 5000, 10, 0.99
+#: Documents outside fold 0 that give findings and surroundings at most, and how many each gives.
+SAMPLE, OF_EACH = 1500, 4
 SEED = 20240229
 
 
@@ -47,12 +56,18 @@ def base_spans(data: bytes) -> list[tuple[int, int, int]]:
 
 
 def other_candidates(data: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs with a digit and a letter that touch no base span."""
-    taken = sorted((s, e) for s, _, e in base)
-    out = []
+    """Runs with a digit, or with two capitals behind small letters, that touch no base span; one pass over both."""
+    taken: list[list[int]] = []
+    for s, e in sorted((s, e) for s, _, e in base):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    out, k = [], 0
     for m in RUN.finditer(data):
-        run = m[0]
-        if any(48 <= c < 58 for c in run) and any(c >= 65 for c in run) and not any(s < m.end() and m.start() < e for s, e in taken):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if (k == len(taken) or taken[k][0] >= m.end()) and TELLING.search(m[0]):
             out.append(m.span())
     return out
 
@@ -97,67 +112,128 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -40, 40)))
 
 
-def findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels of generated findings: every other one is a secret."""
-    rng = np.random.default_rng(seed)
-    pick = lambda chars, k: "".join(rng.choice(list(chars), k))
-    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    letters = lower + upper
+# Beginnings of well-known keys, words before one, and syllables of made-up words.
+KEY_PREFIXES = ("", "", "", "ghp_", "sk_live_", "xoxb-", "AIza", "AKIA", "eyJ", "glpat-", "key-")
+KEY_LEADS = ("", "", "", " ", "password=", "token: ", 'api_key = "', "secret=", "Authorization: Bearer ", "key: ", "credentials ")
+SYLLABLES = "th an er on re ti es or in en la de que ch ment ver ci be ca da fi go ha ism ka lo mu no ol pa ra st tr ul vi wa ex yo ing tion ble ness str pre con dis per com sub ate ous ant ist ary ful".split()
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+PLAIN_NUMBER = re.compile(rb"[0-9/_+=-]+")
 
-    def word() -> str:
-        return "".join(str(rng.choice(["th", "an", "er", "on", "re", "ti", "es", "or", "in", "en", "la", "de", "que", "ch", "ment", "ver", "ci"])) for _ in range(rng.integers(1, 5)))
 
-    def words(k: int) -> str:
-        return " ".join(word() for _ in range(k))
+def table_findings(data: bytes) -> list[tuple[int, bytes, bytes, bytes]]:
+    """(label, before, candidate, after) of a document: at most OF_EACH base findings (1), numbers (0), and blanks between words (-1), spread over the text."""
+    base = base_spans(data)
+    numbers = [(s, e) for s, e in other_candidates(data, base) if PLAIN_NUMBER.fullmatch(data, s, e)]
+    blanks = [m.span() for m in re.finditer(rb"\s+", data)]
+    out = []
+    for label, spans in ((1, [(s, e) for s, _, e in base]), (0, numbers), (-1, blanks)):
+        for s, e in spans[:: max(1, -(-len(spans) // OF_EACH))]:
+            out.append((label, data[max(0, s - BEFORE) : s], data[s : e if label >= 0 else s][:4096], data[e : e + AFTER]))
+    return out
+
+
+def gathered(df: DataFrame, id_col: str, text_col: str) -> list[tuple[int, bytes, bytes, bytes]]:
+    """table_findings of at most SAMPLE documents outside fold 0, in an order of their own."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    few = sampled(rows.where(fold_of("doc_id") != 0), "doc_id", SAMPLE, "secrets")
+
+    def make():
+        def run(part: dict[str, list]) -> dict[str, list]:
+            got = [f for t in part["text"] for f in table_findings((t or "").encode())]
+            return {name: [f[k] for f in got] for k, name in enumerate(("label", "before", "held", "after"))}
+
+        return run
+
+    found = map_slices(few, make, "label int, before binary, held binary, after binary").collect()  # OF_EACH of three kinds a document at most
+    return sorted((r.label, bytes(r.before), bytes(r.held), bytes(r.after)) for r in found)
 
-    def secret() -> tuple[str, str, str]:
-        k = int(rng.integers(MIN_RUN, 56 if rng.random() < 0.6 else 24))
-        body = (pick(letters + digits, k), pick(digits + "abcdef", k + 6), pick(letters + digits + "+/", k) + "=" * int(rng.integers(0, 3)), pick(upper + digits, k), pick(letters + digits + "-_", k))[int(rng.integers(5))]
-        prefix = str(rng.choice(["", "", "", "ghp_", "sk_live_", "xoxb-", "AIza", "AKIA", "eyJ", "glpat-", "key-"]))
-        lead = str(rng.choice(["", "", "", " ", "password=", "token: ", 'api_key = "', "secret=", "Authorization: Bearer ", "key: ", "credentials "]))
+
+def findings(n: int = FINDINGS, seed: int = SEED, table: list[tuple[int, bytes, bytes, bytes]] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and labels of the table's findings, and of ``n`` generated ones, of which every other one is a secret."""
+    rng = np.random.default_rng(seed)
+    pick = lambda chars, k: "".join(rng.choice(list(chars), k))
+    word = lambda: "".join(rng.choice(SYLLABLES, rng.integers(1, 5)))
+    letters = LOWER + UPPER
+    places = [f for f in table if f[0] < 0]
+
+    def secret(least: int = MIN_RUN) -> tuple[str, str, str]:
+        k = int(rng.integers(least, 56 if rng.random() < 0.6 else least + 12))
+        body = (pick(letters + DIGITS, k), pick(DIGITS + "abcdef", k + 6), pick(letters + DIGITS + "+/", k) + "=" * int(rng.integers(0, 3)), pick(UPPER + DIGITS, k), pick(letters + DIGITS + "-_", k), pick(LOWER + DIGITS, k + 8))[int(rng.integers(6))]
+        lead = str(rng.choice(KEY_LEADS))
         if rng.random() < 0.1:  # one part of a dotted key
-            parts = ["eyJ" + pick(letters + digits + "-_", int(n)) for n in rng.integers(15, 60, 2)] + [pick(letters + digits + "-_", 43)]
+            parts = ["eyJ" + pick(letters + DIGITS + "-_", int(n)) for n in rng.integers(15, 60, 2)] + [pick(letters + DIGITS + "-_", 43)]
             at = int(rng.integers(3))
             return lead + "".join(p + "." for p in parts[:at]), parts[at], "".join("." + p for p in parts[at + 1 :]) + str(rng.choice([" ", ". ", "\n"]))
-        return lead, prefix + body, str(rng.choice([" ", '" ', "\n", ", ", ". ", ".\n", "." + word(), "@" + word() + ".example "]))
+        return lead, str(rng.choice(KEY_PREFIXES)) + body, str(rng.choice([" ", '" ', "\n", ", ", ". ", ".\n", "." + word(), "@" + word() + ".example "]))
 
     def harmless() -> tuple[str, str, str]:
-        kind = int(rng.integers(9))
+        kind = int(rng.integers(12)) if rng.random() < 0.85 else 9
         body = (
-            lambda: "-".join(word() for _ in range(4)) + pick(digits, 2), lambda: word() + "_" + word() + "_" + word() + pick(digits, 4), lambda: "/".join(word() for _ in range(3)) + "/" + pick(digits, 4) + "/" + word(),
-            lambda: f"{rng.integers(1990, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}T{pick(digits, 2)}-{pick(digits, 2)}", lambda: "+" + pick(digits, 2) + "-" + pick(digits, 3) + "-555-" + pick(digits, 4) + "x" + pick(digits, 2),
-            lambda: word() + pick(digits, 1) + word() + word() + word(), lambda: "version-" + "-".join(pick(digits, 2) for _ in range(4)), lambda: "x" + "=" * 18 + pick(digits, 1), lambda: "chapter" + pick(digits, 1) + "_" + word() + "-" + word() + "-" + word(),
+            lambda: "-".join(word() for _ in range(4)) + pick(DIGITS, 2), lambda: word() + "_" + word() + "_" + word() + pick(DIGITS, 4), lambda: "/".join(word() for _ in range(3)) + "/" + pick(DIGITS, 4) + "/" + word(),
+            lambda: f"{rng.integers(1990, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}T{pick(DIGITS, 2)}-{pick(DIGITS, 2)}", lambda: "+" + pick(DIGITS, 2) + "-" + pick(DIGITS, 3) + "-555-" + pick(DIGITS, 4) + "x" + pick(DIGITS, 2),
+            lambda: word() + pick(DIGITS, 1) + word() + word() + word(), lambda: "version-" + "-".join(pick(DIGITS, 2) for _ in range(4)), lambda: "x" + "=" * 18 + pick(DIGITS, 1), lambda: "chapter" + pick(DIGITS, 1) + "_" + word() + "-" + word() + "-" + word(),
+            lambda: pick(DIGITS, int(rng.integers(MIN_RUN, 40))), lambda: "-".join(pick(DIGITS, 4) for _ in range(4)), lambda: "".join(word().capitalize() for _ in range(rng.integers(3, 7))) + pick(DIGITS, int(rng.integers(3))),
         )[kind]()
         return str(rng.choice(["", "", "http://", "see ", "www/", "id "])), body.ljust(MIN_RUN, "a"), str(rng.choice([" ", ". ", "\n", ", ", "." + word() + " ", ".html ", "@" + word() + ".example "]))
 
+    def around() -> tuple[bytes, bytes]:
+        if places and rng.random() < 0.7:
+            _, before, _, after = places[int(rng.integers(len(places)))]
+            return before, after
+        words = lambda k: " ".join(word() for _ in range(k)).encode()
+        return words(4), words(2)
+
     rows, labels = [], []
+
+    def add(before: bytes, held: bytes, after: bytes, label: int) -> None:
+        stretches = middles(len(before), len(before) + len(held))
+        rows.append(window(before + held + after, *stretches[int(rng.integers(len(stretches)))]))
+        labels.append(label)
+
     for i in range(n):
-        lead, body, tail = secret() if i % 2 else harmless()
-        before = (words(4) + " " + lead).encode()
-        data = before + body.encode() + (tail + words(2)).encode()
-        start, end = len(before), len(before) + len(body)
-        if rng.random() < 0.2:  # in a longer run: any stretch of a harmless one, or one that holds most of the key
+        inner = rng.random() < 0.3
+        lead, body, tail = secret(20 if inner else MIN_RUN) if i % 2 else harmless()
+        before, after = around()
+        before += b" " + lead.encode()
+        data = before + body.encode() + tail.encode() + after
+        if inner:  # in a longer run: any stretch of a harmless one, or one that holds most of the key
             joint = str(rng.choice(["/", "_", "-", "="]))
-            around = [joint.join(word() + pick(digits, int(rng.integers(3))) for _ in range(rng.integers(3, 9))) for _ in range(2)]
-            data = before + (around[0] + joint).encode()
-            start, end = len(before), len(data) + len(body) + 1 + len(around[1])
+            sides = [joint.join(word() + pick(DIGITS, int(rng.integers(3))) for _ in range(rng.integers(3, 9))) for _ in range(2)]
+            data = before + (sides[0] + joint).encode()
+            start, end = len(before), len(data) + len(body) + 1 + len(sides[1])
             key = len(data), len(data) + len(body)
-            data += (body + joint + around[1] + tail + words(2)).encode()
+            data += (body + joint + sides[1] + tail).encode() + after
             held = middles(start, end)
-            start, end = max(held, key=lambda m: min(m[1], key[1]) - max(m[0], key[0])) if i % 2 else held[int(rng.integers(len(held)))]
+            stretch = max(held, key=lambda m: min(m[1], key[1]) - max(m[0], key[0])) if i % 2 else held[int(rng.integers(len(held)))]
+            rows.append(window(data, *stretch))
+            labels.append(i % 2)
         else:
-            start, end = middles(start, end)[int(rng.integers(len(middles(start, end))))]
-        rows.append(window(data, start, end))
-        labels.append(i % 2)
+            add(before, body.encode(), tail.encode() + after, i % 2)
+    for label, before, held, after in table:
+        if label >= 0:
+            add(before, held, after, label)
+            if label and places:  # the value alone, in another text: what it is, and not only what stands before it
+                _, other, _, end = places[int(rng.integers(len(places)))]
+                value = re.split(rb"[^A-Za-z0-9+/_=-]", held.rstrip(b"\"'"))[-1]
+                if len(value) >= MIN_RUN:
+                    add(other + b" ", value, b" " + end, 1)
     return np.array(rows), np.array(labels, float)
 
 
-@functools.cache
-def trained(seed: int = SEED) -> Network:
-    """The network, trained once in the driver's process; tasks get it with their function."""
-    x, y = findings(FINDINGS, seed)
-    cut = len(x) * 4 // 5
+def train(df: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> Network:
+    """The network, trained on the driver by a bounded number of findings; tasks get it with their function.
+
+    Documents of fold 0 give none.  Without documents, or where they are empty, generated findings stand alone.
+    """
+    return fitted(*findings(FINDINGS, seed, gathered(df, id_col, text_col) if df is not None else []), seed)
+
+
+def fitted(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
+    """Trained on four fifths of windows and labels, calibrated on the others."""
     rng = np.random.default_rng(seed)
+    order = rng.permutation(len(x))
+    x, y = x[order], y[order]
+    cut = len(x) * 4 // 5
     single = np.float32
     net = Network(rng.normal(0, 0.3, (128, EMBED)).astype(single), rng.normal(0, 0.2, (WIDTH * EMBED, FILTERS)).astype(single), np.zeros(FILTERS, single), rng.normal(0, 0.2, 2 * FILTERS).astype(single), 0.0)
     names = ("embed", "filters", "bias", "dense")
@@ -200,13 +276,13 @@ def _calibrate(net: Network, x: np.ndarray, y: np.ndarray) -> None:
     net.threshold = float(np.quantile(net.scores(x[y > 0]), 1 - RECALL, method="lower"))
 
 
-def scan(text: str | None, net: Network) -> list[tuple[int, int, int, float]]:
-    """(start, kind, end, score) in code points, ascending; kind is a place in KINDS."""
+def scan(text: str | None, net: Network) -> tuple[list[tuple[int, int, int, float]], int]:
+    """(start, kind, end, score) in code points, ascending; kind is a place in KINDS.  And the number of candidates that were read."""
     data = (text or "").encode()
     base = base_spans(data)
     more = other_candidates(data, base)
     if not base and not more:
-        return []
+        return [], 0
     parts = [middles(s, e) for s, e in [(s, e) for s, _, e in base] + more]
     first = np.cumsum([0, *map(len, parts[:-1])])
     score = np.maximum.reduceat(net.scores(np.array([window(data, s, e) for p in parts for s, e in p])), first)
@@ -214,7 +290,7 @@ def scan(text: str | None, net: Network) -> list[tuple[int, int, int, float]]:
     if len(data) != len(text):
         point = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
         found = [(int(point[s]), k, int(point[e]), p) for s, k, e, p in found]
-    return sorted(found)
+    return sorted(found), len(parts)
 
 
 def joined(spans: list[tuple[int, int, int, float]]) -> str:
@@ -231,43 +307,44 @@ def masked(text: str, spans: list[tuple[int, int, int, float]], mask: str = "[SE
     return "".join(out) + text[at:]
 
 
-def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: bool = False) -> DataFrame:
-    """Rows (doc_id, spans, scores, n_assign, n_access, n_hex, n_model, base_sha256, found[, masked]), one for each input row.
+def scan_documents(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", mask: bool = False) -> DataFrame:
+    """Rows (doc_id, spans, n_assign, n_access, n_hex, n_model, n_confirmed, n_read, base_sha256, found, scores[, masked]), one for each input row.
 
     found: all spans as kind:start:end by start, then kind, comma-joined; in
-    code points, end exclusive.  base_sha256: of the base spans alone.  A null
-    text is empty: no spans; its masked text stays null.  A narrow map.
+    code points, end exclusive; scores: the network's, in the same order, to
+    three places.  base_sha256: of the base spans alone.  n_confirmed: base
+    spans that the network, too, takes for secrets; n_read: all candidates it
+    read.  A null text is empty: no spans; its masked text stays null.  A
+    narrow map.
     """
 
-    net = trained()
-
     def make():
         def run(part: dict[str, list]) -> dict[str, list]:
-            got = [scan(t, net) for t in part["text"]]
+            both = [scan(t, net) for t in part["text"]]
+            got = [g for g, _ in both]
             count = lambda k: [sum(s[1] == k for s in g) for g in got]
             out = {
                 "doc_id": part["doc_id"], "spans": [[{"kind": KINDS[k], "start": s, "end": e, "score": p} for s, k, e, p in g] for g in got], "n_assign": count(0), "n_access": count(1), "n_hex": count(2), "n_model": count(3),
-                "base_sha256": [hashlib.sha256(joined([s for s in g if s[1] < 3]).encode()).hexdigest() for g in got], "found": list(map(joined, got)),
+                "n_confirmed": [sum(s[1] < 3 and s[3] >= net.threshold for s in g) for g in got], "n_read": [n for _, n in both],
+                "base_sha256": [hashlib.sha256(joined([s for s in g if s[1] < 3]).encode()).hexdigest() for g in got], "found": list(map(joined, got)), "scores": [",".join(f"{s[3]:.3f}" for s in g) for g in got],
             }
             return out | ({"masked": [t if t is None else masked(t, g) for t, g in zip(part["text"], got)]} if mask else {})
 
         return run
 
-    schema = "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>, n_assign bigint, n_access bigint, n_hex bigint, n_model bigint, base_sha256 string, found string" + ", masked string" * mask
+    schema = "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>, n_assign bigint, n_access bigint, n_hex bigint, n_model bigint, n_confirmed bigint, n_read bigint, base_sha256 string, found string, scores string" + ", masked string" * mask
     return map_slices(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), make, schema)
 
 
-def mask_column(df: DataFrame, text_col: str = "text") -> DataFrame:
+def mask_column(df: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """The same rows and columns, with the spans in ``text_col`` replaced; every other column passes through unread."""
     names = df.columns
     at = names.index(text_col)
 
-    net = trained()
-
     def make():
         def run(part: dict[str, list]) -> dict[str, list]:
             key = f"c{at}"
-            return part | {key: [t if t is None else masked(t, scan(t, net)) for t in part[key]]}
+            return part | {key: [t if t is None else masked(t, scan(t, net)[0]) for t in part[key]]}
 
         return run
 

@@ -225,57 +225,92 @@ def test_url_filter_of_many_rules(spark, monkeypatch):
     assert by_row(url_filter.judge(df, rules), "page_id", "rule", "verdict", "pattern") == whole
 
 
-def test_secret_scan(docs, none):
+@pytest.fixture(scope="module")
+def net():
+    return secret_scan.train()
+
+
+def found_in(text, net):
+    return secret_scan.scan(text, net)[0]
+
+
+def test_secret_scan(docs, none, net):
     kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
     base = lambda t: sorted((m.start(), k, n, m.end()) for k, (n, p, ok) in enumerate(kinds) for m in p.finditer(t or "") if ok(m))
     texts = [*(t for _, t in ROWS), "é token: token: abcdefgh api_key='é' passwd=abcdef", "ſecret=abcdefgh toKen:123456", "AKIA" * 6, "a" * 24 + "F" + "b" * 23, "é" * 9 + "Secret=  \"ab.cd/ef\""]
-    net = secret_scan.trained()
     for t in texts:
-        spans = secret_scan.scan(t, net)
+        spans, n_read = secret_scan.scan(t, net)
+        assert n_read >= len(spans)
         assert [(s, k, secret_scan.KINDS[k], e) for s, k, e, _ in spans if k < 3] == base(t)
         if t:
             assert all(t[s:e] not in secret_scan.masked(t, spans) for s, _, e, _ in spans)
-    out = secret_scan.scan_documents(docs, mask=True)
+    out = secret_scan.scan_documents(docs, net, mask=True)
     assert by_row(out, "doc_id", "base_sha256") == want(lambda t: hashlib.sha256(",".join(f"{n}:{s}:{e}" for s, _, n, e in base(t)).encode()).hexdigest())
     assert {r.masked for r in out.where("doc_id = 13").collect()} == {"[SECRET]' and [SECRET], [SECRET] ok"}
-    assert secret_scan.scan_documents(none).count() == 0
-    kept = secret_scan.mask_column(docs)
+    assert secret_scan.scan_documents(none, net).count() == 0 and secret_scan.gathered(none, "doc_id", "text") == []
+    kept = secret_scan.mask_column(docs, net)
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
 
 
-def test_secrets_before_a_full_stop():
+def test_secrets_before_a_full_stop(net):
     assert secret_scan.other_candidates(b"key abcd1234efgh5678. next", []) == [(4, 20)]
     assert secret_scan.other_candidates(b"abcd1234efgh5678ijkl@host abcd1234efgh5678.abcd1234efgh5678.", []) == [(0, 20), (26, 42), (43, 59)]
-    net, rng = secret_scan.trained(), np.random.default_rng(3)
+    rng = np.random.default_rng(3)
     signs = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
     for tail in (". The next", ".", ".\n", "@host.example"):
         whole = []
         for k in (16, 17, 24, 40) * 10:
             key = "".join(rng.choice(signs, k - 1)) + "7"
             text = f"my key {key}{tail}"
-            whole.append(secret_scan.masked(text, secret_scan.scan(text, net)) == f"my key [SECRET]{tail}")
+            whole.append(secret_scan.masked(text, found_in(text, net)) == f"my key [SECRET]{tail}")
         assert np.mean(whole) >= 0.9
     text = "Bearer eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U."
-    assert secret_scan.masked(text, secret_scan.scan(text, net)) == "Bearer [SECRET].[SECRET].[SECRET]."
+    assert secret_scan.masked(text, found_in(text, net)) == "Bearer [SECRET].[SECRET].[SECRET]."
 
 
-def test_secrets_in_the_middle_of_long_runs():
+def test_secrets_in_the_middle_of_long_runs(net):
     assert secret_scan.middles(5, 53) == [(5, 53)] and secret_scan.middles(0, 100) == [(0, 48), (24, 72), (48, 96), (52, 100)]
-    net, rng = secret_scan.trained(), np.random.default_rng(5)
+    rng = np.random.default_rng(5)
     signs, names = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), "usr lib share project modules release internal data archive".split()
     path = lambda: "/".join(rng.choice(names, 6))
-    hit = [secret_scan.masked(t := f"see /{path()}/{''.join(rng.choice(signs, 32))}/{path()} now", secret_scan.scan(t, net)) == "see [SECRET] now" for _ in range(50)]
-    false = [secret_scan.scan(f"see /{path()}/2024/{path()}/v7 now", net) != [] for _ in range(50)]
+    hit = [secret_scan.masked(t := f"see /{path()}/{''.join(rng.choice(signs, 32))}/{path()} now", found_in(t, net)) == "see [SECRET] now" for _ in range(50)]
+    false = [found_in(f"see /{path()}/2024/{path()}/v7 now", net) != [] for _ in range(50)]
     assert np.mean(hit) >= 0.95 and np.mean(false) <= 0.05
 
 
-def test_network_on_findings_it_has_not_seen():
-    net = secret_scan.trained()
+def test_network_on_findings_it_has_not_seen(net):
     x, y = secret_scan.findings(600, 99)
     hit = net.scores(x) >= net.threshold
     assert hit[y > 0].mean() >= 0.95 and hit[y == 0].mean() <= 0.05
 
 
+def test_network_finds_planted_keys_in_held_out_documents(spark):
+    """Keys of forms that no base rule knows, made apart from the training's generator, at any blank of documents of fold 0; numbers, addresses and words there are left alone."""
+    docs = common.documents(spark, "/root/testdata/sf0.1")
+    net = secret_scan.train(docs)
+    texts = [r.text for r in docs.where(common.fold_of("doc_id") == 0).collect() if r.text]
+    rng = np.random.default_rng(8)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    pick = lambda signs, k: "".join(rng.choice(list(signs), k))
+    forms = [
+        lambda: pick(lower + upper + digits + "+/", 40), lambda: "ghp_" + pick(lower + upper + digits, 36), lambda: f"xoxb-{pick(digits, 11)}-{pick(digits, 12)}-{pick(lower + upper + digits, 24)}", lambda: "sk_live_" + pick(lower + upper + digits, 24),
+        lambda: "AIza" + pick(lower + upper + digits + "-_", 35), lambda: "npm_" + pick(lower + upper + digits, 36), lambda: pick(lower + upper + digits + "+/", 43) + "=", lambda: pick(digits + "ABCDEF", 32), lambda: "-".join(pick(digits + "abcdef", k) for k in (8, 4, 4, 4, 12)), lambda: pick(lower + upper + digits, 16),
+    ]
+    hits = []
+    for k in range(400):
+        text, key = texts[int(rng.integers(len(texts)))], forms[k % len(forms)]()
+        blanks = [m.start() for m in re.finditer(" ", text)] or [0]
+        at = blanks[int(rng.integers(len(blanks)))]
+        spans = found_in(f"{text[:at]} {key}{text[at:]}", net)
+        hits.append(any(s <= at + 1 and e >= at + 1 + len(key) for s, _, e, _ in spans))
+    print("recall of planted keys", np.mean(hits))
+    assert np.mean(hits) >= 0.95
+    read = [secret_scan.scan(t, net) for t in texts]
+    base = [s for spans, _ in read for s in spans if s[1] < 3]
+    assert sum(n for _, n in read) > len(base) > 0  # the network reads what the base rules don't find
+    assert not [s for spans, _ in read for s in spans if s[1] == 3] and np.mean([s[3] >= net.threshold for s in base]) >= 0.95
+
+
 def test_language_identification(spark, docs, none):
     rng = np.random.default_rng(0)
     words = {"en": "the and of with house river stone".split(), "fr": "le la être avec maison pierre garçon".split(), "de": "der und mit häuser straße fluß nicht".split()}
