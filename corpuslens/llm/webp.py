@@ -2,10 +2,15 @@
 
 The decoder reads prefix codes, meta prefix images, back-references, the colour
 cache, and inverts the predictor, cross-colour, subtract-green and palette
-transforms.  Streams of one prefix-code group without a colour cache are decoded
-by tables over all bit positions at once: the code length at each position gives
-the next pixel's position, a chain of jumps finds the true ones, and all
-literals between two back-references are read by one gather.
+transforms.  Streams of one prefix-code group are decoded by tables over all bit
+positions at once: the code length at each position gives the next pixel's
+position, a chain of jumps finds the true ones, and all pixels between two
+back-references are read by one gather; what the colour cache stands for is found
+by sorting pixels by their places in it.
+
+The writer estimates, for each image, the bits of a palette and of each of the
+other transforms, takes the cheapest, repeats stretches of pixels by
+back-references, and uses a colour cache where that pays.
 
 A payload is stored as RGB samples, WIDTH pixels in a row; payloads beyond
 MAX_ROWS rows take several images, one file after another.
@@ -161,6 +166,14 @@ class PrefixCode:
         return entry >> 4
 
 
+def put_single(out: BitWriter, symbol: int) -> None:
+    """The prefix code of a single symbol."""
+    out.put(1, 1)
+    out.put(0, 1)
+    out.put(int(symbol > 1), 1)
+    out.put(symbol, 8 if symbol > 1 else 1)
+
+
 def write_code(out: BitWriter, lengths: np.ndarray) -> None:
     """A prefix code's lengths."""
     used = np.flatnonzero(lengths).tolist()
@@ -173,20 +186,7 @@ def write_code(out: BitWriter, lengths: np.ndarray) -> None:
         if len(used) == 2:
             out.put(used[1], 8)
         return
-    last = used[-1] + 1
-    tokens: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    at, values = 0, lengths.tolist()
-    while at < last:
-        run = at
-        while run < last and values[run] == 0:
-            run += 1
-        n = min(run - at, 138)
-        if n >= 3:
-            tokens.append((17, n - 3, 3) if n <= 10 else (18, n - 11, 7))
-            at += n
-        else:
-            tokens.append((values[at], 0, 0))
-            at += 1
+    tokens = _length_tokens(lengths.tolist(), used)
     counts = np.bincount([t[0] for t in tokens], minlength=19)
     sizes = code_lengths(counts, 7)
     codes = canonical(sizes)
@@ -200,10 +200,22 @@ def write_code(out: BitWriter, lengths: np.ndarray) -> None:
     out.put(1, 1)  # the number of tokens follows
     out.put(4, 3)  # in ten bits
     out.put(len(tokens) - 2, 10)
-    for symbol, extra, bits in tokens:
-        if not single:
-            out.put(int(codes[symbol]), int(sizes[symbol]))
-        out.put(extra, bits)
+    values, bits = codes.tolist(), [0] * 19 if single else sizes.tolist()
+    for symbol, extra, more in tokens:
+        out.put(values[symbol] | extra << bits[symbol], bits[symbol] + more)
+
+
+def _length_tokens(lengths: list[int], used: list[int]) -> list[tuple[int, int, int]]:
+    """(symbol, extra value, extra bits) that say code lengths: each length, and runs of zeros before it."""
+    tokens, at = [], 0
+    for u in used:
+        while (n := min(u - at, 138)) >= 3:
+            tokens.append((17, n - 3, 3) if n <= 10 else (18, n - 11, 7))
+            at += n
+        tokens += [(0, 0, 0)] * (u - at)
+        tokens.append((lengths[u], 0, 0))
+        at = u + 1
+    return tokens
 
 
 def read_code(bits: BitReader, alphabet: int) -> np.ndarray:
@@ -283,8 +295,8 @@ def read_pixels(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
         meta = (read_pixels(bits, meta_width, -(-height >> groups_at), False) >> 8 & 0xFFFF).tolist()
         n_groups = max(meta) + 1
     groups = [read_group(bits, 1 << cache_bits if cache_bits else 0) for _ in range(n_groups)]
-    if meta is None and not cache_bits:
-        return _read_by_tables(bits, groups[0], width, height)
+    if meta is None:
+        return _read_by_tables(bits, groups[0], width, height, cache_bits)
     n, at = width * height, 0
     out = [0] * n
     cache, shift, cached = [0] * (1 << cache_bits), 32 - cache_bits, 0
@@ -315,8 +327,26 @@ def read_pixels(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
     return np.array(out, np.int64)
 
 
-def _read_by_tables(bits: BitReader, group: list[PrefixCode], width: int, height: int) -> np.ndarray:
-    """Pixels of one group without a cache."""
+def cache_places(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Each pixel's place in a colour cache."""
+    return (pixels.astype(np.uint32) * np.uint32(HASH) >> np.uint32(32 - cache_bits)).astype(np.int64)
+
+
+def _from_cache(pixels: np.ndarray, place: np.ndarray, literal: np.ndarray, cache: np.ndarray) -> None:
+    """Fills in the pixels that aren't literal: the last literal before with the same place, else what the cache has there; then brings the cache up to date."""
+    order = np.argsort(place, kind="stable")
+    rank = np.arange(len(order))
+    first = np.concatenate([[True], place[order][1:] != place[order][:-1]])
+    begin = np.maximum.accumulate(np.where(first, rank, 0))
+    last = np.maximum.accumulate(np.where(literal[order], rank, -1))
+    here = last >= begin
+    source = np.where(here, pixels[order[np.maximum(last, 0)]], cache[place[order]])
+    pixels[order] = source
+    cache[place] = pixels  # of equal places the last one stays
+
+
+def _read_by_tables(bits: BitReader, group: list[PrefixCode], width: int, height: int, cache_bits: int) -> np.ndarray:
+    """Pixels of one group."""
     n, at = width * height, 0
     green, red, blue, alpha, far = group
     out = np.empty(n, np.int64)
@@ -341,8 +371,12 @@ def _read_by_tables(bits: BitReader, group: list[PrefixCode], width: int, height
 
     (g, after_g), (r, after_r), (b, after_b), (a, after_a) = map(jump, group[:4])
     step = after_a[after_b[after_r[after_g]]] if alpha.single is None else after_b[after_r[after_g]]
-    special = green.table.max() >> 4 >= GREENS
-    stop = memoryview(g >= GREENS << 4) if special else None
+    most = green.table.max() >> 4
+    from_cache = GREENS + LENGTHS
+    if most >= from_cache:
+        step = np.where(g >= from_cache << 4, after_g, step)
+    cache = np.zeros(1 << cache_bits, np.int64) if cache_bits else None
+    stop = memoryview((g >= GREENS << 4) & (g < from_cache << 4)) if most >= GREENS else None
     chain, here = memoryview(step), bits.at - 8 * base
     while at < n:
         found = []
@@ -358,18 +392,30 @@ def _read_by_tables(bits: BitReader, group: list[PrefixCode], width: int, height
                 here = chain[here]
         if found:
             p = np.array(found)
+            new = out[at : at + len(p)]
+            symbol = g[p] >> 4
+            literal = symbol < GREENS
+            if not literal.all():
+                p = p[literal]
             pr = after_g[p]
             pb = after_r[pr]
             pa = after_b[pb]
-            out[at : at + len(p)] = (a[pa] >> 4).astype(np.int64) << 24 | (r[pr] >> 4) << 16 | (g[p] >> 4) << 8 | b[pb] >> 4
-            at += len(p)
+            new[literal] = (a[pa] >> 4).astype(np.int64) << 24 | (r[pr] >> 4) << 16 | symbol[literal] << 8 | b[pb] >> 4
+            if cache is not None:
+                place = symbol - from_cache
+                place[literal] = cache_places(new[literal], cache_bits)
+                _from_cache(new, place, literal, cache)
+            at += len(found)
         if at < n:
             bits.at = 8 * base + here
             length = read_value(bits, green.read(bits) - GREENS)
             back = distance(read_value(bits, far.read(bits)), width)
             if back > at or length > n - at:
                 raise ValueError("a back-reference beyond the image")
-            out[at : at + length] = np.resize(out[at - back : min(at, at - back + length)], length)
+            copied = np.resize(out[at - back : min(at, at - back + length)], length)
+            out[at : at + length] = copied
+            if cache is not None:
+                cache[cache_places(copied, cache_bits)] = copied
             at += length
             here = bits.at - 8 * base
         if here >= size - 1:
@@ -457,6 +503,11 @@ def invert_predictor(pixels: np.ndarray, width: int, modes: np.ndarray, block: i
         rows[0, 0, 0] += 255
         rows[:, 0] = np.cumsum(rows[:, 0], 0)
         return joined(np.cumsum(rows, 1).reshape(-1, 4))
+    if set(modes) == {2}:  # top: the first row sums up to the right, then all columns downwards
+        rows = parts.reshape(-1, width, 4).copy()
+        rows[0, 0, 0] += 255
+        rows[0] = np.cumsum(rows[0], 0)
+        return joined(np.cumsum(rows, 0).reshape(-1, 4))
     rest, image = parts.tolist(), []
     for at, p in enumerate(rest):
         image.append([(v + q) & 255 for v, q in zip(p, predicted(image, at, width, modes, block, per_row))])
@@ -541,26 +592,247 @@ def riff(body: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + padded
 
 
-def encode_rgb(samples: np.ndarray) -> bytes:
-    """A lossless WebP file of an array (height, width, 3): literals by one prefix code for all three channels."""
-    height, width, _ = samples.shape
-    flat = samples.reshape(-1)
-    lengths = code_lengths(np.bincount(flat, minlength=256))
-    out = BitWriter()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        out.put(value, n)  # no transform, no cache, no meta prefix codes
+#: Pixels that a back-reference repeats at least, and at most.
+LEAST_COPY, MOST_COPY = 8, 4096
+#: log2 of the colour cache's places, where there is one.
+CACHE_BITS = 8
+#: log2 of a block of a transform's image, the largest: one element for 512 x 512 pixels.
+BLOCK = 9
+#: What a transform or a symbol's code length costs, in bits, for the estimates.
+TRANSFORM_BITS, SYMBOL_BITS, COLOUR_BITS = 90, 4, 18
+#: What a back-reference costs, and a used place of the cache, in bits; and the share of an image's bits that either must save to be worth its time.
+COPY_BITS, PLACE_BITS, WORTH = 40, 8, 0.12
+OPAQUE = 255 << 24
+
+
+#: n log2(n) of small counts.
+_N_LOG_N = np.concatenate([[0.0], np.arange(1, 4096) * np.log2(np.arange(1, 4096))])
+
+
+def bits_of(symbols: np.ndarray) -> float:
+    """What the symbols cost by their own frequencies, with the lengths of their codes."""
+    counts = np.bincount(symbols)
+    n = len(symbols)
+    within = _N_LOG_N[counts].sum() if n < len(_N_LOG_N) else (counts * np.log2(np.maximum(counts, 1))).sum()
+    return float(n * np.log2(max(n, 1)) - within) + SYMBOL_BITS * np.count_nonzero(counts)
+
+
+def left_residual(rows: np.ndarray) -> np.ndarray:
+    """Samples (height, width, 3) less their left neighbours, the first of a row less the one above."""
+    out = rows.copy()
+    out[:, 1:] -= rows[:, :-1]
+    out[1:, 0] -= rows[:-1, 0]
+    return out
+
+
+def top_residual(rows: np.ndarray) -> np.ndarray:
+    """Samples less their upper neighbours, the first row's less the left ones."""
+    out = rows.copy()
+    out[1:] -= rows[:-1]
+    out[0, 1:] -= rows[0, :-1]
+    return out
+
+
+def less_green(rows: np.ndarray) -> np.ndarray:
+    out = rows.copy()
+    out[..., 0] -= rows[..., 1]
+    out[..., 2] -= rows[..., 1]
+    return out
+
+
+def red_off_blue(rows: np.ndarray) -> np.ndarray:
+    """Cross-colour with red taken off blue: element 32 moves a whole step."""
+    out = rows.copy()
+    out[..., 2] -= rows[..., 0]
+    return out
+
+
+#: name: (residual, kind of transform, the one value of its block image as ARGB)
+TRANSFORMS = {"left": (left_residual, PREDICTOR, 1 << 8), "top": (top_residual, PREDICTOR, 2 << 8), "green": (less_green, SUBTRACT_GREEN, None), "cross": (red_off_blue, CROSS_COLOUR, 32 << 16)}
+
+
+def repeats(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, gap) of stretches that were there before, left to right; found by hashes of LEAST_COPY pixels."""
+    if len(pixels) <= LEAST_COPY:
+        return []
+    h, step, factor = pixels.astype(np.uint64), 1, 0x9E3779B97F4A7C15
+    while step < LEAST_COPY:  # of 2, 4, 8 pixels
+        h = h[:-step] * np.uint64(factor) + h[step:]
+        step, factor = 2 * step, factor * factor & (1 << 64) - 1
+    ascending = np.sort(h)
+    if not (ascending[1:] == ascending[:-1]).any():
+        return []
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    later, before = order[1:][same], order[:-1][same]
+    by_place = np.argsort(later)
+    out, end = [], 0
+    for start, source in zip(later[by_place].tolist(), before[by_place].tolist()):
+        if start < end:
+            continue
+        most = min(MOST_COPY, len(pixels) - start)
+        unlike = np.flatnonzero(pixels[start : start + most] != pixels[source : source + most])
+        length = int(unlike[0]) if len(unlike) else most
+        if length >= LEAST_COPY:
+            out.append((start, length, start - source))
+            end = start + length
+    return out
+
+
+_CODE_OF_GAP: dict[int, dict[int, int]] = {}
+
+
+def gap_code(gap: int, width: int) -> int:
+    """The distance code of a gap in pixels."""
+    if width not in _CODE_OF_GAP:
+        _CODE_OF_GAP[width] = {max(1, x + y * width): k for k, (x, y) in reversed(list(enumerate(NEAR, 1)))}
+    return _CODE_OF_GAP[width].get(gap, gap + len(NEAR))
+
+
+def cache_hits(pixels: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the last pixel before with the same place is the same."""
+    order = np.argsort(place, kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    there, what = place[order], pixels[order]
+    hit[order[1:]] = (there[1:] == there[:-1]) & (what[1:] == what[:-1])
+    return hit
+
+
+def put_pixels(out: BitWriter, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, hit: np.ndarray | None = None, place: np.ndarray | None = None, copies: list[tuple[int, int, int]] = ()) -> None:
+    """An entropy-coded image of ARGB numbers with one group of prefix codes."""
+    out.put(int(cache_bits > 0), 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
+    if main:
+        out.put(0, 1)
+    token = np.ones(len(pixels), bool)
+    for start, length, _ in copies:
+        token[start + 1 : start + length] = False
+    at = np.flatnonzero(token)
+    parts = pixels[at] if copies else pixels
+    symbols = np.stack([parts >> 8 & 255, parts >> 16 & 255, parts & 255], 1)
+    alpha = parts >> 24
+    literal = np.ones(len(at), bool)
+    if cache_bits:
+        literal = ~hit[at]
+        symbols[~literal, 0] = GREENS + LENGTHS + place[at[~literal]]
+    far: list[tuple[int, int, int]] = []
+    if copies:
+        of_copy = np.searchsorted(at, [c[0] for c in copies])
+        literal[of_copy] = False
+        size = [value_prefix(length) for _, length, _ in copies]
+        far = [value_prefix(gap_code(gap, width)) for _, _, gap in copies]
+        symbols[of_copy, 0] = [GREENS + s[0] for s in size]
+    # all channels share a code, unless green has other symbols, too, or alone has any
+    one = not (cache_bits or copies) and bool(symbols[0, 1:].any() or symbols[:, 1:].any())
+    plain = symbols if one else symbols[literal]
+    own = lambda values: code_lengths(np.bincount(values)) if len(values) else np.array([1])
+    several = own(plain.ravel() if one else plain[:, 1:].ravel())
+    alphas = None if alpha[0] == alpha[-1] and (alpha == alpha[0]).all() else own(alpha[literal])
+    gaps = own(np.array([f[0] for f in far], np.int64)) if copies else None
+    first = several if one else own(symbols[:, 0])
     head = BitWriter()
-    write_code(head, lengths)
-    for _ in range(3):
+    write_code(head, several)
+    if one:
         out.put(head.value, head.bits)
-    write_code(out, np.array([0] * 255 + [1]))  # alpha is 255
-    write_code(out, np.array([1]))  # no distances
-    if np.count_nonzero(lengths) > 1:
-        grb = samples.reshape(-1, 3)[:, [1, 0, 2]].reshape(-1)
-        out.put_array(canonical(lengths).astype(np.int32)[grb], lengths[grb])
+    else:
+        write_code(out, first)
+    out.put(head.value, head.bits)
+    out.put(head.value, head.bits)
+    for lengths, constant in ((alphas, int(alpha[0])), (gaps, 0)):
+        if lengths is None:
+            put_single(out, constant)
+        else:
+            write_code(out, lengths)
+    used = lambda n: n if np.count_nonzero(n) > 1 else np.zeros_like(n)  # noqa: E731  a single symbol takes no bits
+    if one and alphas is None:
+        out.put_array(canonical(several)[symbols].ravel(), used(several)[symbols].ravel())
+        return
+    values, sizes = np.zeros((len(at), 4), np.int64), np.zeros((len(at), 4), np.int64)
+    values[:, 0], sizes[:, 0] = canonical(first)[symbols[:, 0]], used(first)[symbols[:, 0]]
+    for k in (1, 2):
+        values[literal, k], sizes[literal, k] = canonical(several)[plain[:, k]], used(several)[plain[:, k]]
+    if alphas is not None and np.count_nonzero(alphas) > 1:
+        values[literal, 3], sizes[literal, 3] = canonical(alphas)[alpha[literal]], alphas[alpha[literal]]
+    if copies:
+        values[of_copy, 1], sizes[of_copy, 1] = [s[1] for s in size], [s[2] for s in size]
+        which = [f[0] for f in far]
+        values[of_copy, 2], sizes[of_copy, 2] = canonical(gaps)[which], used(gaps)[which]
+        values[of_copy, 3], sizes[of_copy, 3] = [f[1] for f in far], [f[2] for f in far]
+    out.put_array(values.ravel(), sizes.ravel())
+
+
+def encode_rgb(samples: np.ndarray, transform: str | None = None) -> bytes:
+    """A lossless WebP file of an array (height, width, 3); ``transform`` (a name of TRANSFORMS, ``palette`` or ``none``) stands before the estimate."""
+    height, width, _ = samples.shape
+    out = BitWriter()
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
+        out.put(value, n)
+    argb = lambda rows, alpha: (rows[..., 0].astype(np.int64) << 16 | rows[..., 1].astype(np.int64) << 8 | rows[..., 2] | alpha).ravel()
+    pixels = argb(samples, OPAQUE)
+    place = cache_places(pixels, CACHE_BITS)
+    total = bits_of(samples.reshape(-1))
+    if transform is None:
+        cost = {"none": total} | {name: bits_of(f(samples).reshape(-1)) + TRANSFORM_BITS for name, (f, _, _) in TRANSFORMS.items()}
+        if bits_of(place) + COLOUR_BITS * np.count_nonzero(np.bincount(place)) < total:  # colours are no fewer than places
+            cost["palette"] = palette_cost(pixels)
+        transform = min(cost, key=cost.get)
+    stored = width
+    if transform == "palette":
+        colours, index = np.unique(pixels, return_inverse=True)
+        out.put(1, 1)
+        out.put(PALETTE, 2)
+        out.put(len(colours) - 1, 8)
+        parts = channels(colours)
+        put_pixels(out, joined(np.diff(parts, axis=0, prepend=0)), len(colours), False)
+        stored, pixels = bundled(index.reshape(height, width), palette_bits(len(colours)))
+    elif transform != "none":
+        residual, kind, element = TRANSFORMS[transform]
+        out.put(1, 1)
+        out.put(kind, 2)
+        if element is not None:
+            out.put(BLOCK - 2, 3)
+            n = (-(-width >> BLOCK)) * (-(-height >> BLOCK))
+            put_pixels(out, np.full(n, element | OPAQUE), -(-width >> BLOCK), False)
+        pixels = argb(residual(samples), 0 if kind == PREDICTOR else OPAQUE)
+    out.put(0, 1)
+    if transform != "none":
+        place, total = cache_places(pixels, CACHE_BITS), bits_of(symbols_of(pixels))
+    each = total / len(pixels)
+    worth = WORTH * total
+    copies = repeats(pixels)
+    if sum(length * each - COPY_BITS for _, length, _ in copies) < worth:
+        copies = []
+    hit = cache_hits(pixels, place)
+    pays = np.count_nonzero(hit) * (each - CACHE_BITS - 1) - PLACE_BITS * np.count_nonzero(np.bincount(place[hit])) > worth
+    put_pixels(out, pixels, stored, True, *((CACHE_BITS, hit, place) if pays else (0, None, None)), copies)
     return riff(out.done())
 
 
+def symbols_of(pixels: np.ndarray) -> np.ndarray:
+    return np.concatenate([pixels >> 8 & 255, pixels >> 16 & 255, pixels & 255])
+
+
+def palette_cost(pixels: np.ndarray) -> float:
+    """Bits by a palette, or infinity beyond 256 colours."""
+    colours, counts = np.unique(pixels, return_counts=True)
+    if len(colours) > 256:
+        return float("inf")
+    n = len(pixels)
+    return float(n * np.log2(n) - (counts * np.log2(counts)).sum()) + (SYMBOL_BITS + COLOUR_BITS) * len(colours) + TRANSFORM_BITS
+
+
+def bundled(index: np.ndarray, block: int) -> tuple[int, np.ndarray]:
+    """Width and ARGB numbers of palette places, 2**block of them in one pixel."""
+    height, width = index.shape
+    each, per = 8 >> block, 1 << block
+    wide = -(-width // per)
+    full = np.zeros((height, wide * per), np.int64)
+    full[:, :width] = index
+    packed = (full.reshape(height, wide, per) << (np.arange(per) * each)).sum(-1) if block else full
+    return wide, (packed << 8 | OPAQUE).ravel()
+
+
 def store(payload: bytes) -> bytes:
     """Lossless WebP files, one after another, of a payload whose size is a multiple of ROW_BYTES."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)

@@ -229,6 +229,33 @@ def test_webp_payloads_round_trip(payload):
     assert media.features(webp.load(stored)) == media.features(webp.load(webp.store(payload)))
 
 
+@pytest.mark.parametrize("transform", ["none", "palette", *webp.TRANSFORMS])
+def test_webp_writer_uses_every_feature(transform):
+    """Files of each transform, with copies and a cache, read back by the decoder; and a decoder that walks sequentially agrees."""
+    rng = np.random.default_rng(4)
+    for rows, values in ((1, 3), (5, 2), (9, 40), (40, 256), (700, 7)):
+        x = rng.integers(0, values, (rows, webp.WIDTH, 3)).astype(np.uint8)
+        x[rows // 2 :] = x[: rows - rows // 2]  # long repeats
+        x[: rows // 4] = rng.integers(0, 4, (rows // 4, 1, 1))
+        if transform == "palette":
+            x = x[..., :1].repeat(3, 2)
+        assert (webp.decode(webp.encode_rgb(x, transform))[..., :3] == x).all()
+
+
+def test_webp_estimate_takes_what_is_cheapest():
+    rng = np.random.default_rng(2)
+    steps = (np.cumsum(rng.integers(0, 2, (60, 64, 3)), 1) & 255).astype(np.uint8)
+    green = (np.repeat(rng.integers(0, 256, (60, 64, 1)), 3, 2) + rng.integers(0, 3, (60, 64, 3))).astype(np.uint8)
+    columns = np.tile(rng.integers(0, 256, (1, 64, 3)), (60, 1, 1)).astype(np.uint8) + rng.integers(0, 2, (60, 64, 3)).astype(np.uint8)
+    few = rng.integers(0, 256, (5, 3)).astype(np.uint8)[rng.integers(0, 5, (60, 64))]
+    for name, x in (("left", steps), ("green", green), ("top", columns), ("palette", few)):
+        best = webp.encode_rgb(x)
+        assert best == webp.encode_rgb(x, name) and (webp.decode(best)[..., :3] == x).all() and len(best) < len(webp.encode_rgb(x, "none"))
+    text = ("It was said that the rain, in the end, would not fall. " * 3 + "Nobody knew. ").encode() * 200
+    x = np.frombuffer(text[: len(text) // 192 * 192], np.uint8).reshape(-1, 64, 3)
+    assert (webp.decode(webp.encode_rgb(x))[..., :3] == x).all() and len(webp.encode_rgb(x)) < x.size / 20
+
+
 def test_webp_payload_of_several_images():
     payload = bytes([i % 251 for i in range(192)]) * (webp.MAX_ROWS + 3)
     assert webp.load(webp.store(payload)).tobytes() == payload
