@@ -32,13 +32,28 @@ def test_byte_bpe_equals_tiktoken():
     assert codec.encode([None]) == [b""]
 
 
-def test_long_rows_by_heap_equal_the_matrix():
+def merged_plainly(word, ranks):
+    """The definition: the leftmost pair of least rank, one at a time."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not pairs:
+            return [ranks[p] for p in parts]
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_rows_of_every_width_equal_the_definition():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     codec = bpe.load(path, public_tokenizers.PATTERN)
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     rng = random.Random(5)
-    for _ in range(60):
-        word = "".join(rng.choices("theraniongs", k=rng.randint(2, 250))).encode()
-        assert codec.merge([word])[0] == codec._merge_long(word)
+    sizes = [2, 3, 63, 64, 65, 255, 256, 257, 258, 400, 511, 512, 513, 700, 1024, 1025, 1500]
+    words = ["".join(rng.choices("theraniongs", k=k)).encode() for k in sizes * 2] + [b"x" * 300, b"x" * 999, b"abth" * 200, "été".encode() * 150, rng.randbytes(600)]
+    for word, ids in zip(words, codec.merge(words)):
+        assert np.frombuffer(ids, "<u4").tolist() == merged_plainly(word, ranks)
+    assert codec.decode(codec.merge([b"y" * 20_000])[0]) == b"y" * 20_000
 
 
 def test_word_encoder_equals_the_library():
