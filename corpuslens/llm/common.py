@@ -59,6 +59,23 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dic
     return df.mapInArrow(run, schema)
 
 
+def kept_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], dict[str, list]]]) -> DataFrame:
+    """The rows whose text a function keeps, with all columns, whatever their names; columns go by their places.
+
+    ``make`` gives, once in each task, a function from texts to {"kept": booleans}.
+    """
+    names = df.columns
+    at = names.index(text_col)
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
+
+    def run():
+        keep = make()
+        return lambda part: part | keep(part[f"c{at}"])
+
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema)) + ", kept boolean"
+    return map_slices(plain, run, schema, sized_by=f"c{at}").where("kept").drop("kept").toDF(*names)
+
+
 def to_arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
