@@ -13,17 +13,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import fold_of, map_slices, slices, to_arrow
+from corpuslens.llm.common import fold_of, kept_rows, map_slices, slices, to_arrow
 
 #: Labelled rows outside fold 0 that training takes at most, spread evenly over the languages as far as they go.
 SAMPLE = 3000
+#: Languages that are learned at most, the most frequent ones; the weights have a column for each.
+LANGUAGES = 200
 BITS = 14
 SIZE = 1 << BITS
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.02
 UNKNOWN = "und"
+CERTAIN = 0.125
 
 _LETTER = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x10000)])
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -170,12 +173,17 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     texts = rows.where(F.col("text").isNotNull() & (fold_of("doc_id") != 0))
     rows = texts.where(F.col("lang").isNotNull())
-    there = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many rows as languages
+    there = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()}
     if not there:
         return fit([], np.zeros(SIZE))
     share = shares(there, sample)
-    dice = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20))
-    chosen = rows.where(dice < F.element_at(F.create_map(*(F.lit(x) for lang, n in there.items() for x in (lang, int(share[lang] / n * (1 << 20)) + 1))), F.col("lang")))
+    # by their shares of all hashes half as many again as are wanted, one row of an id, then the least hashes of each language
+    h = F.xxhash64("doc_id", F.lit("language"))
+    cut = {lang: min((1 << 63) - 1, int(min(1.0, 1.5 * share[lang] / n) * (1 << 62)) * 4 - (1 << 63)) for lang, n in there.items()}
+    cuts = F.create_map(*(x for lang, c in cut.items() for x in (F.lit(lang), F.lit(c).cast("long"))))
+    near = rows.withColumn("h", h).where(F.col("h") <= F.element_at(cuts, F.col("lang"))).groupBy("h").agg(F.min(F.struct("doc_id", "lang", "text")).alias("x")).select("h", "x.*")
+    most = F.create_map(*(F.lit(x) for lang in there for x in (lang, int(-(-share[lang] // 1)))))
+    chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= F.element_at(most, F.col("lang"))).select("doc_id", "text", "lang")
 
     def make():
         def run(part: dict[str, list]) -> dict[str, list]:
@@ -191,21 +199,35 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return fit([s[:3] for s in samples], inverse_frequencies(texts))
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, lang_pred, score), one for each input row, from the text alone.
 
     Texts that are null or have no letter are ``und`` with a score of 0; so is
-    every text if nothing could be learned.  ``keep`` names other columns to
-    carry along.
+    every text if nothing could be learned.  Other columns are not looked at.
     """
 
     def make():
         def run(part: dict[str, list]) -> dict[str, list]:
             got = [model.predict(t) for t in part["text"]]
-            return {"doc_id": part["doc_id"], "lang_pred": [x for x, _ in got], "score": [x for _, x in got]} | {c: part[c] for c in keep or ()}
+            return {"doc_id": part["doc_id"], "lang_pred": [x for x, _ in got], "score": [x for _, x in got]}
 
         return run
 
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(keep or ()))
-    schema = "doc_id bigint, lang_pred string, score double" + "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep or ())
-    return map_slices(texts, make, schema)
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return map_slices(texts, make, "doc_id bigint, lang_pred string, score double")
+
+
+def certain(model: Model) -> float:
+    """The least score of an accepted language: an eighth of the way from chance to certainty, whatever the number of languages."""
+    chance = 1 / max(1, len(model.languages))
+    return chance + CERTAIN * (1 - chance)
+
+
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and an accepted language; null texts have none."""
+    least = certain(model)
+
+    def make():
+        return lambda texts: {"kept": [lang != UNKNOWN and score >= least for lang, score in map(model.predict, texts)]}
+
+    return kept_rows(df, text_col, make)
