@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.llm.common import stored
+
 #: Units (words and signs, by default) that a bin holds.
 CAPACITY = 1024
 SHARD_PIECES = 4096
@@ -69,8 +71,8 @@ class Shard:
 
 
 def pack_shard(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Bins and offsets of a shard's pieces: columns doc_id, piece, n_units, source, cluster, row."""
-    ordered = pieces.sort_values(["n_units", "row", "piece"], ascending=[False, True, True], kind="stable")
+    """Bins and offsets of a shard's pieces: columns doc_id, piece, n_units, source, cluster, row, nth."""
+    ordered = pieces.sort_values(["n_units", "row", "piece", "nth"], ascending=[False, True, True, True], kind="stable")
     bit = lambda values: [0 if pd.isna(v) else 1 << k for v, k in zip(values, pd.factorize(values)[0].tolist())]  # noqa: E731  a null conflicts with nothing
     shard = Shard(capacity)
     placed = [shard.place(n, s, c) for n, s, c in zip(ordered["n_units"].tolist(), bit(ordered["source"]), bit(ordered["cluster"]))]
@@ -99,20 +101,24 @@ def pack(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_c
     kept as null; repeated rows are packed as documents of their own, which
     their cluster keeps apart.
 
-    Before the plan is made, pieces are counted over the whole table, for the
-    number of shards.  One shuffle moves ids, sizes and clusters, not texts.
+    Texts are read once: sizes and clusters are stored, and pieces counted over
+    the whole table, for the number of shards.  One shuffle moves ids, sizes
+    and clusters, not texts.  Equal rows are dealt to different shards by a
+    number of their own, so copies of one row fill none.
     """
     text = F.col(text_col).cast("string")
     rows = df.select(
         F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.lit(0), size if size is not None else units(text)).cast("long").alias("total"), F.col(source_col).cast("string").alias("source"),
-        (cluster if cluster is not None else cluster_of(text)).cast("string").alias("cluster"), F.xxhash64(F.col(id_col), text, F.col(source_col)).alias("row"),
+        (cluster if cluster is not None else cluster_of(text)).cast("string").alias("cluster"), F.xxhash64(F.col(id_col), text, F.col(source_col)).alias("row"), F.monotonically_increasing_id().alias("nth"),
     )
+    rows = stored(rows, "sizes")
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)).cast("int")
-    n = df.select(F.greatest(F.lit(1), F.ceil((size if size is not None else units(text)) / capacity)).alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0))).first()[0]
+    n = rows.agg(F.coalesce(F.sum(n_pieces), F.lit(0))).first()[0]
     n_shards = max(1, round(n / shard_pieces))
     cut = rows.withColumn("n_pieces", n_pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), n_pieces - 1)))
     start = F.col("piece").cast("long") * capacity
-    cut = cut.select("doc_id", "piece", "n_pieces", start.alias("start"), F.least(F.lit(capacity), F.col("total") - start).alias("n_units"), "source", "cluster", "row", F.pmod(F.xxhash64("row", "piece"), F.lit(n_shards)).cast("int").alias("shard"))
+    shard = F.pmod(F.xxhash64("row", "piece", "nth"), F.lit(n_shards)).cast("int")
+    cut = cut.select("doc_id", "piece", "n_pieces", start.alias("start"), F.least(F.lit(capacity), F.col("total") - start).alias("n_units"), "source", "cluster", "row", "nth", shard.alias("shard"))
     names = ["doc_id", "piece", "n_pieces", "start", "n_units", "shard", "bin", "bin_offset"]
 
     def run(pieces: pd.DataFrame) -> pd.DataFrame:
