@@ -32,8 +32,8 @@ BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
 #: Ids of candidate classes that are broadcast at most, 8 bytes each; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket's block.
-BLOCK = 256
+#: Members of a bucket's block, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 256, 32 << 20
 NONE = np.uint64(2**64 - 1)
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -157,42 +157,59 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("v", "right"), "v").join(side("u", "left"), "u").select("u", "v", "left", "right").mapInArrow(check, "u bigint, v bigint").distinct()
 
 
+def _open_buckets(placed: DataFrame) -> DataFrame:
+    """Buckets whose members, beside the least, lie in several components; of buckets with the same members, one.
+
+    placed: (bucket, node, size, root).  Rows (bucket, main, chunks, blocks):
+    the largest component, and into how many parts the members outside it, and
+    all members, are cut, so that a part has about BLOCK members of about
+    BLOCK_BYTES at most.
+    """
+    shares = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"), F.sum("size").alias("s"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"))
+    sums = shares.groupBy("bucket").agg(F.sum("m").alias("n"), F.sum("s").alias("bytes"), F.sum("x").alias("x"), F.max(F.struct("m", "root", "s")).alias("most"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    one = sums.groupBy("n", "x", "most", "bytes").agg(F.min("bucket").alias("bucket"))
+    return one.select("bucket", F.col("most.root").alias("main"), parts(F.col("n") - F.col("most.m"), F.col("bytes") - F.col("most.s")).alias("chunks"), parts(F.col("n"), F.col("bytes")).alias("blocks"))
+
+
 def _blocks(placed: DataFrame, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) among the members of each open bucket that lie in different components.
 
-    placed: (bucket, node, root); open_: (bucket, n, main, others), the members
-    of a bucket, its largest component, and the members outside that.  Only
-    those are compared, in chunks of about BLOCK, with blocks of about BLOCK of
-    all members; so a group has at most about twice BLOCK members.  It gives a
-    forest of links, never more than its members.
+    Members outside the largest component, in chunks, are compared with blocks
+    of all members; so a group has one chunk and one block.  A pair that several
+    buckets hold is compared in the least of them.  It gives a forest of links,
+    never more than its members.
     """
-    chunks, blocks = F.ceil(F.col("others") / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
     place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     seat = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("asks"))
-    asks = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: seat(place(chunks), j, True))
-    answers = F.transform(F.sequence(F.lit(0), chunks - 1), lambda i: seat(i, place(blocks), False))
-    dealt = placed.join(open_, "bucket").select("bucket", "node", "root", F.explode(F.when(F.col("root") == F.col("main"), answers).otherwise(F.concat(answers, asks))).alias("x"))
-    full = dealt.select("bucket", "node", "root", "x.i", "x.j", "x.asks").join(sets, "node")
+    asks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: seat(place(F.col("chunks")), j, True))
+    answers = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: seat(i, place(F.col("blocks")), False))
+    there = placed.join(open_, "bucket")
+    own = there.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # no more than BANDS
+    dealt = there.select("bucket", "node", "root", F.explode(F.when(F.col("root") == F.col("main"), answers).otherwise(F.concat(answers, asks))).alias("x"))
+    full = dealt.select("bucket", "node", "root", "x.i", "x.j", "x.asks").join(sets.join(own, "node"), "node")
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         over: dict[int, int] = {}
+        bucket = int(group["bucket"].iloc[0])
 
         def top(r: int) -> int:
             while r in over:
                 r = over[r]
             return r
 
-        def side(rows: pd.DataFrame) -> list[tuple[int, int, np.ndarray]]:
+        def side(rows: pd.DataFrame) -> list[tuple]:
             items = [np.frombuffer(x, np.uint64) for x in rows["items"]]
-            return sorted(zip(rows["node"].tolist(), rows["root"].tolist(), items), key=lambda r: (len(r[2]), r[0]))
+            others = [frozenset(b for b in x.tolist() if b < bucket) for x in rows["buckets"]]
+            return sorted(zip(rows["node"].tolist(), rows["root"].tolist(), items, others), key=lambda r: (len(r[2]), r[0]))
 
         answer = side(group[~group["asks"]])
-        sizes, found = [len(x) for _, _, x in answer], []
-        for u, ru, a in side(group[group["asks"]]):
+        sizes, found = [len(r[2]) for r in answer], []
+        for u, ru, a, of_u in side(group[group["asks"]]):
             first, last = bisect.bisect_left(sizes, -(-percent * len(a) // 100)), bisect.bisect_right(sizes, 100 * len(a) // percent)
-            for v, rv, b in answer[first:last]:
+            for v, rv, b, of_v in answer[first:last]:
                 p, q = top(ru), top(rv)
-                if p != q and similar(a, b, percent):
+                if p != q and of_u.isdisjoint(of_v) and similar(a, b, percent):
                     found.append((u, v))
                     over[max(p, q)] = min(p, q)
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
@@ -221,7 +238,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one = all_.where(F.col("digest").isNotNull()).join(classes, "digest")
     # ids of several texts tie their classes together
     ties = one.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u > v").select("u", "v")
-    heads = one.where("doc_id = node").select("node", F.explode("bands").alias("bucket"))
+    heads = one.where("doc_id = node").select("node", (8 * F.col("n_shingles")).alias("size"), F.explode("bands").alias("bucket"))
     heads = stored(heads, "heads")
     shared = heads.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     members = stored(heads.join(shared.select("bucket", "least"), "bucket"), "members")
@@ -231,11 +248,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = stored(_confirmed(pairs, sets, percent).unionByName(ties), "links")
     roots = stored(components(links), "roots")
     # buckets whose members beside the least lie in several components
-    placed = members.where("node <> least").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    placed = members.where("node <> least").join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
     placed = stored(placed, "placed")
-    shares = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-    open_ = shares.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("most"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
-    open_ = stored(open_.select("bucket", "n", F.col("most.root").alias("main"), (F.col("n") - F.col("most.m")).alias("others")), "open")
+    open_ = stored(_open_buckets(placed), "open")
     if not open_.isEmpty():
         links = links.unionByName(stored(_blocks(placed, open_, sets, percent), "more"))
         roots = stored(components(links), "roots")
