@@ -15,10 +15,10 @@ from hashlib import blake2b, sha256
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import slices, stored, to_arrow
+from corpuslens.llm.common import map_slices, slices, stored, to_arrow
 
 #: Characters of a leaf, where a paragraph's first leaves begin, and the most paragraphs of a section.
 PIECE, FIRST, SECTION = 32, (0, 2, 4, 8, 16, 24, 40), 16
@@ -105,8 +105,6 @@ def edited(text: str, following: str) -> str:
 
 def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, fingerprint, sections array<string>, n_paragraphs, n_leaves) of each text; a null text is empty."""
-    from corpuslens.llm.common import map_slices
-
     def make():
         def run(part: dict[str, list]) -> dict[str, list]:
             trees = [tree_of(t) for t in part["text"]]
@@ -142,16 +140,16 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first; rows of the same id are ordered by text.  A single document is its
     own next one; an empty table gives no rows.
 
-    Texts are range-partitioned by id once and compared while a partition
-    streams by; each task holds two documents.  What a partition's last
-    document needs, the first of the next partition, goes through a stored
-    side table of at most two rows for each partition.
+    Texts are range-partitioned by id and beginning once, so that many rows of
+    one id, or without an id, are split too, and compared while a partition
+    streams by; each task holds two documents.  A partition's last document
+    meets the first of the next one by a join of a stored side table, two rows
+    for each partition, on the partitions' numbers.
     """
-    spark = df.sparkSession
     schema = "part int, first boolean, text string, " + RESULT
     arrow, final = to_arrow(schema), to_arrow(RESULT)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -175,23 +173,18 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pack([(part, False, held[1], held[0], *none[1:])])
 
     result = stored(ordered.mapInArrow(run, schema), "fingerprints")
-    ends = result.where(F.col("part").isNotNull()).select("part", "first", "doc_id", "text")
+    ends = result.where(F.col("part").isNotNull())
+    # numbers only, one row a partition: each one's follower, the first behind the last
+    parts = ends.where("first").select("part", F.min("part").over(Window.partitionBy()).alias("least"), F.lead("part").over(Window.orderBy("part")).alias("after"))
+    last = ends.where("NOT first").select("part", "doc_id", "text").join(parts, "part")
+    seams = last.select("doc_id", "text", F.coalesce("after", "least").alias("next")).join(ends.where("first").select(F.col("part").alias("next"), F.col("text").alias("following")), "next")
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, last = None, None
-        pack = lambda row: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, final)], schema=final)
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["first"]:
-                    if last is not None:
-                        yield pack(_compare(last["doc_id"], last["text"], tree_of(last["text"]), r["text"], tree_of(r["text"])))
-                    start = start or r
-                else:
-                    last = r
-        if last is not None:
-            yield pack(_compare(last["doc_id"], last["text"], tree_of(last["text"]), start["text"], tree_of(start["text"])))
-
-    # two rows a partition at most
-    seams = ends.repartition(1).sortWithinPartitions("part", F.col("first").desc()).mapInArrow(close, RESULT)
-    names = [f.name for f in to_arrow(RESULT)]
-    return result.where(F.col("part").isNull()).select(*names).unionByName(seams.select(*names))
+    def close():
+        def run(part: dict[str, list]) -> dict[str, list]:
+            got = [_compare(i, t, tree_of(t), n, tree_of(n)) for i, t, n in zip(part["doc_id"], part["text"], part["following"])]
+            return {f.name: [g[k] for g in got] for k, f in enumerate(final)}
+
+        return run
+
+    names = [f.name for f in final]
+    return result.where(F.col("part").isNull()).select(*names).unionByName(map_slices(seams.select("doc_id", "text", "following"), close, RESULT))
