@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import map_slices, slices, to_arrow
+from corpuslens.llm.common import map_slices, sampled, slices, stored, to_arrow
 
 MAGIC = b"CLTK\x01"
 HEADER = struct.Struct("<5sB32sIQ")  # magic, bytes of an id, dictionary hash, documents, first id's global position in the partition
@@ -35,6 +35,8 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("null_id", "u1"), ("offset", "<u8"), ("siz
 FILE_BYTES, FILE_DOCS = 4 << 20, 4096
 #: Texts, bytes of dictionary and zstandard level for the shared dictionary; the sample is bounded, whatever the corpus.
 SAMPLE_DOCS, DICT_BYTES, LEVEL = 1000, 64 << 10, 3
+#: The sample's serialized ids are cut into pieces of so many bytes, of which so many train the dictionary.
+PIECE_BYTES, PIECES = 8 << 10, 2000
 #: Word forms whose ids a worker remembers.
 CACHE = 800_000
 
@@ -141,17 +143,25 @@ def narrow(ids: bytes) -> tuple[bytes, int]:
 
 
 def train_dictionary(df: DataFrame, path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", docs: int = SAMPLE_DOCS, size: int = DICT_BYTES) -> bytes:
-    """A zstandard dictionary from the serialized ids of about ``docs`` whole texts, chosen by a hash of the id.
+    """A zstandard dictionary from the serialized ids of at most ``docs`` texts, chosen by a hash of the id.
 
+    Their ids are cut into pieces, of which at most PIECES reach the driver.
     Empty bytes where the sample is too small or too uniform to train on.
     """
-    n = df.count()
-    share = 1.0 if n <= docs else docs / n
-    chosen = df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("dictionary")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    coded = encode(chosen, path, end_id, id_col, text_col).select("ids").limit(2 * docs).collect()
-    samples = [s for r in coded if (s := narrow(bytes(r.ids))[0])]
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def make():
+        def run(part: dict[str, list]) -> dict[str, list]:
+            got = [(i or 0, at, ids[at : at + PIECE_BYTES]) for i, x in zip(part["doc_id"], part["ids"]) for ids in [narrow(x)[0]] for at in range(0, len(ids), PIECE_BYTES)]
+            return {"piece": [f"{i}:{at}" for i, at, _ in got], "held": [x for _, _, x in got]}
+
+        return run
+
+    coded = encode(sampled(rows, "doc_id", docs, "dictionary"), path, end_id)
+    pieces = stored(map_slices(coded, make, "piece string, held binary", sized_by="ids"), "pieces")
+    samples = sorted(bytes(r.held) for r in sampled(pieces, "piece", PIECES, "dictionary").collect())
     try:
-        return zstandard.train_dictionary(size, sorted(samples)).as_bytes() if len(samples) >= 16 else b""
+        return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
         return b""
 
@@ -215,7 +225,8 @@ def write(df: DataFrame, out: str, path: str, dictionary: bytes, end_id: int | N
             yield row()
 
     # texts are ordered before they are encoded: the sampling of the range partitioning then reads, but doesn't encode
-    ordered = texts.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # by the text's beginning, too, so that many rows of one id, or without an id, are split
+    ordered = texts.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     ordered.mapInArrow(pack, schema).write.option("compression", "none").parquet(out)
 
 
