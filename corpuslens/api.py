@@ -47,7 +47,8 @@ class Database:
     def kwic(self, r: SearchRequest) -> DataFrame:
         if r.sort_by:
             start = max(1, r.start)
-            return context.sorted_kwic(self.hits(r), self.corpus.words, r.sort_by, self.corpus.docs, (r.end or start + r.per_page - 1) - start + 1, start)
+            hits = context.with_tokens(self.hits(r), self.corpus.sentences)
+            return context.sorted_kwic(hits, r.sort_by, self.corpus.docs, (r.end or start + r.per_page - 1) - start + 1, start)
         return context.kwic(self._page(self.hits(r), r, *self._text_order()), self.corpus.texts)
 
     def bibliography(self, r: SearchRequest) -> DataFrame:

@@ -11,7 +11,7 @@ from corpuslens.functions.text import ACCENTED, BARE, PIECE, metadata_words, str
 from corpuslens.operators import autocomplete, collocation, context, load, metadata, objects, reports
 from corpuslens.operators import search as s
 from corpuslens.sources import markup, plain_text
-from corpuslens.store import Corpus, corpus
+from corpuslens.store import Corpus, corpus, markup_corpus
 from corpuslens.streaming.time_series import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,23 +21,36 @@ ORACLE: dict[str, str] = {}
 SENT = "doc, div1, div2, div3, para, sent"
 FOLD = f"translate(lower({{}}), '{ACCENTED}', '{BARE}')"
 
-#: Segmentation as SQL; every oracle on words begins with it.
-WORDS = rf"""
+#: Lines as SQL, and what is made of them; every oracle on words begins with it.
+LINES = r"""
 lines0 AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
 lines1 AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_start FROM lines0),
-lines AS (SELECT doc, line, line_start, row_number() OVER (PARTITION BY doc ORDER BY k) AS para FROM lines1 WHERE regexp_matches(line, '\p{{L}}')),
+lines AS (SELECT doc, line, line_start, row_number() OVER (PARTITION BY doc ORDER BY k) AS para FROM lines1 WHERE regexp_matches(line, '\p{L}'))"""
+
+
+def segmented(lines: str, last: str = "lower(piece)") -> str:
+    """Words of lines (doc, line, line_start, para); ``last``: the word before a stop, as the rule on short words sees it."""
+    return rf"""{lines},
 cut AS (SELECT doc, para, line_start, unnest(regexp_extract_all(line, '{PIECE}')) AS piece, generate_subscripts(regexp_extract_all(line, '{PIECE}'), 1) AS n FROM lines),
 seen AS (SELECT doc, para, n, piece, line_start + coalesce(sum(length(piece)) OVER w, 0) AS start, regexp_matches(piece, '\p{{L}}') AS has_letter,
-  lead(piece) OVER (PARTITION BY doc, para ORDER BY n) AS next, last_value(CASE WHEN regexp_matches(piece, '\p{{L}}') THEN lower(piece) END IGNORE NULLS) OVER w AS last
+  lead(piece) OVER (PARTITION BY doc, para ORDER BY n) AS next, last_value(CASE WHEN regexp_matches(piece, '\p{{L}}') THEN {last} END IGNORE NULLS) OVER w AS last
   FROM cut WINDOW w AS (PARTITION BY doc, para ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 marked AS (SELECT *, CASE WHEN NOT has_letter AND (regexp_matches(piece, '[!?]') OR contains(piece, '.')
     AND NOT coalesce(next = lower(next) AND regexp_matches(next, '\p{{L}}') OR regexp_matches(next, '^\p{{N}}+$'), false)
     AND NOT coalesce(length(last) < 3 AND regexp_matches(last, '[A-Z0-9]'), false)) THEN 1 ELSE 0 END AS ends FROM seen),
 pcs AS (SELECT *, CAST(coalesce(sum(ends) OVER (PARTITION BY doc, para ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS INTEGER) AS sent FROM marked),
 forms AS (SELECT *, regexp_replace(lower(piece), '[&;_\p{{C}}]', '', 'g') AS token FROM pcs WHERE has_letter AND strlen(piece) <= 200),
-words AS (SELECT doc, 1 AS div1, 1 AS div2, 1 AS div3, CAST(para AS INTEGER) AS para, sent, CAST(row_number() OVER (PARTITION BY doc, para, sent ORDER BY n) AS INTEGER) AS pos, CAST(start AS BIGINT) AS start, token,
-  {FOLD.format('token')} AS norm FROM forms WHERE token <> ''),
-docs AS (SELECT d.doc_id AS doc, lang, source, n_chars, quality, toxic, coalesce(wc, 0) AS word_count FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT doc, count(*) AS wc FROM words GROUP BY doc) c ON c.doc = d.doc_id)"""
+words AS MATERIALIZED (SELECT doc, 1 AS div1, 1 AS div2, 1 AS div3, CAST(para AS INTEGER) AS para, sent, CAST(row_number() OVER (PARTITION BY doc, para, sent ORDER BY n) AS INTEGER) AS pos, CAST(start AS BIGINT) AS start, token,
+  {FOLD.format('token')} AS norm FROM forms WHERE token <> '')"""
+
+
+WORDS = (
+    segmented(LINES)
+    + """,
+docs AS MATERIALIZED (SELECT d.doc_id AS doc, lang, source, n_chars, quality, toxic, coalesce(wc, 0) AS word_count FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT doc, count(*) AS wc FROM words GROUP BY doc) c ON c.doc = d.doc_id)"""
+)
+#: Turns of conversations as paragraphs of TEI texts.
+TURNS = segmented("turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations), lines AS (SELECT conv_id AS doc, replace(text, chr(10), ' ') AS line, 0 AS line_start, place AS para FROM turns)", "piece")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -218,10 +231,20 @@ def meta_autocomplete(spark, sf_dir):
     return autocomplete.metadata(_c(spark, sf_dir).metadata_index(("source", "lang")), "source", "src1")
 
 
-@query()
+def _fuzzy_sql(term: str, ratio: float) -> str:
+    """The longest common subsequence's table, a step for each sign of the term; a step is a running maximum along the word."""
+    n = len(term)
+    steps = ["WITH n0 AS (SELECT DISTINCT norm FROM words), s0 AS (SELECT norm, unnest(range(1, length(norm) + 1)) AS j, 0 AS v FROM n0)"]
+    for k, c in enumerate(term, 1):
+        steps.append(f"b{k} AS (SELECT norm, j, v, coalesce(lag(v) OVER (PARTITION BY norm ORDER BY j), 0) AS u FROM s{k - 1})")
+        steps.append(f"s{k} AS (SELECT norm, j, max(greatest(v, CASE WHEN substr(norm, j, 1) = '{c}' THEN u + 1 ELSE 0 END)) OVER (PARTITION BY norm ORDER BY j) AS v FROM b{k})")
+    return "@" + ", ".join(steps) + f" SELECT norm, 2.0::DOUBLE * max(v) / (length(norm) + {n}) AS ratio FROM s{n} GROUP BY norm HAVING 2.0::DOUBLE * max(v) / (length(norm) + {n}) >= {ratio}"
+
+
+@query(_fuzzy_sql("nation", 0.75))
 def fuzzy_terms(spark, sf_dir):
-    """Lexicon entries like a word; tests hold it against the plain recurrence."""
-    return s.fuzzy(_c(spark, sf_dir).lexicon, "nation", 0.8)
+    """Lexicon entries like a word."""
+    return s.fuzzy(_c(spark, sf_dir).lexicon, "nation", 0.75)
 
 
 @query("@SELECT 0 AS place, token FROM (SELECT DISTINCT token FROM words WHERE norm = 're') UNION ALL SELECT 1, token FROM (SELECT DISTINCT token FROM words WHERE norm IN ('la', 'le'))")
@@ -453,24 +476,20 @@ NEAR = "near AS (SELECT x.doc AS doc, y.token AS token, y.norm AS norm FROM word
 ALL_TEST, FIVE = "x.pos <> y.pos", "abs(x.pos - y.pos) BETWEEN 1 AND 5"
 
 
-def _hits(spark, sf_dir, term: str = "the") -> DataFrame:
-    return s.search(_c(spark, sf_dir).words, term)
-
-
 @query("@WITH " + NEAR.format(t="the", test=ALL_TEST) + " SELECT token, count(*) AS n FROM near WHERE norm <> 'the' GROUP BY token ORDER BY n DESC, token LIMIT 100")
 def collocates(spark, sf_dir):
-    return collocation.collocates(_hits(spark, sf_dir), _c(spark, sf_dir).words, own=("the",)).orderBy(F.col("n").desc(), "token").limit(100)
+    return collocation.counted(collocation.near(_c(spark, sf_dir).sentences, "the"), own=("the",)).orderBy(F.col("n").desc(), "token").limit(100)
 
 
 @query("@WITH " + NEAR.format(t="the", test=FIVE) + " SELECT token, count(*) AS n FROM near GROUP BY token")
 def collocates_distance(spark, sf_dir):
-    return collocation.collocates(_hits(spark, sf_dir), _c(spark, sf_dir).words, 5)
+    return collocation.counted(collocation.near(_c(spark, sf_dir).sentences, "the", 5))
 
 
 @query("@WITH " + NEAR.format(t="le", test=FIVE) + ", stop AS (SELECT token FROM words GROUP BY token ORDER BY count(*) DESC, token LIMIT 100) SELECT token, count(*) AS n FROM near WHERE norm <> 'le' AND token NOT IN (SELECT token FROM stop) GROUP BY token")
 def collocates_stopfiltered(spark, sf_dir):
-    words = _c(spark, sf_dir).words
-    return collocation.collocates(_hits(spark, sf_dir, "le"), words, 5, without=collocation.frequent(words), own=("le",))
+    c = _c(spark, sf_dir)
+    return collocation.counted(collocation.near(c.sentences, "le", 5), without=collocation.frequent(c.words), own=("le",))
 
 
 GROUPED = "@WITH " + NEAR.format(t="the", test=FIVE) + ", g AS (SELECT coalesce(CAST({f} AS VARCHAR), '') AS grp, token, count(*) AS n FROM near JOIN docs USING (doc) GROUP BY ALL)"
@@ -479,7 +498,7 @@ GROUPED = "@WITH " + NEAR.format(t="the", test=FIVE) + ", g AS (SELECT coalesce(
 @query(GROUPED.format(f="quality") + " SELECT grp, token, n FROM g")
 def collocates_by_field(spark, sf_dir):
     c = _c(spark, sf_dir)
-    return collocation.by_group(_hits(spark, sf_dir), c.words, c.docs, "quality", 5)
+    return collocation.near_by_group(c.sentences, c.docs, "the", "quality", 5)
 
 
 Z = "(ln((2 * a + b) / (2 * na + nb)) - ln((a + 2 * b) / (na + 2 * nb))) / sqrt(1 / (2 * a + b) + 1 / (a + 2 * b))"
@@ -491,9 +510,7 @@ z AS (SELECT token, {Z} AS z FROM m, t WHERE a + b > 0), r AS (SELECT *, row_num
 SELECT 'top' AS side, token, round(z, 4) AS z FROM r WHERE z > 0 AND hi <= 100 UNION ALL SELECT 'bottom', token, round(abs(z), 4) FROM r WHERE z <= 0 AND lo <= 100""")
 def comparative_collocations(spark, sf_dir):
     c = _c(spark, sf_dir)
-    hits = _hits(spark, sf_dir)
-    sub = hits.join(c.docs.where("source = 'src1'").select("doc"), "doc", "left_semi")
-    z = collocation.compared(collocation.collocates(sub, c.words, 5), collocation.collocates(hits, c.words, 5), whole=True)
+    z = collocation.compared_within(collocation.near(c.sentences, "the", 5, keep=("doc",)), c.docs.where("source = 'src1'"))
     return collocation.both_ends(z.withColumn("z", F.round("z", 9))).select("side", "token", F.round("z", 4).alias("z"))
 
 
@@ -503,14 +520,14 @@ c AS (SELECT grp, sum(x * coalesce(y, 0)) / (sqrt(sum(x * x)) * (SELECT sqrt(sum
 SELECT grp, round(similarity, 4) AS similarity FROM c WHERE similarity < 0.99 ORDER BY similarity DESC, grp LIMIT 50""")
 def similar_distributions(spark, sf_dir):
     c = _c(spark, sf_dir)
-    return collocation.similar_groups(collocation.by_group(_hits(spark, sf_dir), c.words, c.docs, "source", 5), "src1").select("grp", F.round("similarity", 4).alias("similarity"))
+    return collocation.similar_groups(collocation.near_by_group(c.sentences, c.docs, "the", "source", 5), "src1").select("grp", F.round("similarity", 4).alias("similarity"))
 
 
 @query(GROUPED.format(f="source") + f""", o AS (SELECT grp, token, CAST(n AS DOUBLE) AS a, sum(n) OVER (PARTITION BY token) - n AS b, sum(n) OVER (PARTITION BY grp) AS na, sum(n) OVER () - sum(n) OVER (PARTITION BY grp) AS nb FROM g),
 z AS (SELECT grp, token, {Z} AS z FROM o), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, token) AS k FROM z WHERE z > 0) SELECT grp, round(sum(z), 4) AS score FROM k WHERE k <= 20 GROUP BY grp ORDER BY sum(z) DESC, grp LIMIT 50""")
 def outlier_groups(spark, sf_dir):
     c = _c(spark, sf_dir)
-    return collocation.outlier_groups(collocation.by_group(_hits(spark, sf_dir), c.words, c.docs, "source", 5)).select("grp", F.round("score", 4).alias("score"))
+    return collocation.outlier_groups(collocation.near_by_group(c.sentences, c.docs, "the", "source", 5)).select("grp", F.round("score", 4).alias("score"))
 
 
 @query("@WITH " + NEAR.format(t="the", test=FIVE) + f""", p AS (SELECT n_chars // 2000 * 2000 AS period, token, count(*) AS n FROM near JOIN docs USING (doc) GROUP BY ALL), t AS (SELECT period, sum(n) AS total, lag(period) OVER (ORDER BY period) AS before, lead(period) OVER (ORDER BY period) AS after FROM p GROUP BY period),
@@ -519,22 +536,22 @@ FROM k JOIN t USING (period) LEFT JOIN p b ON b.period = t.before AND b.token =
 SELECT period, token, n, CASE WHEN nb > 0 AND {Z} > 0 THEN round({Z}, 4) END AS z FROM f""")
 def collocation_periods(spark, sf_dir):
     c = _c(spark, sf_dir)
-    near = collocation.around(reports.with_metadata(_hits(spark, sf_dir), c.docs, "n_chars"), c.words, 5, keep=("n_chars",))
-    return collocation.over_periods(near.groupBy("n_chars", "token").agg(F.count("*").alias("n")), "n_chars", 2000)
+    by_doc = collocation.counted(collocation.near(c.sentences, "the", 5, keep=("doc",)), ("doc",))
+    return collocation.over_periods(reports.with_metadata(by_doc, c.docs, "n_chars"), "n_chars", 2000)
 
 
 # Context
 
-SIDES = """@WITH h AS (SELECT doc, para, sent, pos, start FROM words WHERE norm = 'with'),
+SIDES = """@WITH h AS (SELECT doc, para, sent, pos, start, token FROM words WHERE norm = 'with'),
 l AS (SELECT h.*, y.pos AS yp, y.token AS yt FROM h LEFT JOIN words y ON y.doc = h.doc AND y.para = h.para AND y.sent = h.sent AND NOT regexp_matches(y.token, '[0-9]') AND y.pos <> h.pos AND abs(y.pos - h.pos) <= 10),
-g AS (SELECT doc, para, sent, pos, start, coalesce(list(yt ORDER BY yp DESC) FILTER (yp < pos), []) AS l, coalesce(list(yt ORDER BY yp) FILTER (yp > pos), []) AS r FROM l GROUP BY ALL)"""
+g AS (SELECT doc, para, sent, pos, start, token, coalesce(list(yt ORDER BY yp DESC) FILTER (yp < pos), []) AS l, coalesce(list(yt ORDER BY yp) FILTER (yp > pos), []) AS r FROM l GROUP BY ALL)"""
 SORTED = SIDES + " SELECT doc, start, array_to_string({c}, ' ') AS words FROM (SELECT *, row_number() OVER (ORDER BY {k}, doc, start) AS k FROM g) WHERE k <= 100"
 PAD = "list_concat({0}, list_transform(range(0, 10 - len({0})), lambda x: chr(1114111)))"
 
 
-def _sorted_kwic(spark, sf_dir, *by: str) -> DataFrame:
+def _sorted_kwic(spark, sf_dir, *by: str, term: str = "with") -> DataFrame:
     c = _c(spark, sf_dir)
-    rows = context.sorted_kwic(s.search(c.words, "with"), c.words, by, c.docs)
+    rows = context.sorted_kwic(s.hits_in(c.sentences, collocation.single_group(term)), by, c.docs)
     return rows.select("doc", F.col("starts")[0].alias("start"), F.array_join(by[0] if by[0] in ("left", "right") else "right", " ").alias("words"))
 
 
@@ -548,6 +565,20 @@ def kwic_right_sort(spark, sf_dir):
     return _sorted_kwic(spark, sf_dir, "right")
 
 
+@query(SORTED.replace("norm = 'with'", "starts_with(norm, 'thin')").format(c="r", k="token, " + PAD.format("r")))
+def kwic_query_sort(spark, sf_dir):
+    return _sorted_kwic(spark, sf_dir, "q", "right", term="thin.*")
+
+
+@query("""@WITH h AS (SELECT x.doc AS doc, x.para AS para, x.sent AS sent, x.pos AS p, y.pos AS q, x.start AS start FROM words x JOIN words y USING (doc, para, sent) WHERE x.norm = 'of' AND y.norm = 'the' AND y.pos = x.pos + 1)
+SELECT h.doc AS doc, h.start AS start, coalesce(string_agg(w.token, ' ' ORDER BY w.pos) FILTER (NOT regexp_matches(w.token, '[0-9]')), '') AS right_words FROM h LEFT JOIN words w ON w.doc = h.doc AND w.para = h.para AND w.sent = h.sent AND w.pos BETWEEN h.q + 1 AND h.q + 10 GROUP BY ALL""")
+def kwic_phrase_tokens(spark, sf_dir):
+    """The sides of hits of several words, which meet their sentences by a join."""
+    c = _c(spark, sf_dir)
+    hits = context.with_tokens(s.search(c.words, '"of the"', "phrase", 0), c.sentences)
+    return context.sides(hits).select("doc", F.col("starts")[0].alias("start"), F.array_join("right", " ").alias("right_words"))
+
+
 @query(SIDES + " SELECT doc, start, array_to_string(r, ' ') AS words FROM (SELECT g.*, row_number() OVER (ORDER BY lower(source), " + PAD.format("r") + ", doc, start) AS k FROM g JOIN docs USING (doc)) WHERE k <= 100")
 def kwic_metadata_sort(spark, sf_dir):
     return _sorted_kwic(spark, sf_dir, "source", "right")
@@ -556,7 +587,7 @@ def kwic_metadata_sort(spark, sf_dir):
 @query(SIDES + " SELECT doc, start, array_to_string(l, ' ') AS left_words, array_to_string(r, ' ') AS right_words FROM g")
 def kwic_tokens(spark, sf_dir):
     c = _c(spark, sf_dir)
-    return context.sides(s.search(c.words, "with"), c.words).select("doc", F.col("starts")[0].alias("start"), F.array_join("left", " ").alias("left_words"), F.array_join("right", " ").alias("right_words"))
+    return context.sides(s.hits_in(c.sentences, collocation.single_group("with"))).select("doc", F.col("starts")[0].alias("start"), F.array_join("left", " ").alias("left_words"), F.array_join("right", " ").alias("right_words"))
 
 
 @query("@SELECT doc, start, substr(text, greatest(start - 300, 0) + 1, start + 300 - greatest(start - 300, 0)) AS context FROM words JOIN documents ON doc = doc_id WHERE norm = 'from'")
@@ -627,7 +658,7 @@ def landing_by_value(spark, sf_dir):
 @query(GROUPED.format(f="lang") + " SELECT token, n FROM g WHERE grp = 'en'")
 def collocate_distribution(spark, sf_dir):
     c = _c(spark, sf_dir)
-    return collocation.by_group(_hits(spark, sf_dir), c.words, c.docs, "lang", 5).where("grp = 'en'").select("token", "n")
+    return collocation.near_by_group(c.sentences, c.docs, "the", "lang", 5).where("grp = 'en'").select("token", "n")
 
 
 @query("@SELECT CAST(sum(word_count) AS BIGINT) AS words FROM docs WHERE lang = 'fr'")
@@ -667,3 +698,130 @@ def word_property_counts(spark, sf_dir):
 def collocates_by_attribute(spark, sf_dir):
     rich = _rich(spark, sf_dir)
     return collocation.around(s.search(rich, "the"), rich, attribute=("size", "long")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+# Marked-up texts
+
+_TALKS: dict[tuple[str, str], Corpus] = {}
+
+
+def _talks(spark, sf_dir) -> Corpus:
+    """Conversations as TEI texts: a division each, typed by its number's parity, with one for each turn, typed by its role in every other turn; a turn is a speech."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TALKS:
+        turn = F.concat(
+            F.lit("<div2"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit(' type="'), "role", F.lit('"'))).otherwise(""), F.lit('><sp who="'), "role", F.lit('"><speaker>'), F.upper("role"), F.lit('.</speaker><p>'), "text", F.lit("</p></sp></div2>\n"),
+        )
+        turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("bigint").alias("doc"), "turn", turn.alias("tei"))
+        listed = turns.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "tei"))), lambda x: x["tei"]), "").alias("body"))
+        head = F.concat(F.lit("<TEI><teiHeader><titleStmt><title>Talk "), "doc", F.lit('</title></titleStmt></teiHeader><text><body>\n<div1 type="'), F.when(F.col("doc") % 2 == 0, "even").otherwise("odd"), F.lit('">'))
+        _TALKS[key] = markup_corpus(listed.select("doc", F.concat(head, "body", F.lit("</div1></body></text></TEI>")).alias("text")))
+    return _TALKS[key]
+
+
+def _tei(text: str) -> str:
+    """SQL behind the turns' segmentation; the speaker's name, with its stop, is each turn's first sentence."""
+    return f"WITH {TURNS}, role AS (SELECT doc, para, role, turn FROM (SELECT conv_id AS doc, place AS para, role, turn FROM turns)), {text}"
+
+
+_TEI_WORDS = "spoken AS (SELECT doc, para, sent + 1 AS sent, pos, token FROM words UNION ALL SELECT doc, para, 1, 1, role FROM role), "
+
+
+@query(_tei(_TEI_WORDS + "x AS (SELECT 1) SELECT doc, CAST(para AS INTEGER) AS div2, sent, CAST(pos AS INTEGER) AS pos, token FROM spoken"))
+def tei_words(spark, sf_dir):
+    return _talks(spark, sf_dir).words.select("doc", "div2", "sent", "pos", "token")
+
+
+@query(_tei("x AS (SELECT 1) SELECT doc, CAST(para AS INTEGER) AS div2, sent + 1 AS sent, count(*) AS n FROM words JOIN role USING (doc, para) WHERE norm = 'de' AND role = 'user' GROUP BY ALL"))
+def tei_speaker_filter(spark, sf_dir):
+    c = _talks(spark, sf_dir)
+    speeches = metadata.select_objects(c.paragraphs, {"who": "user"}).select("doc", "div1", "div2", "div3", "para")
+    return s.search(c.words, "de", within=speeches).groupBy("doc", "div2", "sent").agg(F.count("*").alias("n"))
+
+
+@query(_tei("""typed AS (SELECT doc, para, CASE WHEN turn % 2 = 0 THEN role WHEN doc % 2 = 0 THEN 'even' ELSE 'odd' END AS value FROM role), w AS (SELECT value, count(*) + max(t) AS total_word_count, count(*) FILTER (norm = 'de') AS n FROM words JOIN typed USING (doc, para) JOIN (SELECT value, count(*) AS t FROM typed GROUP BY value) USING (value) GROUP BY value)
+SELECT value, n AS count, total_word_count, round(n / total_word_count * 10000, 2) AS relative FROM w WHERE n > 0"""))
+def tei_division_facet(spark, sf_dir):
+    """Hits by a field of divisions, the deepest that has one; the speaker's name is a word of its division."""
+    c = _talks(spark, sf_dir)
+    divs = c.divisions.withColumn("type", F.col("attrs")["type"])
+    return reports.facet_of_divisions(s.search(c.words, "de"), c.words, divs, "type")
+
+
+@query("SELECT DISTINCT conv_id AS doc, 'Talk ' || conv_id AS title FROM conversations")
+def tei_headers(spark, sf_dir):
+    return _talks(spark, sf_dir).docs.select("doc", "title")
+
+
+# Reports with their options
+
+
+@query("@SELECT coalesce(CAST(quality AS VARCHAR), 'NULL') AS value, count(*) AS count FROM docs WHERE lang = 'en' GROUP BY 1 ORDER BY count DESC, value LIMIT 100")
+def bibliographic_facet(spark, sf_dir):
+    return reports.facet(None, metadata.select_objects(_c(spark, sf_dir).docs, {"lang": '"en"'}), "quality")
+
+
+@query("@WITH p AS (SELECT lang, source, count(*) AS n FROM words JOIN docs USING (doc) WHERE norm = 'la' GROUP BY ALL) SELECT lang, CAST(sum(n) OVER (PARTITION BY lang) AS BIGINT) AS n, source, n AS inner_n FROM p")
+def aggregation_rows(spark, sf_dir):
+    c = _c(spark, sf_dir)
+    return reports.breakdown_rows(s.search(c.words, "la"), c.docs, "lang", "source")
+
+
+@query("@WITH h AS (SELECT doc, para, start, CASE WHEN lag(para) OVER w = para THEN 0 ELSE 1 END AS new FROM words WHERE norm = 'of' WINDOW w AS (PARTITION BY doc ORDER BY start)), r AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY start) AS run FROM h) SELECT doc, any_value(para) AS para, min(start) AS first_start, count(*) AS n FROM r GROUP BY doc, run")
+def runs_of_hits(spark, sf_dir):
+    return reports.runs_of_hits(s.search(_c(spark, sf_dir).words, "of"))
+
+
+SIMILAR = GROUPED.format(f="source") + """, groups AS (SELECT DISTINCT grp FROM g), tokens AS (SELECT DISTINCT token FROM g), padded AS (SELECT grp, token, coalesce(n, 0) AS n FROM groups CROSS JOIN tokens LEFT JOIN g USING (grp, token)),
+med AS (SELECT token, median(n) AS m FROM padded GROUP BY token), x AS (SELECT grp, token, greatest(0, ln(1 + n) - ln(1 + m)) AS x FROM g JOIN med USING (token)), r AS (SELECT token, x AS y FROM x WHERE grp = 'src1' AND x > 0)"""
+
+
+@query(SIMILAR + """, k AS (SELECT grp, token, row_number() OVER (PARTITION BY grp ORDER BY round(least(x, y), 9) DESC, token) AS k FROM x JOIN r USING (token) WHERE x > 0 AND grp <> 'src1')
+SELECT grp, string_agg(token, ' ' ORDER BY k) AS words FROM k WHERE k <= 20 GROUP BY grp""")
+def similar_shared_words(spark, sf_dir):
+    """What makes each group like the reference, 20 words each; of all groups, here."""
+    c = _c(spark, sf_dir)
+    out = collocation.similar_groups(collocation.near_by_group(c.sentences, c.docs, "the", "source", 5), "src1", top=10**6, most=2.0, words=20)
+    return out.where("words IS NOT NULL").select("grp", F.array_join("words", " ").alias("words"))
+
+
+@query(GROUPED.format(f="source") + f""", h AS (SELECT coalesce(source, '') AS grp FROM words JOIN docs USING (doc) WHERE norm = 'the' GROUP BY 1 HAVING count(*) >= 40), g2 AS (SELECT g.* FROM g JOIN h USING (grp)),
+o AS (SELECT grp, token, CAST(n AS DOUBLE) AS a, sum(n) OVER (PARTITION BY token) - n AS b, sum(n) OVER (PARTITION BY grp) AS na, sum(n) OVER () - sum(n) OVER (PARTITION BY grp) AS nb FROM g2),
+z AS (SELECT grp, token, {Z} AS z FROM o), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(z, 9) DESC, token) AS k FROM z WHERE z > 0)
+SELECT grp, round(sum(z), 4) AS score, string_agg(token, ' ' ORDER BY k) AS words FROM k WHERE k <= 20 GROUP BY grp ORDER BY sum(z) DESC, grp LIMIT 50""")
+def outlier_words(spark, sf_dir):
+    """Outlying groups of at least 40 hits, with the words that make them so."""
+    c = _c(spark, sf_dir)
+    hits = collocation.hits_by_group(s.search(c.words, "the"), c.docs, "source")
+    out = collocation.outlier_groups(collocation.near_by_group(c.sentences, c.docs, "the", "source", 5), hits, 40, words=True)
+    return out.select("grp", F.round("score", 4).alias("score"), F.array_join("words", " ").alias("words"))
+
+
+@query("@WITH " + NEAR.format(t="le", test=FIVE) + ", stop AS (SELECT DISTINCT lower(n_name) AS token FROM nation UNION SELECT unnest(['de', 'la', 'des'])) SELECT token, count(*) AS n FROM near WHERE token NOT IN (SELECT token FROM stop) GROUP BY token")
+def collocates_without_stopwords(spark, sf_dir):
+    c = _c(spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lower("n_name").alias("line")).unionByName(spark.createDataFrame([("de 1000",), (" la",), ("des\t3",), ("",)], "line string"))
+    return collocation.counted(collocation.near(c.sentences, "le", 5), without=collocation.filter_list(c.words, "stopwords", stopwords=lines))
+
+
+@query("@WITH r AS (SELECT *, regexp_replace(token, 's$', '') AS lemma FROM words), stop AS (SELECT lemma FROM r GROUP BY lemma ORDER BY count(*) DESC, lemma LIMIT 20) SELECT y.lemma AS token, count(*) AS n FROM r x JOIN r y USING (doc, para, sent) WHERE x.norm = 'the' AND abs(x.pos - y.pos) BETWEEN 1 AND 3 AND y.lemma NOT IN (SELECT lemma FROM stop) GROUP BY y.lemma")
+def collocates_of_lemmas(spark, sf_dir):
+    rich = _rich(spark, sf_dir)
+    return collocation.collocates(s.search(rich, "the"), rich, 3, without=collocation.filter_list(rich, n=20, by="lemma"), by="lemma")
+
+
+@query("@SELECT 'lemma:' || regexp_replace(token, 's$', '') AS completion, count(*) AS freq FROM words WHERE starts_with(regexp_replace(token, 's$', ''), 'then') GROUP BY 1 UNION ALL SELECT 'lemma:' || regexp_replace(token, 's$', '') || ':size:long', count(*) FROM words WHERE starts_with(regexp_replace(token, 's$', ''), 'then') AND length(token) > 5 GROUP BY 1 ORDER BY freq DESC, completion LIMIT 100")
+def key_autocomplete(spark, sf_dir):
+    return autocomplete.keys(_rich(spark, sf_dir), "lemma:then")
+
+
+@query("SELECT source AS value, CASE WHEN contains(source, '1') THEN substr(source, 1, instr(source, '1') - 1) || '<span class=\"highlight\">1</span>' || substr(source, instr(source, '1') + 1) ELSE source END AS shown FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")
+def highlighted_values(spark, sf_dir):
+    return autocomplete.highlighted(_c(spark, sf_dir).docs.where("source IS NOT NULL").select(F.col("source").alias("value")).distinct(), "1")
+
+
+@query("WITH a AS (SELECT DISTINCT substr(p_name, 1, 4) AS ab FROM part UNION SELECT DISTINCT substr(p_name, 1, 7) FROM part WHERE p_partkey % 2 = 0), c AS (SELECT p_partkey, p_name FROM part), m AS (SELECT p_partkey, p_name, max(length(ab)) AS n FROM c JOIN a ON starts_with(p_name, ab) GROUP BY ALL) SELECT p_partkey, substr(p_name, 1, n) AS abbreviation, trim(substr(p_name, n + 1)) AS rest FROM m")
+def resolved_citations(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    short = parts.select(F.substring("p_name", 1, 4).alias("abbreviation")).union(parts.where("p_partkey % 2 = 0").select(F.substring("p_name", 1, 7))).distinct()
+    return context.resolve_citation(parts.select("p_partkey", "p_name"), short.withColumn("work", F.col("abbreviation")), "p_name").select("p_partkey", "abbreviation", "rest")

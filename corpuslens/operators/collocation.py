@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.stats import log_odds_z
+from corpuslens.operators.search import inside
+from corpuslens.plans.predicates import word_group
+from corpuslens.plans.syntax import Group, group_terms, parse_query, split_phrases
 from corpuslens.schema import SENTENCE
+from corpuslens.store import kept
 
 
 def around(hits: DataFrame, words: DataFrame, distance: int | None = None, attribute: tuple[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -23,6 +27,70 @@ def around(hits: DataFrame, words: DataFrame, distance: int | None = None, attri
     return left.join(right.select(*SENTENCE, "pos", named.alias("token"), "norm", *extra), list(SENTENCE)).where(near)
 
 
+def single_group(query: str) -> Group:
+    """The one group of a query of single words."""
+    groups = split_phrases(group_terms(parse_query(query)))
+    if len(groups) != 1:
+        raise ValueError("collocates are of single words")
+    return groups[0]
+
+
+def near(sentences: DataFrame, query: str, distance: int | None = None, within: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (*keep, token, norm, m): the words around a single word's hits, with how many hits each stands by.
+
+    A narrow scan of the sentence layout.  Without a ``distance`` each word of
+    a sentence counts once, weighed by the hits beside itself, so the work is
+    linear in a sentence's length; with one, only the words that near are
+    looked at.  ``within`` restricts to objects; ``keep``: columns of the
+    sentences (doc, or what was joined to them).
+    """
+    group = single_group(query)
+    is_hit = lambda x: word_group(group, False, x.getField)
+    rows = (inside(sentences, within) if within is not None else sentences).where(F.exists("tokens", is_hit))
+    if distance is None:
+        hits = F.size(F.filter("tokens", is_hit))
+        words = rows.select(*keep, hits.alias("_h"), F.explode("tokens").alias("_t"))
+        out = words.select(*keep, "_t.token", "_t.norm", (F.col("_h") - F.when(is_hit(F.col("_t")), 1).otherwise(0)).alias("m"))
+        return out.where("m > 0")
+    at = F.filter(F.transform("tokens", lambda x: F.when(is_hit(x), x["pos"])), lambda p: p.isNotNull())
+    hits = rows.select(*keep, "tokens", F.explode(at).alias("_p"))
+    first = F.greatest(F.col("_p") - distance, F.lit(1))
+    words = F.filter(F.slice("tokens", first, F.col("_p") + distance + 1 - first), lambda x: x["pos"] != F.col("_p"))
+    return hits.select(*keep, F.explode(words).alias("_t")).select(*keep, "_t.token", "_t.norm", F.lit(1).alias("m"))
+
+
+def filter_list(words: DataFrame, choice: str = "frequency", n: int = 100, stopwords: DataFrame | None = None, by: str = "token") -> DataFrame:
+    """Rows (token): the n most frequent words (``by``: their lemmas), or a list of stopwords (rows of one column, a word and whatever follows it)."""
+    if choice == "stopwords":
+        if stopwords is None:
+            raise ValueError("stopwords list not found")
+        first = F.regexp_extract(F.col(stopwords.columns[0]), r"^\s*(\S+)", 1)
+        return stopwords.select(first.alias("token")).where("token <> ''").distinct()
+    return frequent(words.select(F.col(by).alias("token")), n)
+
+
+def with_property(rows: DataFrame, name: str, value: str) -> DataFrame:
+    """Rows of words with an attribute's value, or a lemma."""
+    return rows.where(F.col("lemma") == value) if name == "lemma" else rows.where(F.col("attrs")[name] == value)
+
+
+def counted(rows: DataFrame, by: tuple[str, ...] = (), without: DataFrame | None = None, own: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (*by, token, n) of near(), less a filter list (rows (token)) and the query's own forms."""
+    if own:
+        rows = rows.where(~F.col("norm").isin(*own))
+    counts = rows.groupBy(*by, "token").agg(F.sum("m").alias("n"))
+    return counts.join(without, "token", "left_anti") if without is not None else counts  # the list meets counts, not occurrences
+
+
+def near_by_group(sentences: DataFrame, docs: DataFrame, query: str, field: str, distance: int | None = None, own: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (grp, token, n) of the collocates of each value of a document field; null is the empty value.
+
+    Words are summed by document first, so the metadata meets sums.
+    """
+    by_doc = counted(near(sentences, query, distance, keep=("doc",)), ("doc",), own=own)
+    return by_doc.join(docs.select("doc", F.coalesce(F.col(field).cast("string"), F.lit("")).alias("grp")), "doc").groupBy("grp", "token").agg(F.sum("n").alias("n"))
+
+
 def frequent(words: DataFrame, n: int = 100) -> DataFrame:
     """The n most frequent words; ties by the word."""
     return words.groupBy("token").agg(F.count("*").alias("freq")).orderBy(F.col("freq").desc(), "token").limit(n).select("token")
@@ -35,7 +103,7 @@ def collocates(hits: DataFrame, words: DataFrame, distance: int | None = None, w
         near = near.where(~F.col("norm").isin(*own))
     counts = near.groupBy(F.col(by).alias("token")).agg(F.count("*").alias("n"))
     # the filter meets counts, not occurrences
-    return counts.join(F.broadcast(without), "token", "left_anti") if without is not None else counts
+    return counts.join(without, "token", "left_anti") if without is not None else counts
 
 
 def by_group(hits: DataFrame, words: DataFrame, docs: DataFrame, field: str, distance: int | None = None, own: tuple[str, ...] = ()) -> DataFrame:
@@ -49,14 +117,26 @@ def by_group(hits: DataFrame, words: DataFrame, docs: DataFrame, field: str, dis
 
 def compared(a: DataFrame, b: DataFrame, whole: bool = False) -> DataFrame:
     """Rows (token, z): over-use in a against b, two tables (token, n); with ``whole``, b holds a, which is taken off."""
-    both = a.select("token", F.col("n").alias("a")).join(b.select("token", F.col("n").alias("b")), "token", "full").na.fill(0, ["a", "b"])
+    none = F.lit(0).cast("bigint")
+    both = a.select("token", F.col("n").alias("a"), none.alias("b")).unionByName(b.select("token", none.alias("a"), F.col("n").alias("b")))
+    return _scored(both.groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), whole)
+
+
+def _scored(both: DataFrame, whole: bool) -> DataFrame:
     if whole:
         both = both.withColumn("b", F.greatest(F.col("b") - F.col("a"), F.lit(0)))
+    both = kept(both, "both")
     totals = both.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     scored = both.where("a + b > 0").crossJoin(F.broadcast(totals))  # one row of totals
     return scored.select("token", log_odds_z(F.col("a"), F.col("b"), F.col("na"), F.col("nb")).alias("z"))
 
 
+def compared_within(near_rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows (token, z): over-use around the hits of chosen documents (rows (doc)) against the others'; one pass over near() with ``doc``."""
+    by_doc = near_rows.groupBy("doc", "token").agg(F.sum("m").alias("n")).join(chosen.select("doc", F.lit(True).alias("_in")), "doc", "left")
+    return _scored(by_doc.groupBy("token").agg(F.sum(F.when(F.col("_in"), F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("b")), True)
+
+
 def both_ends(z: DataFrame, n: int = 100) -> DataFrame:
     """Rows (side, token, z): the n most over-used and the n most under-used words, the latter with their size."""
     top = z.where("z > 0").orderBy(F.col("z").desc(), "token").limit(n).select(F.lit("top").alias("side"), "token", "z")
@@ -64,14 +144,14 @@ def both_ends(z: DataFrame, n: int = 100) -> DataFrame:
     return top.unionByName(low)
 
 
-def similar_groups(counts: DataFrame, reference: str, top: int = 50, most: float = 0.99) -> DataFrame:
-    """Rows (grp, similarity): cosine of each group's excess over the typical group with the reference's.
+def excess_over_typical(counts: DataFrame) -> DataFrame:
+    """Rows (grp, token, x), stored: each group's excess of a word over the typical group, where there is one.
 
-    The excess of a word is max(0, ln(1 + n) - ln(1 + median)), the median
-    being over all groups, those without the word included as 0: in ascending
-    order the zeros come first, so the middle ranks follow from the number of
-    groups with the word.
+    x is max(0, ln(1 + n) - ln(1 + median)), the median being over all groups,
+    those without the word included as 0: in ascending order the zeros come
+    first, so the middle ranks follow from the number of groups with the word.
     """
+    counts = kept(counts, "counts")
     groups = counts.select("grp").distinct().agg(F.count("*").alias("g"))
     w = Window.partitionBy("token").orderBy("n")
     ranked = counts.withColumn("k", F.row_number().over(w)).withColumn("df", F.count("*").over(Window.partitionBy("token"))).crossJoin(F.broadcast(groups))
@@ -79,28 +159,58 @@ def similar_groups(counts: DataFrame, reference: str, top: int = 50, most: float
     low, high = F.floor((F.col("g") + 1) / 2), F.floor(F.col("g") / 2) + 1
     middle = ranked.groupBy("token").agg(((F.coalesce(F.max(F.when(place == low, F.col("n"))), F.lit(0)) + F.coalesce(F.max(F.when(place == high, F.col("n"))), F.lit(0))) / 2).alias("median"))
     excess = counts.join(middle, "token").select("grp", "token", F.greatest(F.lit(0.0), F.log1p("n") - F.log1p("median")).alias("x")).where("x > 0")
+    return kept(excess, "excess")
+
+
+def similar_groups(counts: DataFrame, reference: str, top: int = 50, most: float = 0.99, words: int | None = None) -> DataFrame:
+    """Rows (grp, similarity[, words]): cosine of each group's excess over the typical group with the reference's.
+
+    ``words`` adds that many shared collocates, those whose smaller excess of
+    the two is the largest.
+    """
+    excess = excess_over_typical(counts)
     ref = excess.where(F.col("grp") == reference).select("token", F.col("x").alias("y"))
     norm = ref.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ny"))
-    parts = excess.join(ref, "token", "left").groupBy("grp").agg(F.sum(F.col("x") * F.coalesce("y", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
+    both = excess.join(ref, "token", "left")
+    parts = both.groupBy("grp").agg(F.sum(F.col("x") * F.coalesce("y", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
     out = parts.crossJoin(F.broadcast(norm)).where(F.col("grp") != reference).select("grp", (F.col("dot") / (F.col("nx") * F.col("ny"))).alias("similarity"))
-    return out.where(F.col("similarity") < most).orderBy(F.col("similarity").desc(), "grp").limit(top)
+    out = out.where(F.col("similarity") < most).orderBy(F.col("similarity").desc(), "grp").limit(top)
+    if not words:
+        return out
+    least = F.round(F.least("x", "y"), 9)
+    ranked = both.where("y IS NOT NULL").join(out.select("grp"), "grp", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy(least.desc(), "token"))).where(F.col("k") <= words)
+    return out.join(_listed(ranked), "grp", "left")
+
+
+def _listed(ranked: DataFrame) -> DataFrame:
+    """Rows (grp, words): each group's tokens by rank k, in one array."""
+    return ranked.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda x: x["token"]).alias("words"))
 
 
-def outlier_groups(counts: DataFrame, hits: DataFrame | None = None, min_hits: int = 10, top_k: int = 20, top_n: int = 50) -> DataFrame:
-    """Rows (grp, score): the sum of a group's top_k positive z-scores against all other groups, on its own words.
+def outlier_groups(counts: DataFrame, hits: DataFrame | None = None, min_hits: int = 10, top_k: int = 20, top_n: int = 50, words: bool = False) -> DataFrame:
+    """Rows (grp, score[, words]): the sum of a group's top_k positive z-scores against all other groups, on its own words.
 
-    hits: rows (grp, hits); groups below ``min_hits`` are left out.
+    hits: rows (grp, hits); groups below ``min_hits`` are left out.  ``words``
+    adds the words of those scores, the highest first.
     """
     if hits is not None:
         counts = counts.join(hits.where(F.col("hits") >= min_hits).select("grp"), "grp", "left_semi")
+    counts = kept(counts, "counts")
     per_token = counts.groupBy("token").agg(F.sum("n").alias("all_n"))
     per_group = counts.groupBy("grp").agg(F.sum("n").alias("na"))
     total = counts.agg(F.sum("n").alias("total"))
     full = counts.join(per_token, "token").join(per_group, "grp").crossJoin(F.broadcast(total))
     rest: Column = F.col("all_n") - F.col("n")
     z = full.select("grp", "token", log_odds_z(F.col("n"), rest, F.col("na"), F.col("total") - F.col("na")).alias("z")).where("z > 0")
-    best = z.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("z").desc(), "token"))).where(F.col("k") <= top_k)
-    return best.groupBy("grp").agg(F.sum("z").alias("score")).orderBy(F.col("score").desc(), "grp").limit(top_n)
+    best = z.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy(F.round("z", 9).desc(), "token"))).where(F.col("k") <= top_k)
+    scores = best.groupBy("grp").agg(F.sum("z").alias("score"), *([F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda x: x["token"]).alias("words")] if words else []))
+    return scores.orderBy(F.col("score").desc(), "grp").limit(top_n)
+
+
+def hits_by_group(hits: DataFrame, docs: DataFrame, field: str) -> DataFrame:
+    """Rows (grp, hits) of each value of a document field; null is the empty value.  Hits are summed by document first."""
+    by_doc = hits.groupBy("doc").agg(F.count("*").alias("n")).join(docs.select("doc", F.coalesce(F.col(field).cast("string"), F.lit("")).alias("grp")), "doc")
+    return by_doc.groupBy("grp").agg(F.sum("n").alias("hits"))
 
 
 def over_periods(counts: DataFrame, year: str, period: int, top: int = 100) -> DataFrame:
@@ -110,6 +220,7 @@ def over_periods(counts: DataFrame, year: str, period: int, top: int = 100) -> D
     it isn't positive.
     """
     by_period = counts.groupBy((F.floor(F.col(year) / period) * period).alias("period"), "token").agg(F.sum("n").alias("n"))
+    by_period = kept(by_period, "periods")
     totals = by_period.groupBy("period").agg(F.sum("n").alias("total"))
     w = Window.orderBy("period")  # one row a period
     order = totals.select("period", "total", F.lag("period").over(w).alias("before"), F.lead("period").over(w).alias("after"), F.coalesce(F.lag("total").over(w), F.lit(0)).alias("tb"), F.coalesce(F.lead("total").over(w), F.lit(0)).alias("ta"))

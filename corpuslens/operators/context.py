@@ -32,15 +32,22 @@ def kwic(hits: DataFrame, texts: DataFrame, size: int = 60) -> DataFrame:
     return hits.join(texts, "doc").select(*hits.columns, cut(begin, first - begin).alias("left"), cut(first, end - first).alias("hit"), cut(end, F.lit(size)).alias("right"))
 
 
-def sides(hits: DataFrame, words: DataFrame, n: int = SIDE) -> DataFrame:
-    """Hits with the n words before (nearest first) and after them, as arrays; words with a digit are passed over."""
-    spot = F.struct("pos", "token")
-    near = hits.join(words.where(~F.col("token").rlike(r"\d")).select(*SENTENCE, "pos", "token"), list(SENTENCE), "left")
+def with_tokens(hits: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Hits with their sentence's words (tokens); single words come with them from search.hits_in."""
+    return hits.join(sentences.select(*SENTENCE, "tokens"), list(SENTENCE), "left")
+
+
+def sides(hits: DataFrame, n: int = SIDE) -> DataFrame:
+    """Hits (with tokens) with their own words as ``q``, and the n words before (nearest first) and after them, as arrays; words with a digit are passed over.
+
+    Positions count from 1 without gaps, so each side is one slice.
+    """
     first, last = F.col("positions")[0], F.element_at("positions", -1)
-    before, after = (F.col("pos") < first) & (F.col("pos") >= first - n), (F.col("pos") > last) & (F.col("pos") <= last + n)
-    listed = near.groupBy(*hits.columns).agg(F.sort_array(F.collect_list(F.when(before, spot)), asc=False).alias("l"), F.sort_array(F.collect_list(F.when(after, spot))).alias("r"))
-    names = lambda c: F.transform(c, lambda x: x["token"])
-    return listed.select(*hits.columns, names("l").alias("left"), names("r").alias("right"))
+    begin = F.greatest(first - n, F.lit(1))
+    names = lambda c: F.transform(F.filter(c, lambda x: ~x["token"].rlike(r"\d")), lambda x: x["token"])
+    own = F.array_join(F.transform("positions", lambda p: F.element_at("tokens", p)["token"]), " ")
+    before, after = F.slice("tokens", begin, first - begin), F.slice("tokens", last + 1, F.lit(n))
+    return hits.select(*(c for c in hits.columns if c != "tokens"), own.alias("q"), F.reverse(names(before)).alias("left"), names(after).alias("right"))
 
 
 def padded(c: Column, n: int = SIDE) -> Column:
@@ -48,26 +55,55 @@ def padded(c: Column, n: int = SIDE) -> Column:
     return F.concat(c, F.array_repeat(F.lit(LAST), F.lit(n) - F.size(c)))
 
 
-def sorted_kwic(hits: DataFrame, words: DataFrame, by: tuple[str, ...], docs: DataFrame | None = None, limit: int = 100, start: int = 1) -> DataFrame:
-    """Hits in the order of up to three keys: left, right, or fields of the hit's document; then of the text."""
-    rows = sides(hits, words)
-    fields = [k for k in by if k not in ("left", "right")]
+def sorted_kwic(hits: DataFrame, by: tuple[str, ...], docs: DataFrame | None = None, limit: int = 100, start: int = 1) -> DataFrame:
+    """Hits (with tokens) in the order of up to three keys: left, right, q (the hit's own words), or fields of the hit's document; then of the text."""
+    rows = sides(hits)
+    fields = [k for k in by if k not in ("left", "right", "q")]
     if fields:
         rows = rows.join(docs.select("doc", *fields), "doc")
     keys = [padded(F.col(k)) if k in ("left", "right") else F.regexp_replace(F.lower(F.trim(F.col(k).cast("string"))), r"\s+", ",").asc_nulls_last() for k in by]
     return rows.orderBy(*keys, "doc", F.col("starts")[0]).limit(start + limit - 1).offset(start - 1)
 
 
-def citation(parts: list[Column], separator: str = ", ") -> Column:
-    """The given labels that aren't empty, joined."""
-    return F.concat_ws(separator, *(F.nullif(p, F.lit("")) for p in parts))
-
-
-def resolve_citation(cites: DataFrame, abbreviations: DataFrame, text: str = "cite") -> DataFrame:
-    """Each citation with the work whose abbreviation is its longest beginning: (abbreviation, work)."""
-    pairs = cites.join(F.broadcast(abbreviations), F.col(text).startswith(F.col("abbreviation")))  # a list of works, which fits any driver
-    best = pairs.groupBy(*cites.columns).agg(F.max_by(F.struct("abbreviation", "work"), F.length("abbreviation")).alias("b"))
-    return best.select(*cites.columns, "b.abbreviation", "b.work", F.trim(F.substr(F.col(text), F.length("b.abbreviation") + 1)).alias("rest"))
+def citation(parts: list[Column | tuple[Column, dict]], separator: str = ", ") -> Column:
+    """The given labels that aren't empty, joined; a label may come with what stands before and after it (prefix, suffix) and a separator of its own."""
+    shown, last = [], len(parts) - 1
+    for k, part in enumerate(parts):
+        label, how = part if isinstance(part, tuple) else (part, {})
+        text = F.nullif(F.trim(label.cast("string")), F.lit(""))
+        after = how.get("separator", separator) if k < last else ""
+        shown.append(F.coalesce(F.concat(F.lit(how.get("prefix", "")), text, F.lit(how.get("suffix", "")), F.lit(after)), F.lit("")))
+    joined = F.concat(*shown)
+    return F.regexp_replace(joined, r"[\s,;:]+$", "")
+
+
+#: Divisions that a citation may name behind its work, from the highest.
+DIV_LEVELS = ("div1", "div2", "div3")
+
+
+def resolve_citation(cites: DataFrame, abbreviations: DataFrame, text: str = "cite", divs: DataFrame | None = None) -> DataFrame:
+    """Each citation with the work whose abbreviation is its longest beginning: (abbreviation, work, rest).
+
+    A citation's beginnings meet the abbreviations by an equi-join, so neither
+    side need be small.  With ``divs`` (work, div1, div2, div3, and n1 to n3,
+    their labels), the rest, as ``2.1`` or ``Book 2, 1``, is read as labels of
+    divisions, and the deepest one whose labels fit gives div1 to div3.
+    """
+    numbered = cites.withColumn("_id", F.monotonically_increasing_id())
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda n: F.substr(F.col(text), F.lit(1), n))
+    pairs = numbered.select("_id", text, F.explode(starts).alias("abbreviation")).join(abbreviations, "abbreviation")
+    best = pairs.groupBy("_id").agg(F.max_by(F.struct("abbreviation", "work"), F.length("abbreviation")).alias("b"))
+    out = numbered.join(best, "_id").select(*cites.columns, "b.abbreviation", "b.work", F.trim(F.substr(F.col(text), F.length("b.abbreviation") + 1)).alias("rest"))
+    if divs is None:
+        return out
+    labels = F.filter(F.split(F.regexp_replace("rest", r"(?i)\b(?:book|chapter|act|scene|canto|part)\b", " "), r"[\s.,;:]+"), lambda x: x != "")
+    out = out.withColumn("_id", F.monotonically_increasing_id()).withColumn("_l", labels)
+    fits = F.lit(True)
+    for k in (1, 2, 3):
+        fits = fits & (F.coalesce(F.col(f"n{k}"), F.lit("")).isin("") | (F.get("_l", F.lit(k - 1)) == F.col(f"n{k}")))
+    depth = sum((F.coalesce(F.col(f"n{k}"), F.lit("")) != "").cast("int") for k in (1, 2, 3))
+    named = out.join(divs, "work").where(fits & (depth > 0)).groupBy("_id").agg(F.max_by(F.struct(*DIV_LEVELS), depth).alias("_d"))
+    return out.join(named, "_id", "left").select(*[c for c in out.columns if c[0] != "_"], *(F.col("_d")[k].alias(k) for k in DIV_LEVELS))
 
 
 def text_of(objects: DataFrame, texts: DataFrame) -> DataFrame:

@@ -7,19 +7,42 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.stats import per_ten_thousand
 from corpuslens.functions.text import fold
+from corpuslens.operators.metadata import inherit
+from corpuslens.schema import KEYS
 
 
 def with_metadata(hits: DataFrame, docs: DataFrame, *fields: str) -> DataFrame:
     return hits.join(docs.select("doc", *fields), "doc")
 
 
-def facet(hits: DataFrame, docs: DataFrame, field: str, top: int = 100) -> DataFrame:
-    """Hits of each value of a field (null is NULL), with the words there and hits in 10,000 words; the ``top`` most frequent."""
+def facet(hits: DataFrame | None, docs: DataFrame, field: str, top: int = 100) -> DataFrame:
+    """Hits of each value of a field (null is NULL), with the words there and hits in 10,000 words; the ``top`` most frequent.
+
+    Without hits it is a facet of a bibliography: documents of each value.
+    """
     value = F.coalesce(F.col(field).cast("string"), F.lit("NULL"))
+    if hits is None:
+        return docs.groupBy(value.alias("value")).agg(F.count("*").alias("count")).orderBy(F.col("count").desc(), "value").limit(top)
     # hits are summed by document before the metadata is met
     by_doc = hits.groupBy("doc").agg(F.count("*").alias("n")).join(docs, "doc", "right")
-    out = by_doc.groupBy(value.alias("value")).agg(F.sum(F.coalesce("n", F.lit(0))).alias("count"), F.sum("word_count").alias("total_word_count")).where(F.col("count") > 0)
-    return out.select("value", "count", "total_word_count", per_ten_thousand(F.col("count"), F.col("total_word_count")).alias("relative")).orderBy(F.col("count").desc(), "value").limit(top)
+    return _relative(by_doc.groupBy(value.alias("value")).agg(F.sum(F.coalesce("n", F.lit(0))).alias("count"), F.sum("word_count").alias("total_word_count")), top)
+
+
+def _relative(sums: DataFrame, top: int) -> DataFrame:
+    return sums.where(F.col("count") > 0).select("value", "count", "total_word_count", per_ten_thousand(F.col("count"), F.col("total_word_count")).alias("relative")).orderBy(F.col("count").desc(), "value").limit(top)
+
+
+def facet_of_divisions(hits: DataFrame, words: DataFrame, divs: DataFrame, field: str, top: int = 100) -> DataFrame:
+    """Like facet(), by a field of divisions (rows: level, div keys, field): a hit has the value of its deepest division with one, else NULL.
+
+    Hits and words are summed by their lowest division before the fields are met.
+    """
+    key = [k for k in KEYS["div3"]]
+    sums = lambda rows, name: rows.groupBy(*key).agg(F.count("*").alias(name))
+    both = sums(words, "w").join(sums(hits, "n"), key, "left")
+    named = inherit(both, divs, field)
+    value = F.coalesce(F.col(field).cast("string"), F.lit("NULL"))
+    return _relative(named.groupBy(value.alias("value")).agg(F.sum(F.coalesce("n", F.lit(0))).alias("count"), F.sum("w").alias("total_word_count")), top)
 
 
 def breakdown(hits: DataFrame, docs: DataFrame, field: str, inner: str) -> DataFrame:
@@ -31,6 +54,22 @@ def breakdown(hits: DataFrame, docs: DataFrame, field: str, inner: str) -> DataF
     return pairs.groupBy(field).agg(F.sum("n").alias("n"), text.alias("break_up"))
 
 
+def breakdown_rows(hits: DataFrame, docs: DataFrame, field: str, inner: str) -> DataFrame:
+    """breakdown() with a row for each inner value, as it is exported: (field, n, inner, inner_n)."""
+    by_doc = hits.groupBy("doc").agg(F.count("*").alias("n")).join(docs.select("doc", F.col(field).cast("string").alias(field), F.col(inner).cast("string").alias(inner)), "doc")
+    pairs = by_doc.groupBy(field, inner).agg(F.sum("n").alias("inner_n"))
+    return pairs.join(pairs.groupBy(F.col(field).alias("_f")).agg(F.sum("inner_n").alias("n")), F.col(field).eqNullSafe(F.col("_f"))).select(field, "n", inner, "inner_n")
+
+
+def runs_of_hits(hits: DataFrame) -> DataFrame:
+    """Hits in text order by their runs within one paragraph: (doc, para, first_start, n), one row a run of neighbours."""
+    w = Window.partitionBy("doc").orderBy("start")
+    at = hits.select("doc", "para", F.col("starts")[0].alias("start"))
+    turned = at.withColumn("new", F.coalesce((F.lag("para").over(w) != F.col("para")).cast("int"), F.lit(1)))
+    run = turned.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy("doc", "run").agg(F.first("para").alias("para"), F.min("start").alias("first_start"), F.count("*").alias("n")).select("doc", "para", "first_start", "n")
+
+
 def hitlist_stats(hits: DataFrame, docs: DataFrame, fields: list[str]) -> DataFrame:
     """One row: for each field, the distinct values among the hits' documents, null counting as one."""
     there = docs.join(hits.select("doc").distinct(), "doc", "left_semi")
@@ -99,3 +138,10 @@ def table_of_contents(heads: DataFrame, doc: str = "doc") -> DataFrame:
     one = F.max(F.when(F.col("depth") == 1, F.col("n"))).over(w)
     parent = F.when(F.col("depth") == 1, 0).when(F.col("depth") == 2, F.coalesce(one, F.lit(0))).otherwise(F.when(F.coalesce(two, F.lit(0)) > F.coalesce(one, F.lit(0)), two).otherwise(F.coalesce(one, F.lit(0))))
     return heads.select(doc, "n", "depth", "head", parent.alias("parent"))
+
+
+def shown_contents(heads: DataFrame, doc: str = "doc") -> DataFrame:
+    """table_of_contents() without empty headings and notes; a division without a heading of its own is shown by its type, its label, or its level and number."""
+    label = F.coalesce(*(F.nullif(F.trim(F.col(c)), F.lit("")) for c in ("head", "type", "label") if c in heads.columns), F.concat(F.lit("div"), F.col("depth"), F.lit(" "), F.col("n")))
+    kept = heads.where(~F.lower(F.coalesce(F.col("type"), F.lit(""))).isin("notes", "note")) if "type" in heads.columns else heads
+    return table_of_contents(kept.withColumn("head", F.nullif(label, F.lit("[NA]"))).where("head IS NOT NULL"), doc)

@@ -113,6 +113,14 @@ def _together(words: DataFrame, groups: list[Group], method: str, order: str, n:
     return out if order == "ordered" or disjoint else out.distinct()
 
 
+def hits_in(sentences: DataFrame, group: Group, anchored: bool = False) -> DataFrame:
+    """Hits of one group in the sentence layout, with their sentence's words (tokens); a narrow scan."""
+    spot = lambda x: F.when(word_group(group, anchored, x.getField), F.struct(x["pos"], x["start"]))
+    spots = F.filter(F.transform("tokens", spot), lambda x: x.isNotNull())
+    rows = sentences.where(F.exists("tokens", lambda x: word_group(group, anchored, x.getField))).select(*SENTENCE, "tokens", F.explode(spots).alias("_s"))
+    return rows.select(*SENTENCE, F.array("_s.pos").alias("positions"), F.array("_s.start").alias("starts"), "tokens")
+
+
 def inside(rows: DataFrame, objects: DataFrame) -> DataFrame:
     """Rows that lie in one of the objects, given by their key columns."""
     key = [k for k in KEYS["word"][:-1] if k in objects.columns]

@@ -7,6 +7,7 @@ any join: equality and IN for terms, a prefix beside a regular expression.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,28 +38,29 @@ def _either(tests: list[Column]) -> Column:
     return out
 
 
-def word_token(token: Token, anchored: bool = False) -> Column:
+def word_token(token: Token, anchored: bool = False, get: Callable[[str], Column] = F.col) -> Column:
+    """The test of a word by one token; ``get`` gives the word's columns, those of a row or of a struct."""
     kind, value = token
     if kind == "QUOTE":
         text = value.strip('"').lower()
-        return matches(F.col("token"), text, anchored) if METACHARACTERS.search(text) else F.col("token") == text
+        return matches(get("token"), text, anchored) if METACHARACTERS.search(text) else get("token") == text
     if kind in ("LEMMA", "LEMMA_ATTR", "ATTR"):
         parts = value.split(":")
-        head = F.col("lemma") if parts[0] == "lemma" else F.col("token")
+        head = get("lemma") if parts[0] == "lemma" else get("token")
         rest = parts[1:] if parts[0] == "lemma" else parts
         test = matches(head, rest[0], True) if METACHARACTERS.search(rest[0]) else head == rest[0]
-        return test & (F.col("attrs")[rest[1]] == rest[2]) if len(rest) == 3 else test & (F.lit(True) if len(rest) == 1 else F.array_contains(F.map_values("attrs"), rest[1]))
+        return test & (get("attrs")[rest[1]] == rest[2]) if len(rest) == 3 else test & (F.lit(True) if len(rest) == 1 else F.array_contains(F.map_values(get("attrs")), rest[1]))
     text = folded(value)
-    return matches(F.col("norm"), text, anchored) if METACHARACTERS.search(text) else F.col("norm") == text
+    return matches(get("norm"), text, anchored) if METACHARACTERS.search(text) else get("norm") == text
 
 
-def word_group(group: Group, anchored: bool = False) -> Column:
+def word_group(group: Group, anchored: bool = False, get: Callable[[str], Column] = F.col) -> Column:
     """OR of the alternatives; terms without a pattern become one IN."""
     plain = sorted({folded(v) for k, v in group.any_of if k == "TERM" and not METACHARACTERS.search(v)})
-    tests = [F.col("norm").isin(plain)] if plain else []
-    tests += [word_token(t, anchored) for t in group.any_of if t[0] != "TERM" or METACHARACTERS.search(t[1])]
+    tests = [get("norm").isin(plain)] if plain else []
+    tests += [word_token(t, anchored, get) for t in group.any_of if t[0] != "TERM" or METACHARACTERS.search(t[1])]
     test = _either(tests)
-    return test & ~_either([word_token(t, anchored) for t in group.none_of]) if group.none_of else test
+    return test & ~_either([word_token(t, anchored, get) for t in group.none_of]) if group.none_of else test
 
 
 def is_plain(group: Group) -> bool:

@@ -21,11 +21,17 @@ from corpuslens.functions.text import folded
 
 TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?-->|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([\w:.-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
-PIECE = regex.compile(r"[\p{L}\p{M}\p{N}]+|[&\p{L};]+|[^\p{L}\p{M}\p{N}&;]+")
+PIECE = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:_+[\p{L}\p{M}\p{N}]+)*|[&\p{L};]+|[^\p{L}\p{M}\p{N}&;]+")
 LETTER = regex.compile(r"\p{L}")
 # What tags are.
 PARAGRAPHS = frozenset("p sp lg note epigraph argument list opener closer stage castlist add ab".split())
-DIVISIONS = {"div1": 1, "div2": 2, "div3": 3}
+DIVISION = re.compile(r"div([0-7]?)\Z")
+#: Tags that may stand within a word.
+IN_WORDS = "hi emph orig sic abbr i sup".split()
+#: Paragraphs that hold no other objects.
+CLOSED = frozenset("sp argument opener closer add".split())
+#: What isn't an object within those, or among notes.
+OPEN_ONLY = frozenset("p stage lg".split())
 HEADINGS = {"h1": 1, "h2": 2, "h3": 3}
 SKIPPED = frozenset("teiheader head_html script style".split())
 PAGE, LINE, REF, GRAPHIC = frozenset(["pb"]), frozenset(["l", "lb"]), frozenset(["ref"]), frozenset(["graphic", "figure"])
@@ -46,16 +52,44 @@ class State:
     last: str = ""
     open_para: dict | None = None
     own_sentences: bool = False
+    front: bool = False
+    closed: bool = False
+    in_lines: bool = False
+    break_lines: bool = True
+    has_divs: bool = True
     parallel: dict[str, int] = field(default_factory=dict)
 
     def key(self) -> dict:
-        return {"div1": max(1, self.divs[0]) if self.depth or self.divs[0] else 1, "div2": self.divs[1] or 1, "div3": self.divs[2] or 1, "para": self.para}
+        return {"div1": self.divs[0] or 1, "div2": self.divs[1] or 1, "div3": self.divs[2] or 1, "para": self.para}
 
 
-def parse(text: str | None, is_html: bool = False) -> Iterator[dict]:
-    """Rows of ROWS but doc: objects (kind div, para, page, line, ref, graphic) in order of their beginning, words and punctuation."""
-    text = text or ""
-    s = State()
+_GAP = re.compile(r"(?<=\w)((?:-|&hyphen;|&shy;|\u00ad)\s*(?:</?(?:lb|pb)\b[^>]*>\s*)*(?:</?(?:lb|pb)\b[^>]*>|\n)\s*|(?:&shy;|\u00ad))(?=\w)", re.I)
+_EXPANSION = re.compile(r"<abbr\b[^>]*\bexpan=\"([^\"]*)\"[^>]*>([^<]*)</abbr>", re.I)
+_IN_WORD = re.compile(rf"(?<=\w)(?:</?(?:{'|'.join(IN_WORDS)})\b[^>]*>)+(?=\w)", re.I)
+
+
+def tidied(text: str) -> str:
+    """Markup before it is parsed: every sign keeps its place.
+
+    Carriage returns and line ends are blanks; a word that is broken by a
+    hyphen at a line's end, or by tags that stand within words, is filled up
+    with ``_``, which words are indexed without.  An abbreviation whose
+    expansion fits between its tags is replaced by that.
+    """
+    filler = lambda m: "_" * len(m[0])
+    expanded = _EXPANSION.sub(lambda m: m[1].ljust(len(m[0])) if len(m[1]) <= len(m[0]) else m[0], text)
+    return _IN_WORD.sub(filler, _GAP.sub(filler, expanded.replace("\r", " "))).replace("\n", " ")
+
+
+def parse(text: str | None, is_html: bool = False, break_lines: bool = True) -> Iterator[dict]:
+    """Rows of ROWS but doc: objects (kind div, para, page, line, ref, graphic), attributes that follow their object (kind attr), words and punctuation, in order.
+
+    Words outside divisions or paragraphs lie in virtual ones (name
+    ``__virtual``), so that no two objects have one key.  With ``break_lines``
+    each <l> of a line group is a sentence.
+    """
+    text = tidied(text or "")
+    s = State(break_lines=break_lines, has_divs=bool(re.search(r"<div|<h[1-3]" if is_html else "<div", text, re.I)))
     begin = 0
     if is_html and (m := re.search(r"</head\s*>", text, re.I)):
         begin = m.end()
@@ -93,51 +127,90 @@ def _head(text: str, at: int, tag: str) -> str:
 
 
 def _open_div(s: State, depth: int) -> None:
+    for k in range(depth - 1):
+        s.divs[k] = s.divs[k] or 1
     s.divs[depth - 1] += 1
     for k in range(depth, MAX_DEPTH):
         s.divs[k] = 0
-    s.depth, s.para, s.sent, s.pos, s.open_para = depth, 0, 1, 0, None
+    s.depth, s.para, s.sent, s.pos, s.open_para, s.in_lines, s.closed = depth, 0, 1, 0, None, False, False
 
 
-def _new_para(s: State) -> None:
+def _new_para(s: State, at: int) -> Iterator[dict]:
+    """Begins a paragraph, in virtual divisions where there are none."""
+    if not s.divs[0]:
+        s.divs[0] = 1
+        yield _row(s, "div", "__virtual", at, at)
+    s.divs = [d or 1 for d in s.divs]
     s.para, s.sent, s.pos, s.last = s.para + 1, 1, 0, ""
 
 
 def _new_sentence(s: State) -> None:
-    s.sent, s.pos = s.sent + 1, 0
+    if s.pos:
+        s.sent, s.pos = s.sent + 1, 0
 
 
 def _row(s: State, kind: str, name: str, start: int, end: int, **more) -> dict:
     return {"kind": kind, "name": name, **s.key(), "sent": 0, "pos": 0, "page": s.page, "start": start, "end": end, "token": None, "norm": None, "head": None, "attrs": {}} | more
 
 
+def _attr(s: State, name: str, value: str, m: re.Match, of_div: bool) -> dict:
+    """A field of the open division or paragraph, found behind its tag."""
+    row = _row(s, "attr", name, m.start(), m.end(), head=value)
+    return row | ({"para": 0} if of_div else {})
+
+
 def _tag(s: State, name: str, closing: bool, attrs: dict, text: str, m: re.Match) -> Iterator[dict]:
-    if name in DIVISIONS or name == "div" or name in HEADINGS and not closing:
+    division = DIVISION.match(name)
+    if division or name in HEADINGS and not closing:
         if closing:
-            s.depth = max(0, (DIVISIONS.get(name) or s.depth) - 1)
-            s.open_para = None
+            s.depth, s.open_para, s.closed = max(0, s.depth - 1), None, False
             return
-        depth = DIVISIONS.get(name) or HEADINGS.get(name) or min(MAX_DEPTH, s.depth + 1)
+        level = HEADINGS.get(name) or int(division[1] or 0)
+        depth = level if 1 <= level <= MAX_DEPTH and not s.front else min(MAX_DEPTH, s.depth + 1)
         _open_div(s, depth)
         heading = name if name in HEADINGS else "head"
         head = _head(text, m.start() if name in HEADINGS else m.end(), heading) or attrs.get("type", "") or "[NA]"
+        s.closed = attrs.get("type") == "notes"
         yield _row(s, "div", f"div{depth}", m.start(), m.end(), head=head, attrs=attrs)
+    elif name in ("front", "hyperdiv") or name == "body" and not closing and not s.has_divs:
+        if name == "front" and closing:
+            s.front, s.depth = False, 0
+        if not closing:
+            _open_div(s, 1)
+            s.front = name == "front"
+            head = {"front": attrs.get("type", "") or "[NA]", "hyperdiv": "[HyperDiv]"}.get(name) or _head(text, m.end(), "head") or "Document Body"
+            yield _row(s, "div", name, m.start(), m.end(), head=head, attrs=attrs)
+    elif name == "speaker":
+        if not closing and s.open_para:
+            end = text.find("<", m.end())
+            yield _attr(s, "speaker", re.sub(r"\.$", "", text[m.end() : end if end >= 0 else len(text)].strip()).title(), m, False)
+    elif name in ("index", "date") and not closing and s.depth:
+        if name == "index" and "type" in attrs:
+            attrs = {attrs["type"]: attrs["value"]} if "value" in attrs else {}
+        for key, value in attrs.items():
+            yield _attr(s, key if name == "index" else "div_date" if key in ("value", "when") else f"div_{key}", value, m, True)
     elif name in PARAGRAPHS:
+        if s.closed and name in OPEN_ONLY:
+            return
         s.open_para = None
+        s.in_lines = name == "lg" and not closing and s.break_lines
+        s.closed = name in CLOSED and not closing
         if not closing:
-            _new_para(s)
+            yield from _new_para(s, m.start())
             s.open_para = {"name": name}
             yield _row(s, "para", name, m.start(), m.end(), attrs=attrs)
     elif name == "s":
         s.own_sentences = not closing
-        if s.pos:
-            _new_sentence(s)
+        _new_sentence(s)
     elif closing:
-        return
+        if name == "l" and s.in_lines:
+            _new_sentence(s)
     elif name in PAGE:
         s.page += 1
-        yield _row(s, "page", attrs.get("n", ""), m.start(), m.end(), attrs=attrs)
+        yield _row(s, "page", re.sub("[ -]", "_", attrs.get("n", "")).lower() or "na", m.start(), m.end(), attrs=attrs)
     elif name in LINE | REF | GRAPHIC:
+        if name == "l" and s.in_lines:
+            _new_sentence(s)
         kind = "line" if name in LINE else "ref" if name in REF else "graphic"
         s.parallel[kind] = s.parallel.get(kind, 0) + 1
         yield _row(s, kind, attrs.get("n", ""), m.start(), m.end(), pos=s.parallel[kind], attrs=attrs)
@@ -155,7 +228,7 @@ def _text(s: State, chunk: str, at: int) -> Iterator[dict]:
             if not token or len(raw.encode()) > 200:
                 continue
             if s.para == 0:
-                _new_para(s)
+                yield from _new_para(s, at + m.start())
                 yield _row(s, "para", "__virtual", at + m.start(), at + m.start())
             s.pos += 1
             yield _row(s, "word", token, at + m.start(), at + m.end(), sent=s.sent, pos=s.pos, token=token, norm=folded(token))
@@ -164,7 +237,7 @@ def _text(s: State, chunk: str, at: int) -> Iterator[dict]:
         ends = "!" in raw or "?" in raw or "." in raw and not (len(s.last) < 3 and re.search("[A-Z0-9]", s.last)) and not (follows.islower() or follows.isdigit())
         if sign := raw.strip():
             yield _row(s, "punct", sign, at + m.start(), at + m.end(), sent=s.sent)
-        if ends and not s.own_sentences and s.pos:
+        if ends and not s.own_sentences and not s.in_lines:
             _new_sentence(s)
 
 
@@ -186,17 +259,30 @@ def parsed(df: DataFrame, doc: str, text: str, is_html: bool = False) -> DataFra
 
 
 def words_of(rows: DataFrame) -> DataFrame:
+    """The words table; their page with it."""
     return rows.where("kind = 'word'").select("doc", "div1", "div2", "div3", "para", "sent", "pos", "page", "start", "token", "norm")
 
 
-# Views that need no parser: built-in expressions over the markup.
+def divisions(rows: DataFrame) -> DataFrame:
+    """One row a division: level, its key (keys below its level are 0), head, start and attrs; what follows in index and date tags stands behind its own attributes."""
+    depth = lambda k: F.col("depth") >= k
+    found = rows.where("kind = 'div' OR kind = 'attr' AND para = 0")
+    keys = ["doc", "div1", "div2", "div3"]
+    late = found.where("kind = 'attr'").groupBy(*keys, "name").agg(F.min_by("head", "start").alias("value")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("late"))
+    own = found.where("kind = 'div'").withColumn("depth", F.coalesce(F.regexp_extract("name", r"^div(\d)$", 1).try_cast("int"), F.lit(1)))
+    whole = own.join(late, keys, "left")
+    attrs = F.map_concat("attrs", F.coalesce(F.map_filter("late", lambda k, _: ~F.map_contains_key(F.col("attrs"), k)), F.create_map().cast("map<string,string>")))
+    return whole.select("doc", F.concat(F.lit("div"), "depth").alias("level"), "div1", F.when(depth(2), F.col("div2")).otherwise(0).alias("div2"), F.when(depth(3), F.col("div3")).otherwise(0).alias("div3"), "name", "start", "head", attrs.alias("attrs"))
+
 
+def paragraphs(rows: DataFrame) -> DataFrame:
+    """One row a paragraph: key, name (its tag), start, who and speaker, and its attributes."""
+    keys = ["doc", "div1", "div2", "div3", "para"]
+    speaker = rows.where("kind = 'attr' AND name = 'speaker'").groupBy(*keys).agg(F.min_by("head", "start").alias("speaker"))
+    return rows.where("kind = 'para'").select(*keys, "name", "start", F.col("attrs")["who"].alias("who"), "attrs").join(speaker, keys, "left")
 
-def cleaned(c: Column) -> Column:
-    """Markup before parsing: carriage returns and line ends as blanks, words joined over soft hyphens, abbreviations expanded."""
-    joined = F.regexp_replace(c, "(?:\u00ad|&shy;)\\s*", "")
-    plain = F.regexp_replace(joined, r"[\r\n]", " ")
-    return F.regexp_replace(plain, r"<abbr[^>]*expan=\"([^\"]*)\"[^>]*>[^<]*</abbr>", "$1")
+
+# Views that need no parser: built-in expressions over the markup.
 
 
 def headings(df: DataFrame, doc: str, markup: str) -> DataFrame:

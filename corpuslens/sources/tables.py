@@ -11,11 +11,22 @@ from corpuslens.functions.text import MISSING, first_integer, fold, natural_sort
 TEI_HEADER = {
     "author": ("//sourceDesc//author", "//titleStmt/author", "//author"),
     "title": ("//sourceDesc//title", "//titleStmt/title", "//title"),
-    "publisher": ("//sourceDesc//publisher", "//publicationStmt/publisher"),
-    "pub_date": ("//sourceDesc//date", "//publicationStmt/date"),
-    "create_date": ("//profileDesc/creation/date", "//creation/date"),
+    "author_dates": ("//sourceDesc//author/date", "//titleStmt/author/date"),
+    "publisher": ("//sourceDesc//imprint/publisher", "//sourceDesc//publisher", "//publicationStmt/publisher"),
+    "pub_place": ("//sourceDesc//imprint/pubPlace", "//sourceDesc//pubPlace"),
+    "pub_date": ("//sourceDesc//imprint/date", "//sourceDesc//date", "//publicationStmt/date"),
+    "create_date": ("//profileDesc/creation/date", "//creation/date", "//fileDesc//imprint/date"),
+    "extent": ("//sourceDesc//extent",),
+    "editor": ("//sourceDesc//editor",),
+    "identifiers": ("//publicationStmt/idno",),
+    "text_genre": ("//profileDesc/textClass/keywords[@scheme='genre']/term", "//SourceDesc/genre"),
+    "keywords": ("//profileDesc/textClass/keywords/list/item", "//profileDesc/textClass/keywords/term"),
     "language": ("//profileDesc/language/language", "//langUsage/language"),
+    "notes": ("//fileDesc/notesStmt/note",),
+    "collection": ("//seriesStmt/title",),
+    "period": ("//profileDesc/creation/period",),
 }
+HEADER = r"(?is)(<teiheader\b.*?</teiheader\s*>)"
 DATE_FIELDS = ("date", "create_date", "pub_date", "period")
 
 
@@ -24,14 +35,23 @@ def bibliography(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(path, header=True, sep="\t" if path.endswith((".tsv", ".tab")) else ",", escape='"')
     if "filename" not in rows.columns:
         raise ValueError("a bibliography needs a column filename")
-    return rows.withColumn("year", F.coalesce(F.col("year").try_cast("int"), F.lit(0))) if "year" in rows.columns else rows
+    if "year" not in rows.columns:
+        return rows
+    # the latest first, as the load order is without one of its own
+    return rows.withColumn("year", F.coalesce(F.col("year").try_cast("int"), F.lit(0))).orderBy(F.col("year").desc(), "filename")
 
 
-def tei_header(column: str, fields: dict[str, tuple[str, ...]] = TEI_HEADER) -> list[Column]:
-    """Fields of the well-formed header in a column; dates must contain a digit."""
+def header_fields(column: str, fields: dict[str, tuple[str, ...]] = TEI_HEADER) -> list[Column]:
+    """tei_header() of whole texts: their header, if it is well-formed; texts without one have nulls."""
+    return tei_header(column, fields, F.regexp_extract(F.col(column), HEADER, 1))
+
+
+def tei_header(column: str, fields: dict[str, tuple[str, ...]] = TEI_HEADER, header: Column | None = None) -> list[Column]:
+    """Fields of the well-formed header in a column, or in ``header``; dates must contain a digit."""
+    text = F.col(column) if header is None else F.nullif(header, F.lit(""))
     out = []
     for name, paths in fields.items():
-        values = [F.nullif(F.trim(F.expr(f"xpath_string(`{column}`, '{p}')")), F.lit("")) for p in paths]
+        values = [F.nullif(F.trim(F.xpath_string(text, F.lit(p))), F.lit("")) for p in paths]
         if name in DATE_FIELDS:
             values = [F.when(v.rlike(r"\d"), v) for v in values]
         out.append(F.coalesce(*values).alias(name))
@@ -39,10 +59,14 @@ def tei_header(column: str, fields: dict[str, tuple[str, ...]] = TEI_HEADER) ->
 
 
 def dublin_core(html: Column) -> Column:
-    """A map of Dublin Core names (lower case) to contents, from meta elements."""
+    """A map of Dublin Core names (lower case) to contents, from meta elements or, where those have none, from dc: elements; of a name's contents the first counts."""
     tags = F.regexp_extract_all(html, F.lit(r"(?i)<meta\s[^>]*name=[\"']DC[.][^>]*>"), F.lit(0))
-    entry = lambda t: F.struct(F.lower(F.regexp_extract(t, r"(?i)name=[\"']DC[.]([^\"']+)", 1)), F.regexp_extract(t, r"(?i)content=[\"']([^\"']*)", 1))
-    return F.map_from_entries(F.transform(tags, entry))
+    plain = F.regexp_extract_all(html, F.lit(r"(?is)<dc:[\w.]+[^>]*>[^<]*</dc:"), F.lit(0))
+    of_meta = lambda t: F.struct(F.lower(F.regexp_extract(t, r"(?i)name=[\"']DC[.]([^\"']+)", 1)).alias("k"), F.regexp_extract(t, r"(?i)content=[\"']([^\"']*)", 1).alias("v"))
+    of_element = lambda t: F.struct(F.lower(F.regexp_extract(t, r"(?i)^<dc:([\w.]+)", 1)).alias("k"), F.trim(F.regexp_extract(t, r"(?s)>([^<]*)</", 1)).alias("v"))
+    found = F.concat(F.transform(tags, of_meta), F.transform(plain, of_element))
+    names = F.array_distinct(F.transform(found, lambda e: e["k"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.filter(found, lambda e: e["k"] == n)[0]["v"]))
 
 
 def derived_year(docs: DataFrame) -> Column:

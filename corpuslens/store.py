@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import metadata_words
-from corpuslens.sources import plain_text
+from corpuslens.schema import SENTENCE
+from corpuslens.sources import markup, plain_text, tables
 
 
 def clustered(words: DataFrame) -> DataFrame:
@@ -19,13 +20,40 @@ def clustered(words: DataFrame) -> DataFrame:
     return words.repartitionByRange("norm", "doc").sortWithinPartitions("norm", "doc", "start")
 
 
+def in_sentences(words: DataFrame) -> DataFrame:
+    """The second layout: a row for each sentence, with its words in order as ``tokens``; what happens within sentences is a narrow scan of it."""
+    held = [c for c in words.columns if c not in SENTENCE]
+    return words.groupBy(*SENTENCE).agg(F.array_sort(F.collect_list(F.struct("pos", *(c for c in held if c != "pos")))).alias("tokens"))
+
+
+def from_sentences(sentences: DataFrame) -> DataFrame:
+    """The words of the second layout, one to a row."""
+    return sentences.select(*SENTENCE, F.explode("tokens").alias("_t")).select(*SENTENCE, "_t.*")
+
+
 @dataclass
 class Corpus:
-    """words: one row for each word; docs: one for each document with its metadata and word_count; texts: (doc, text)."""
+    """words: one row for each word; docs: one for each document with its metadata and word_count; texts: (doc, text); sentences: words in their second layout; objects: divisions, pages and the like of marked-up texts."""
 
     words: DataFrame
     docs: DataFrame
     texts: DataFrame
+    sentences: DataFrame | None = None
+    objects: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if self.sentences is None:
+            self.sentences = in_sentences(self.words)
+
+    @cached_property
+    def divisions(self) -> DataFrame:
+        """Divisions of marked-up texts, with their attributes."""
+        return markup.divisions(self.objects)
+
+    @cached_property
+    def paragraphs(self) -> DataFrame:
+        """Paragraphs of marked-up texts, with tag, who and speaker."""
+        return markup.paragraphs(self.objects)
 
     @cached_property
     def paras(self) -> DataFrame:
@@ -45,22 +73,36 @@ class Corpus:
 
     def save(self, path: str) -> None:
         """Writes the tables as Parquet."""
-        clustered(self.words).write.parquet(f"{path}/words")
+        self.sentences.write.parquet(f"{path}/sentences")
+        stored = self.words.sparkSession.read.parquet(f"{path}/sentences")
+        clustered(from_sentences(stored)).write.parquet(f"{path}/words")
         self.docs.write.parquet(f"{path}/docs")
         self.texts.write.parquet(f"{path}/texts")
+        if self.objects is not None:
+            self.objects.write.parquet(f"{path}/objects")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Corpus:
-        return Corpus(*(spark.read.parquet(f"{path}/{name}") for name in ("words", "docs", "texts")))
+    def load(spark: SparkSession, path: str, with_objects: bool = False) -> Corpus:
+        names = ("words", "docs", "texts", "sentences", *(["objects"] if with_objects else []))
+        return Corpus(*(spark.read.parquet(f"{path}/{name}") for name in names))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession, name: str = "corpus") -> str:
+    """A fresh path in the folder that the cluster shares, that of spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set, and a machine's own folder is not shared")
         base = tempfile.mkdtemp(prefix="corpuslens-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(table: DataFrame, name: str = "kept") -> DataFrame:
+    """A table that several parts of a plan read, written once in the shared folder and read back."""
+    path = shared_folder(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def with_word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
@@ -81,18 +123,33 @@ def plain_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(words, with_word_counts(plain_metadata(spark, sf_dir), words), documents.select(F.col("doc_id").alias("doc"), "text"))
 
 
+def stored_corpus(words: DataFrame, metadata: DataFrame, texts: DataFrame, objects: DataFrame | None = None) -> Corpus:
+    """A corpus whose words and documents are stored: texts are segmented once, by sentences; words and counts come from those."""
+    spark = words.sparkSession
+    path = shared_folder(spark)
+    in_sentences(words).write.parquet(f"{path}/sentences")
+    sentences = spark.read.parquet(f"{path}/sentences")
+    clustered(from_sentences(sentences)).write.parquet(f"{path}/words")
+    counts = sentences.groupBy("doc").agg(F.sum(F.size("tokens")).alias("word_count"))
+    metadata.join(counts, "doc", "left").withColumn("word_count", F.coalesce("word_count", F.lit(0).cast("bigint"))).write.parquet(f"{path}/docs")
+    return Corpus(spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/docs"), texts, sentences, objects)
+
+
+def markup_corpus(texts: DataFrame, metadata: DataFrame | None = None, is_html: bool = False) -> Corpus:
+    """A corpus of TEI or HTML texts, rows (doc, text), parsed once; ``metadata``: rows (doc, fields), of the texts' headers if there are none."""
+    rows = kept(markup.parsed(texts, "doc", "text", is_html), "markup")
+    if metadata is None:
+        metadata = texts.select("doc", *tables.header_fields("text")) if not is_html else texts.select("doc", tables.dublin_core(F.col("text")).alias("dc"))
+    return stored_corpus(markup.words_of(rows), metadata, texts, rows.where("kind NOT IN ('word', 'punct')"))
+
+
 _BUILT: dict[tuple[str, str], Corpus] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The corpus of a directory; its words and documents are stored at the first use in a session."""
+    """The corpus of a directory's documents; stored at the first use in a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
-        path = shared_folder(spark)
-        plain = plain_corpus(spark, sf_dir)
-        clustered(plain.words).write.parquet(f"{path}/words")
-        words = spark.read.parquet(f"{path}/words")
-        # word counts come from the stored words, so that texts are segmented once
-        with_word_counts(plain_metadata(spark, sf_dir), words).write.parquet(f"{path}/docs")
-        _BUILT[key] = Corpus(words, spark.read.parquet(f"{path}/docs"), plain.texts)
+        documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        _BUILT[key] = stored_corpus(plain_text.words(documents), plain_metadata(spark, sf_dir), documents.select(F.col("doc_id").alias("doc"), "text"))
     return _BUILT[key]

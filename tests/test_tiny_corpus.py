@@ -92,12 +92,61 @@ def test_tei_is_parsed_tolerantly():
     assert "text" not in {w["token"] for w in words}
     assert [(r["name"], r["head"]) for r in rows if r["kind"] == "div"] == [("div1", "Act One"), ("div2", "Scene"), ("div2", "scene")]
     be = [w for w in words if w["token"] == "be"]
-    assert [(w["div1"], w["div2"], w["page"]) for w in be] == [(1, 1, 1), (1, 1, 1)]
+    assert [(w["div1"], w["div2"], w["page"]) for w in be] == [(1, 2, 1), (1, 2, 1)]  # the heading lies in a virtual division
     assert [w["sent"] for w in words if w["token"] in ("who", "fast")] == [1, 2]  # Dr. doesn't end one
-    assert [w["div2"] for w in words if w["token"] == "end"] == [2]
+    assert [w["div2"] for w in words if w["token"] == "end"] == [3]
     assert all(TEI[w["start"] : w["end"]].lower() == w["token"] for w in words)
 
 
+PLAY = """<text><front type="preface"><div1><head>To the reader</head><p>Dear reader.</div1></front>
+<body><div1 type="act"><index type="topic" value="love"/><date when="1601">x</date><p>Before.<div2><sp who="#ham"><speaker>HAMLET.</speaker><p>Words, <hi>w</hi>ords.</p></sp>
+<lg><l n="1">A line that runs</l><l n="2">on to the next. And ends</l></lg></div2></div1><div1 type="notes"><p>One <p>Two</div1><hyperdiv><p>More</body></text>"""
+
+
+def test_objects_of_a_play():
+    rows = list(markup.parse(PLAY))
+    divs = [(r["name"], r["div1"], r["div2"], r["head"]) for r in rows if r["kind"] == "div"]
+    assert divs == [("front", 1, 1, "preface"), ("div2", 1, 1, "To the reader"), ("div1", 2, 1, "act"), ("div2", 2, 2, "[NA]"), ("div1", 3, 1, "notes"), ("hyperdiv", 4, 1, "[HyperDiv]")]
+    attrs = [(r["name"], r["head"], r["div1"], r["div2"], r["para"]) for r in rows if r["kind"] == "attr"]
+    assert attrs == [("topic", "love", 2, 1, 0), ("div_date", "1601", 2, 1, 0), ("speaker", "Hamlet", 2, 2, 1)]
+    words = [r for r in rows if r["kind"] == "word"]
+    keys = [tuple(w[k] for k in ("div1", "div2", "div3", "para", "sent", "pos")) for w in words]
+    assert len(set(keys)) == len(keys) and [w["token"] for w in words if w["para"] == 1 and w["div2"] == 2] == ["hamlet", "words", "words"]
+    line = {w["token"]: w["sent"] for w in words if w["para"] == 2 and w["div1"] == 2}
+    assert line["a"] == line["runs"] == 1 and line["on"] == line["ends"] == 2  # lines, not stops, end sentences in a group of lines
+    assert [w["para"] for w in words if w["token"] in ("one", "two")] == [1, 1]  # no paragraphs among notes
+    assert not [w for w in markup.parse("<p>a</p>") if w["kind"] == "div" and w["name"] != "__virtual"]
+
+
+def test_text_is_tidied_in_place():
+    for text in ("a\r\nb", "un&shy;told", "w<hi rend='x'>or</hi>d", "hyphen-<lb/>ated", '<abbr expan="Doctor">Dr.</abbr> No', "plain"):
+        assert len(markup.tidied(text)) == len(text)
+    token = lambda text: [r["token"] for r in markup.parse(text) if r["kind"] == "word"]
+    assert token("un&shy;told w<hi>or</hi>d") == ["untold", "word"] and token("<p>hyphen-<lb/>ated</p>") == ["hyphenated"] and token('<abbr expan="Doctor">Dr.</abbr> No') == ["doctor", "no"]
+
+
+def test_a_corpus_of_marked_up_texts(spark):
+    from corpuslens.operators import metadata, reports
+    from corpuslens.operators import search as s
+    from corpuslens.store import Corpus, markup_corpus, shared_folder
+
+    head = "<TEI><teiHeader><titleStmt><title>A Play</title><author>Nobody</author></titleStmt></teiHeader>"
+    c = markup_corpus(spark.createDataFrame([(1, head + PLAY), (2, "<p>words without a header</p>"), (3, None)], "doc long, text string"))
+    docs = {r.doc: r for r in c.docs.collect()}
+    assert (docs[1].title, docs[1].author, docs[2].title, docs[3].word_count) == ("A Play", "Nobody", None, 0)
+    divs = {(r.doc, r.level, r.div1, r.div2): r for r in c.divisions.collect()}
+    assert divs[1, "div1", 2, 0].attrs == {"type": "act", "topic": "love", "div_date": "1601"} and divs[1, "div2", 2, 2].head == "[NA]" and (2, "div1", 1, 0) in divs
+    who = metadata.select_objects(c.paragraphs, {"who": '"#ham"'}).select("doc", "div1", "div2", "div3", "para")
+    assert [r.doc for r in s.search(c.words, "words", within=who).collect()] == [1, 1] and {r.speaker for r in c.paragraphs.where("name = 'sp'").collect()} == {"Hamlet"}
+    typed = c.divisions.withColumn("type", c.divisions["attrs"]["type"])
+    facet = reports.facet_of_divisions(s.search(c.words, "words"), c.words, typed, "type")
+    assert {r.value: r["count"] for r in facet.collect()} == {"act": 2, "NULL": 1}
+    path = shared_folder(spark)
+    c.save(path)
+    again = Corpus.load(spark, path, with_objects=True)
+    assert again.words.count() == c.words.count() and again.divisions.count() == c.divisions.count()
+
+
 def test_html_divisions_and_empty_input():
     rows = list(markup.parse("<html><head><title>x</title></head><body><h1>One</h1><p>a b<script>bad()</script><h2>Two</h2>c", is_html=True))
     assert [(r["name"], r["head"]) for r in rows if r["kind"] == "div"] == [("div1", "One"), ("div2", "Two")]
