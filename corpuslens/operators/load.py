@@ -62,13 +62,6 @@ def without_attributes(words: DataFrame, names: list[str]) -> DataFrame:
     return words.withColumn("attrs", F.map_filter("attrs", lambda k, _: ~k.isin(names)))
 
 
-def apply_filters(table: DataFrame, filters) -> DataFrame:
-    """An ordered list of functions of a DataFrame, each on the result of the one before."""
-    for f in filters:
-        table = f(table)
-    return table
-
-
 def transformed(words: DataFrame, fn) -> DataFrame:
     """Words whose token is a function of it, given as a function of a column (or of a pandas UDF); norm follows."""
     from corpuslens.functions.text import fold

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from corpuslens.functions.text import metadata_words
+from corpuslens.registry import chain
 from corpuslens.schema import SENTENCE
 from corpuslens.sources import markup, plain_text, tables
 
 
+Filters = Iterable[Callable[[DataFrame], DataFrame]]
+
+
 def clustered(words: DataFrame) -> DataFrame:
     """Words range-partitioned by norm and document, so that posting scans read few files and row groups, and frequent words are split."""
     return words.repartitionByRange("norm", "doc").sortWithinPartitions("norm", "doc", "start")
@@ -23,7 +29,10 @@ def clustered(words: DataFrame) -> DataFrame:
 def in_sentences(words: DataFrame) -> DataFrame:
     """The second layout: a row for each sentence, with its words in order as ``tokens``; what happens within sentences is a narrow scan of it."""
     held = [c for c in words.columns if c not in SENTENCE]
-    return words.groupBy(*SENTENCE).agg(F.array_sort(F.collect_list(F.struct("pos", *(c for c in held if c != "pos")))).alias("tokens"))
+    listed = F.collect_list(F.struct("pos", *(c for c in held if c != "pos")))
+    maps = any(isinstance(words.schema[c].dataType, MapType) for c in held)  # which have no order of their own
+    in_order = F.array_sort(listed, lambda a, b: a["pos"] - b["pos"]) if maps else F.array_sort(listed)
+    return words.groupBy(*SENTENCE).agg(in_order.alias("tokens"))
 
 
 def from_sentences(sentences: DataFrame) -> DataFrame:
@@ -123,11 +132,16 @@ def plain_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(words, with_word_counts(plain_metadata(spark, sf_dir), words), documents.select(F.col("doc_id").alias("doc"), "text"))
 
 
-def stored_corpus(words: DataFrame, metadata: DataFrame, texts: DataFrame, objects: DataFrame | None = None) -> Corpus:
-    """A corpus whose words and documents are stored: texts are segmented once, by sentences; words and counts come from those."""
+def stored_corpus(words: DataFrame, metadata: DataFrame, texts: DataFrame, objects: DataFrame | None = None, load_filters: Filters = (), post_filters: Filters = ()) -> Corpus:
+    """A corpus whose words and documents are stored: texts are segmented once, by sentences; words and counts come from those.
+
+    Load filters change the words (lemmas, transformations, attributes) before
+    they are stored, post filters the documents.
+    """
     spark = words.sparkSession
     path = shared_folder(spark)
-    in_sentences(words).write.parquet(f"{path}/sentences")
+    metadata = chain(metadata, post_filters)
+    in_sentences(chain(words, load_filters)).write.parquet(f"{path}/sentences")
     sentences = spark.read.parquet(f"{path}/sentences")
     clustered(from_sentences(sentences)).write.parquet(f"{path}/words")
     counts = sentences.groupBy("doc").agg(F.sum(F.size("tokens")).alias("word_count"))
@@ -135,12 +149,12 @@ def stored_corpus(words: DataFrame, metadata: DataFrame, texts: DataFrame, objec
     return Corpus(spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/docs"), texts, sentences, objects)
 
 
-def markup_corpus(texts: DataFrame, metadata: DataFrame | None = None, is_html: bool = False) -> Corpus:
+def markup_corpus(texts: DataFrame, metadata: DataFrame | None = None, is_html: bool = False, load_filters: Filters = (), post_filters: Filters = ()) -> Corpus:
     """A corpus of TEI or HTML texts, rows (doc, text), parsed once; ``metadata``: rows (doc, fields), of the texts' headers if there are none."""
     rows = kept(markup.parsed(texts, "doc", "text", is_html), "markup")
     if metadata is None:
         metadata = texts.select("doc", *tables.header_fields("text")) if not is_html else texts.select("doc", tables.dublin_core(F.col("text")).alias("dc"))
-    return stored_corpus(markup.words_of(rows), metadata, texts, rows.where("kind NOT IN ('word', 'punct')"))
+    return stored_corpus(markup.words_of(rows), metadata, texts, rows.where("kind NOT IN ('word', 'punct')"), load_filters, post_filters)
 
 
 _BUILT: dict[tuple[str, str], Corpus] = {}
