@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -139,19 +139,44 @@ def judge(df: DataFrame, rules: Iterable[Rule] = (*SITE_RULES, *PATTERN_RULES),
     return parts.select("page_id", "host", "path", site["rule"].alias("rule"), F.coalesce(site["verdict"], pattern["verdict"], F.lit(default)).alias("verdict"), F.when(site.isNull(), pattern["rule"]).alias("pattern"))
 
 
+def read_rules(spark: SparkSession, path: str) -> list[Rule]:
+    """Rules of a text file, one a line; ``#`` or ``!`` begins a comment.
+
+    ``allow`` or ``block`` and a host with a path (``block com/de/``) is a site
+    rule; other lines are patterns that block, or allow behind ``@@``.  Rules
+    are judged from literals, so a list must fit the driver; repeated ones
+    count once.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> '' AND NOT line RLIKE '^[#!]'").distinct().orderBy("line").collect()
+    out = []
+    for r in lines:
+        verdict, _, rest = r.line.partition(" ")
+        if verdict in ("allow", "block") and rest.strip():
+            out.append(Rule(rest.strip(), verdict, True))
+        else:
+            out.append(Rule(r.line.removeprefix("@@"), "allow" if r.line.startswith("@@") else "block"))
+    return out
+
+
 def sql(rules: Iterable[Rule] = (*SITE_RULES, *PATTERN_RULES), default: str = "allow") -> str:
-    """The same judgement as DuckDB SQL over the table pages: every rule against every URL."""
+    """The same judgement as DuckDB SQL over the table pages: every rule against every URL.
+
+    Shares no expression with the operator: site rules are tested by their
+    host's end and their path's beginning, patterns are translated in SQL.
+    """
     rules = list(dict.fromkeys(rules))
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    values = ", ".join(f"({quote(r.text)}, {quote('(?s)' + r.regex())}, {quote(r.verdict)}, {str(r.site).lower()})" for r in rules)
+    values = ", ".join(f"({quote(r.text)}, {quote(r.verdict)}, {str(r.site).lower()})" for r in rules)
     return f"""
-    WITH parts AS (
-      SELECT rowid AS r, page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
-        coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
-      FROM (SELECT row_number() OVER () AS rowid, page_id, url FROM pages)),
-    rules(rule, regex, verdict, site) AS (VALUES {values}),
+    WITH cut AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    ends AS (SELECT r, page_id, rest, least(nullif(instr(rest, '/'), 0), nullif(instr(rest, '?'), 0), nullif(instr(rest, '#'), 0)) AS e FROM cut),
+    halves AS (SELECT r, page_id, CASE WHEN e IS NULL THEN coalesce(rest, '') ELSE substr(rest, 1, e - 1) END AS host, CASE WHEN e IS NULL THEN '' ELSE substr(rest, e) END AS tail FROM ends),
+    parts AS (SELECT r, page_id, translate(host, '{UPPER}', '{LOWER}') AS host, string_split(string_split(tail, '?')[1], '#')[1] AS path FROM halves),
+    rules(rule, verdict, site) AS (VALUES {values}),
+    known AS (SELECT rule, verdict, site, CASE WHEN contains(rule, '/') THEN substr(rule, 1, instr(rule, '/') - 1) ELSE rule END AS h, CASE WHEN contains(rule, '/') THEN substr(rule, instr(rule, '/')) ELSE '' END AS p,
+      CASE WHEN starts_with(rule, '||') THEN '(?s)^([^/]*[.])?' ELSE '(?s)' END || replace(replace(regexp_escape(lower(ltrim(rule, '|'))), '\^', '([^a-z0-9]|^|$)'), '\*', '.*') AS pattern FROM rules),
     fits AS (
       SELECT r, site, rule, verdict, row_number() OVER (PARTITION BY r, site ORDER BY length(rule) DESC, rule) AS k
-      FROM parts JOIN rules ON regexp_matches(CASE WHEN site THEN host || path ELSE translate(host || path, '{UPPER}', '{LOWER}') END, regex))
+      FROM parts JOIN known ON CASE WHEN site THEN (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ELSE regexp_matches(translate(host || path, '{UPPER}', '{LOWER}'), pattern) END)
     SELECT page_id, host, path, s.rule AS rule, coalesce(s.verdict, p.verdict, {quote(default)}) AS verdict, CASE WHEN s.rule IS NULL THEN p.rule END AS pattern
     FROM parts LEFT JOIN (SELECT * FROM fits WHERE site AND k = 1) s USING (r) LEFT JOIN (SELECT * FROM fits WHERE NOT site AND k = 1) p USING (r)"""

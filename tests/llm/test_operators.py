@@ -217,6 +217,14 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0)).count() == 0 and url_filter.judge(df, []).where("verdict <> 'allow'").count() == 0
 
 
+def test_rule_lists(spark, tmp_path):
+    (tmp_path / "rules").write_text("# sites\nblock com/de/\nallow org/\n\n! patterns\n^casino^\n@@||good.example^\n^casino^\n")
+    rules = url_filter.read_rules(spark, str(tmp_path / "rules"))
+    assert set(rules) == {url_filter.Rule("com/de/", "block", True), url_filter.Rule("org/", "allow", True), url_filter.Rule("^casino^", "block"), url_filter.Rule("||good.example^", "allow")} and len(rules) == 4
+    df = spark.createDataFrame([(1, "http://x.com/de/1"), (2, "http://x.net/casino"), (3, "http://a.good.example/")], "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge(df, rules, default="unknown").orderBy("page_id").collect()] == ["block", "block", "allow"]
+
+
 def test_url_filter_of_many_rules(spark, monkeypatch):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
     rules = [*url_filter.SITE_RULES, *url_filter.PATTERN_RULES, *(url_filter.Rule(f"^word{i}^", "block") for i in range(50)), url_filter.Rule("*lls*", "block")]
