@@ -488,3 +488,56 @@ def test_stages_on_odd_rows(spark, tmp_path, k):
     if name == "MinHash near-dedup":
         kept = [r.doc_id for r in out]
         assert sorted(i for i in kept if i and i < 100) == [1, 5, 6, 7, 8, 10, 11, 12, 13, 14, 15] and sorted(i for i in kept if i and i >= 100) == [100, 101] and kept.count(None) == 1
+
+
+def test_samples_are_bounded_and_repeatable(spark, none):
+    rows = [(i % 500 if i % 3 else 7, f"t{i}") for i in range(3000)] + [(None, "x")] * 50  # a third of the rows has one id
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    first = common.sampled(df, "doc_id", 40, "a").collect()
+    assert 0 < len(first) <= 40 and len({r.doc_id for r in first}) == len(first)
+    assert sorted(map(str, first)) == sorted(map(str, common.sampled(df.repartition(3), "doc_id", 40, "a").collect()))
+    assert {r.doc_id for r in first} != {r.doc_id for r in common.sampled(df, "doc_id", 40, "b").collect()}
+    assert common.sampled(df, "doc_id", 10**6, "a").count() == df.select("doc_id").distinct().count() and common.sampled(none, "doc_id", 5, "a").count() == 0
+
+
+def test_a_cluster_must_name_its_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        common.shared_path(Session(), "x")
+
+
+def test_copies_of_one_row_fill_no_shard(spark):
+    rows = [(1, "same words here", "hot")] * 400 + [(i, f"other words {i}", f"s{i}") for i in range(2, 400)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_pieces=100).collect()
+    shards = {}
+    for r in out:
+        shards.setdefault(r.shard, []).append(r.doc_id)
+    assert len(out) == 798 and all(20 <= ids.count(1) <= 90 for ids in shards.values())  # about half of each
+
+
+def test_many_rows_of_one_id_are_in_order(spark):
+    """Without ids, rows are ordered by text, over all partitions."""
+    rows = [(None, f"{i * 7919 % 3000:05d} text") for i in range(3000)] + [(1, "end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[1]))]
+    want = sorted(hashlib.sha256(merkle.edited(t, n).encode()).hexdigest() for t, n in zip(order, order[1:] + order[:1]))
+    assert sorted(r.edited_sha256 for r in merkle.compare_with_edits(df).collect()) == want
+    path, out = public_tokenizers.path("word_bpe_49k.json"), common.shared_path(spark, "t")
+    token_files.write(df, out, path, b"")
+    got = sorted(token_files.read(spark, out, b"").collect(), key=lambda r: r.start)
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    assert [np.frombuffer(r.ids, "<u4").tolist()[:-1] for r in got] == [whole.encode(t, add_special_tokens=False).ids for t in order]
