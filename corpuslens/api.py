@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import folded
+from corpuslens.functions.text import folded, rewritten
 from corpuslens.operators import autocomplete, collocation, context, export, metadata, objects, reports
 from corpuslens.operators import search as s
 from corpuslens.plans.syntax import SearchRequest, group_terms, parse_query, split_phrases
@@ -23,6 +23,8 @@ class Database:
     corpus: Corpus
     kinds: dict[str, str] = field(default_factory=dict)
     functions: Registry = field(default_factory=Registry)
+    #: What is replaced in the texts that concordances put out.
+    output_rewrites: tuple[tuple[str, str], ...] = ()
 
     def documents(self, r: SearchRequest) -> DataFrame:
         return metadata.select_objects(self.corpus.docs, r.metadata, self.kinds)
@@ -43,7 +45,8 @@ class Database:
 
     def concordance(self, r: SearchRequest) -> DataFrame:
         chosen = objects.sort_hits(self.hits(r), self.corpus.docs, list(r.sort_by)).limit(r.end or max(1, r.start) + r.per_page - 1).offset(max(1, r.start) - 1) if r.sort_by else self._page(self.hits(r), r, *self._text_order())
-        return context.concordance(chosen, self.corpus.texts)
+        shown = context.concordance(chosen, self.corpus.texts)
+        return shown.withColumn("context", rewritten(F.col("context"), self.output_rewrites)) if self.output_rewrites else shown
 
     def kwic(self, r: SearchRequest) -> DataFrame:
         if r.sort_by:
@@ -181,6 +184,11 @@ class Database:
     def landing_page(self, by: str, first: str, last: str) -> DataFrame:
         return reports.by_numbers(self.corpus.docs, by, int(first), int(last)) if self.kinds.get(by) == "int" else reports.by_letters(self.corpus.docs, by, first, last)
 
+    def pages(self) -> DataFrame:
+        """Pages of marked-up texts: (doc, n, start, prev, next), the neighbours by their labels."""
+        pages = self.corpus.objects.where("kind = 'page'").select("doc", F.col("name").alias("n"), "start")
+        return metadata.neighbours(pages, ["start"], ["doc"], "n")
+
     def page_images(self) -> DataFrame:
         """Images of the pages of marked-up texts: (doc, page, image)."""
         return objects.page_images(self.corpus.objects.where("kind = 'page'"))

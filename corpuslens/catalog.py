@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.api import Database
 from corpuslens.functions.text import ACCENTED, BARE, PIECE, metadata_words, strip_tags
 from corpuslens.operators import autocomplete, collocation, context, load, metadata, objects, reports
 from corpuslens.operators import search as s
@@ -154,6 +155,13 @@ def vocabulary_ranks(spark, sf_dir):
     return load.ranks(words.where(F.octet_length("token") <= 48))
 
 
+@query("@SELECT norm AS token, dense_rank() OVER (ORDER BY encode(norm)) AS rank FROM (SELECT DISTINCT norm FROM words WHERE strlen(norm) <= 48)")
+def ascii_ranks(spark, sf_dir):
+    """The second rank of the vocabulary, of words without accents."""
+    words = _c(spark, sf_dir).words
+    return load.ranks(words.where(F.octet_length("norm") <= 48), "norm")
+
+
 @query(r"""WITH t AS (SELECT unnest(regexp_extract_all(html, '</?[A-Za-z][A-Za-z0-9]*[^<>]*>?')) AS t FROM pages),
 o AS (SELECT lower(regexp_extract(t, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, starts_with(t, '</') AS e, ends_with(t, '/>') AS m, NOT ends_with(t, '>') AS b FROM t),
 c AS (SELECT tag, count(*) FILTER (NOT e AND NOT m AND NOT b) AS starts, count(*) FILTER (e AND NOT b) AS ends, count(*) FILTER (m) AS empties, count(*) FILTER (b) AS malformed FROM o GROUP BY tag)
@@ -710,7 +718,7 @@ def _talks(spark, sf_dir) -> Corpus:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TALKS:
         turn = F.concat(
-            F.lit("<div2"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit(' type="'), "role", F.lit('"'))).otherwise(""), F.lit('><sp who="'), "role", F.lit('"><speaker>'), F.upper("role"), F.lit('.</speaker><p>'), "text", F.lit("</p></sp></div2>\n"),
+            F.lit("<div2"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit(' type="'), "role", F.lit('"'))).otherwise(""), F.lit('><pb n="p '), "turn", F.lit('"/><sp who="'), "role", F.lit('"><speaker>'), F.upper("role"), F.lit('.</speaker><p>'), "text", F.lit("</p></sp></div2>\n"),
         )
         turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("bigint").alias("doc"), "turn", turn.alias("tei"))
         listed = turns.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "tei"))), lambda x: x["tei"]), "").alias("body"))
@@ -748,6 +756,11 @@ def tei_division_facet(spark, sf_dir):
     return reports.facet_of_divisions(s.search(c.words, "de"), c.words, divs, "type")
 
 
+@query("WITH t AS (SELECT conv_id AS doc, turn, 'p_' || turn AS n FROM conversations) SELECT doc, n, coalesce(lag(n) OVER w, '') AS prev, coalesce(lead(n) OVER w, '') AS next FROM t WINDOW w AS (PARTITION BY doc ORDER BY turn)")
+def tei_pages(spark, sf_dir):
+    return Database(_talks(spark, sf_dir)).pages().select("doc", "n", "prev", "next")
+
+
 @query("SELECT DISTINCT conv_id AS doc, 'Talk ' || conv_id AS title FROM conversations")
 def tei_headers(spark, sf_dir):
     return _talks(spark, sf_dir).docs.select("doc", "title")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,13 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", "")
 
 
+def rewritten(c: Column, rules: Iterable[tuple[str, str]]) -> Column:
+    """A text after regular expressions and their replacements, one after another: what reports put out."""
+    for pattern, new in rules:
+        c = F.regexp_replace(c, pattern, new)
+    return c
+
+
 def leading_integer(c: Column) -> Column:
     """The signed integer that a value begins with, else null."""
     return F.regexp_extract(c, r"^(-?\d+)", 1).try_cast("int")

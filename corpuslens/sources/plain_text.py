@@ -54,7 +54,7 @@ def words(texts: DataFrame, doc: str = "doc_id", text: str = "text", breakers: t
     found = pieces(paragraphs(texts, doc, text), breakers).where("is_word").where(F.octet_length("piece") <= LONGEST_WORD)
     found = found.select("doc", "para", "n", "sent", "start", indexed_form(F.col("piece")).alias("token")).where("token <> ''")
     if whitelist is not None:
-        found = found.join(F.broadcast(whitelist), "token", "left_semi")
+        found = found.join(whitelist, "token", "left_semi")
     pos = F.row_number().over(Window.partitionBy("doc", "para", "sent").orderBy("n")).cast("int")
     one = F.lit(1)
     return found.select("doc", one.alias("div1"), one.alias("div2"), one.alias("div3"), "para", "sent", pos.alias("pos"), F.col("start").cast("bigint").alias("start"), "token", fold(F.col("token")).alias("norm"))

@@ -6,14 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from corpuslens.functions.text import metadata_words
-from corpuslens.registry import chain
+from corpuslens.registry import Registry, chain
 from corpuslens.schema import SENTENCE
 from corpuslens.sources import markup, plain_text, tables
 
@@ -157,6 +157,15 @@ def markup_corpus(texts: DataFrame, metadata: DataFrame | None = None, is_html:
     return stored_corpus(markup.words_of(rows), metadata, texts, rows.where("kind NOT IN ('word', 'punct')"), load_filters, post_filters)
 
 
+def plain_text_corpus(texts: DataFrame, metadata: DataFrame | None = None, load_filters: Filters = (), post_filters: Filters = ()) -> Corpus:
+    """A corpus of plain texts, rows (doc, text)."""
+    return stored_corpus(plain_text.words(texts, "doc", "text"), texts.select("doc") if metadata is None else metadata, texts, None, load_filters, post_filters)
+
+
+#: Corpora by the kind of their texts; a parser of one's own is registered under a name, or stands before one of these.
+PARSERS = Registry({"plain": plain_text_corpus, "tei": markup_corpus, "html": partial(markup_corpus, is_html=True)})
+
+
 _BUILT: dict[tuple[str, str], Corpus] = {}
 
 
