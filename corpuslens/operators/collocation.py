@@ -48,8 +48,8 @@ def near(sentences: DataFrame, query: str, distance: int | None = None, within:
     is_hit = lambda x: word_group(group, False, x.getField)
     rows = (inside(sentences, within) if within is not None else sentences).where(F.exists("tokens", is_hit))
     if distance is None:
-        hits = F.size(F.filter("tokens", is_hit))
-        words = rows.select(*keep, hits.alias("_h"), F.explode("tokens").alias("_t"))
+        counted_once = rows.select(*keep, F.size(F.filter("tokens", is_hit)).alias("_h"), "tokens")  # before the words go apart
+        words = counted_once.select(*keep, "_h", F.explode("tokens").alias("_t"))
         out = words.select(*keep, "_t.token", "_t.norm", (F.col("_h") - F.when(is_hit(F.col("_t")), 1).otherwise(0)).alias("m"))
         return out.where("m > 0")
     at = F.filter(F.transform("tokens", lambda x: F.when(is_hit(x), x["pos"])), lambda p: p.isNotNull())

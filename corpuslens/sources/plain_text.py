@@ -45,19 +45,26 @@ def pieces(lines: DataFrame, breakers: tuple[str, ...] = ()) -> DataFrame:
     return counted.select("doc", "para", "n", "piece", "start", F.col("has_letter").alias("is_word"), (F.coalesce(F.sum("ends").over(before), F.lit(0)) + 1).cast("int").alias("sent"))
 
 
-def words(texts: DataFrame, doc: str = "doc_id", text: str = "text", breakers: tuple[str, ...] = (), whitelist: DataFrame | None = None) -> DataFrame:
-    """The words table of plain texts: keys, position in the sentence from 1, start, token, norm.
+def sentences(texts: DataFrame, doc: str = "doc_id", text: str = "text", breakers: tuple[str, ...] = (), whitelist: DataFrame | None = None) -> DataFrame:
+    """Rows (keys, tokens) of plain texts, one a sentence; tokens: (pos, start, token, norm), positions from 1.
 
     Pieces without a letter take no position, nor do words over 200 bytes or
     outside a given ``whitelist`` (rows (token)).  One shuffle by paragraph.
     """
     found = pieces(paragraphs(texts, doc, text), breakers).where("is_word").where(F.octet_length("piece") <= LONGEST_WORD)
-    found = found.select("doc", "para", "n", "sent", "start", indexed_form(F.col("piece")).alias("token")).where("token <> ''")
+    found = found.select("doc", "para", "n", "sent", F.col("start").cast("bigint").alias("start"), indexed_form(F.col("piece")).alias("token")).where("token <> ''")
     if whitelist is not None:
         found = found.join(whitelist, "token", "left_semi")
-    pos = F.row_number().over(Window.partitionBy("doc", "para", "sent").orderBy("n")).cast("int")
+    listed = found.groupBy("doc", "para", "sent").agg(F.array_sort(F.collect_list(F.struct("n", "start", "token", fold(F.col("token")).alias("norm")))).alias("_l"))
+    tokens = F.transform("_l", lambda x, i: F.struct((i + 1).cast("int").alias("pos"), x["start"].alias("start"), x["token"].alias("token"), x["norm"].alias("norm")))
     one = F.lit(1)
-    return found.select("doc", one.alias("div1"), one.alias("div2"), one.alias("div3"), "para", "sent", pos.alias("pos"), F.col("start").cast("bigint").alias("start"), "token", fold(F.col("token")).alias("norm"))
+    return listed.select("doc", one.alias("div1"), one.alias("div2"), one.alias("div3"), "para", "sent", tokens.alias("tokens"))
+
+
+def words(texts: DataFrame, doc: str = "doc_id", text: str = "text", breakers: tuple[str, ...] = (), whitelist: DataFrame | None = None) -> DataFrame:
+    """The words table of plain texts: sentences(), a row for each word."""
+    rows = sentences(texts, doc, text, breakers, whitelist)
+    return rows.select(*(c for c in rows.columns if c != "tokens"), F.explode("tokens").alias("_t")).select(*(c for c in rows.columns if c != "tokens"), "_t.*")
 
 
 def punctuation(texts: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

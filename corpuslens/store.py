@@ -135,13 +135,18 @@ def plain_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 def stored_corpus(words: DataFrame, metadata: DataFrame, texts: DataFrame, objects: DataFrame | None = None, load_filters: Filters = (), post_filters: Filters = ()) -> Corpus:
     """A corpus whose words and documents are stored: texts are segmented once, by sentences; words and counts come from those.
 
-    Load filters change the words (lemmas, transformations, attributes) before
-    they are stored, post filters the documents.
+    ``words`` may come by sentences already.  Load filters change the words
+    (lemmas, transformations, attributes) before they are stored, post filters
+    the documents.
     """
-    spark = words.sparkSession
+    spark, filters = words.sparkSession, list(load_filters)
+    if "tokens" in words.columns and not filters:
+        by_sentence = words
+    else:
+        by_sentence = in_sentences(chain(from_sentences(words) if "tokens" in words.columns else words, filters))
     path = shared_folder(spark)
     metadata = chain(metadata, post_filters)
-    in_sentences(chain(words, load_filters)).write.parquet(f"{path}/sentences")
+    by_sentence.write.parquet(f"{path}/sentences")
     sentences = spark.read.parquet(f"{path}/sentences")
     clustered(from_sentences(sentences)).write.parquet(f"{path}/words")
     counts = sentences.groupBy("doc").agg(F.sum(F.size("tokens")).alias("word_count"))
@@ -159,7 +164,7 @@ def markup_corpus(texts: DataFrame, metadata: DataFrame | None = None, is_html:
 
 def plain_text_corpus(texts: DataFrame, metadata: DataFrame | None = None, load_filters: Filters = (), post_filters: Filters = ()) -> Corpus:
     """A corpus of plain texts, rows (doc, text)."""
-    return stored_corpus(plain_text.words(texts, "doc", "text"), texts.select("doc") if metadata is None else metadata, texts, None, load_filters, post_filters)
+    return stored_corpus(plain_text.sentences(texts, "doc", "text"), texts.select("doc") if metadata is None else metadata, texts, None, load_filters, post_filters)
 
 
 #: Corpora by the kind of their texts; a parser of one's own is registered under a name, or stands before one of these.
@@ -174,5 +179,5 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
         documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-        _BUILT[key] = stored_corpus(plain_text.words(documents), plain_metadata(spark, sf_dir), documents.select(F.col("doc_id").alias("doc"), "text"))
+        _BUILT[key] = stored_corpus(plain_text.sentences(documents), plain_metadata(spark, sf_dir), documents.select(F.col("doc_id").alias("doc"), "text"))
     return _BUILT[key]
