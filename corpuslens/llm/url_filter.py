@@ -174,7 +174,7 @@ def sql(rules: Iterable[Rule] = (*SITE_RULES, *PATTERN_RULES), default: str = "a
     parts AS (SELECT r, page_id, translate(host, '{UPPER}', '{LOWER}') AS host, string_split(string_split(tail, '?')[1], '#')[1] AS path FROM halves),
     rules(rule, verdict, site) AS (VALUES {values}),
     known AS (SELECT rule, verdict, site, CASE WHEN contains(rule, '/') THEN substr(rule, 1, instr(rule, '/') - 1) ELSE rule END AS h, CASE WHEN contains(rule, '/') THEN substr(rule, instr(rule, '/')) ELSE '' END AS p,
-      CASE WHEN starts_with(rule, '||') THEN '(?s)^([^/]*[.])?' ELSE '(?s)' END || replace(replace(regexp_escape(lower(ltrim(rule, '|'))), '\^', '([^a-z0-9]|^|$)'), '\*', '.*') AS pattern FROM rules),
+      CASE WHEN starts_with(rule, '||') THEN '(?s)^([^/]*[.])?' ELSE '(?s)' END || replace(replace(regexp_escape(lower(ltrim(rule, '|'))), '\\^', '([^a-z0-9]|^|$)'), '\\*', '.*') AS pattern FROM rules),
     fits AS (
       SELECT r, site, rule, verdict, row_number() OVER (PARTITION BY r, site ORDER BY length(rule) DESC, rule) AS k
       FROM parts JOIN known ON CASE WHEN site THEN (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ELSE regexp_matches(translate(host || path, '{UPPER}', '{LOWER}'), pattern) END)
