@@ -84,16 +84,19 @@ DIV_LEVELS = ("div1", "div2", "div3")
 def resolve_citation(cites: DataFrame, abbreviations: DataFrame, text: str = "cite", divs: DataFrame | None = None) -> DataFrame:
     """Each citation with the work whose abbreviation is its longest beginning: (abbreviation, work, rest).
 
-    A citation's beginnings meet the abbreviations by an equi-join, so neither
-    side need be small.  With ``divs`` (work, div1, div2, div3, and n1 to n3,
+    A citation's beginnings, of the lengths that abbreviations have, meet those
+    by an equi-join and carry their row, so neither side need be small and no
+    citations are joined with themselves.  With ``divs`` (work, div1, div2, div3, and n1 to n3,
     their labels), the rest, as ``2.1`` or ``Book 2, 1``, is read as labels of
     divisions, and the deepest one whose labels fit gives div1 to div3.
     """
-    numbered = cites.withColumn("_id", F.monotonically_increasing_id())
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda n: F.substr(F.col(text), F.lit(1), n))
-    pairs = numbered.select("_id", text, F.explode(starts).alias("abbreviation")).join(abbreviations, "abbreviation")
-    best = pairs.groupBy("_id").agg(F.max_by(F.struct("abbreviation", "work"), F.length("abbreviation")).alias("b"))
-    out = numbered.join(best, "_id").select(*cites.columns, "b.abbreviation", "b.work", F.trim(F.substr(F.col(text), F.length("b.abbreviation") + 1)).alias("rest"))
+    n = F.length(text)
+    lengths = abbreviations.agg(F.collect_set(F.length("abbreviation")).alias("_n"))  # one row
+    starts = F.transform(F.filter("_n", lambda k: k.between(F.least(F.lit(1), n), n)), lambda k: F.substr(F.col(text), F.lit(1), k))
+    numbered = cites.select(F.struct(*cites.columns).alias("_row"), text).withColumn("_id", F.monotonically_increasing_id()).crossJoin(F.broadcast(lengths))
+    pairs = numbered.select("_id", "_row", F.explode(starts).alias("abbreviation")).join(abbreviations, "abbreviation")
+    best = pairs.groupBy("_id").agg(F.max_by(F.struct("_row", "abbreviation", "work"), F.length("abbreviation")).alias("b")).select("b.*")
+    out = best.select("_row.*", "abbreviation", "work").withColumn("rest", F.trim(F.substr(F.col(text), F.length("abbreviation") + 1)))
     if divs is None:
         return out
     labels = F.filter(F.split(F.regexp_replace("rest", r"(?i)\b(?:book|chapter|act|scene|canto|part)\b", " "), r"[\s.,;:]+"), lambda x: x != "")

@@ -82,6 +82,16 @@ def test_citations_and_export(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "o")).first().asDict() == {"a": "1", "b": "[1,2]", "c": "x"}
 
 
+def test_citations_are_read_once(spark, tmp_path):
+    spark.createDataFrame([(k, c) for k in range(50) for c in ("Ham. 1.2", "Hamlet", "Xy", "", None)], "k int, cite string").write.parquet(str(tmp_path / "c"))
+    cites = spark.read.parquet(str(tmp_path / "c"))
+    works = spark.createDataFrame([("Ham.", "Hamlet"), ("H", "Henry"), ("Hamlet, Prince", "Long")], "abbreviation string, work string")
+    out = context.resolve_citation(cites, works)
+    assert sorted({(r.cite, r.work, r.rest) for r in out.collect()}) == [("Ham. 1.2", "Hamlet", "1.2"), ("Hamlet", "Henry", "amlet")] and out.count() == 100
+    # a small file may hold many rows: no side that is broadcast unseen may come of it
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
 def test_stream_equals_table(spark, sf_dir, tmp_path):
     (tmp_path / "in").mkdir()
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
