@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import PIECE, fold, indexed_form
+from corpuslens.sources import segments
 
 LONGEST_WORD = 200  # bytes
 
@@ -49,12 +50,14 @@ def sentences(texts: DataFrame, doc: str = "doc_id", text: str = "text", breaker
     """Rows (keys, tokens) of plain texts, one a sentence; tokens: (pos, start, token, norm), positions from 1.
 
     Pieces without a letter take no position, nor do words over 200 bytes or
-    outside a given ``whitelist`` (rows (token)).  One shuffle by paragraph.
+    outside a given ``whitelist`` (rows (token)).  A narrow map; with a
+    whitelist, one shuffle by paragraph.
     """
+    if whitelist is None:
+        return segments.sentences(texts, doc, text, breakers, LONGEST_WORD)
     found = pieces(paragraphs(texts, doc, text), breakers).where("is_word").where(F.octet_length("piece") <= LONGEST_WORD)
     found = found.select("doc", "para", "n", "sent", F.col("start").cast("bigint").alias("start"), indexed_form(F.col("piece")).alias("token")).where("token <> ''")
-    if whitelist is not None:
-        found = found.join(whitelist, "token", "left_semi")
+    found = found.join(whitelist, "token", "left_semi")
     listed = found.groupBy("doc", "para", "sent").agg(F.array_sort(F.collect_list(F.struct("n", "start", "token", fold(F.col("token")).alias("norm")))).alias("_l"))
     tokens = F.transform("_l", lambda x, i: F.struct((i + 1).cast("int").alias("pos"), x["start"].alias("start"), x["token"].alias("token"), x["norm"].alias("norm")))
     one = F.lit(1)
@@ -63,6 +66,8 @@ def sentences(texts: DataFrame, doc: str = "doc_id", text: str = "text", breaker
 
 def words(texts: DataFrame, doc: str = "doc_id", text: str = "text", breakers: tuple[str, ...] = (), whitelist: DataFrame | None = None) -> DataFrame:
     """The words table of plain texts: sentences(), a row for each word."""
+    if whitelist is None:
+        return segments.words(texts, doc, text, breakers, LONGEST_WORD)
     rows = sentences(texts, doc, text, breakers, whitelist)
     return rows.select(*(c for c in rows.columns if c != "tokens"), F.explode("tokens").alias("_t")).select(*(c for c in rows.columns if c != "tokens"), "_t.*")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from corpuslens.operators import collocation, load
 from corpuslens.operators import search as s
 from corpuslens.sources import markup, plain_text
+from corpuslens.store import from_sentences
 
 DOCS = [(1, "The cat sat. The cat saw the dog!\nA dog ran 12 miles; the cat slept."), (2, "Été: le chat dort. Dr. Smith paid 3.50 for a cat. the dog barked"), (3, None), (4, "")]
 
@@ -53,6 +54,30 @@ def test_paragraph_level(words):
     assert s.search(words, "sat dog", "sentence", ordered=False).count() == 0
 
 
+ODD = ["a.b A1. X 3. de", "x. Y &amp;c &lt; b;1.\n\n1a. Z \u0130 \u01301. X..", "\u03a3\u03c3. e\u0301te\u0301 \u00bd1\u0663! \U00010400b? \u6f22\u5b57.\r\nq\tr", "\n\n1 2 3", "a" * 201 + " b. " + "\u00e9" * 101 + " C", "&;. ;a& b1;c", ""]
+
+
+def test_batches_follow_the_rules(spark):
+    """Segmentation of batches and by expressions, which a whitelist of all words takes."""
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*ODD, None, *ODD])], "doc_id long, text string")
+    narrow = plain_text.words(docs)
+    key = lambda rows: sorted(map(tuple, rows.select(*narrow.columns).collect()))
+    assert key(narrow) == key(plain_text.words(docs, whitelist=narrow.select("token").distinct())) == key(from_sentences(plain_text.sentences(docs))) != []
+    for rows in (narrow, plain_text.sentences(docs)):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_are_summed_from_below(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    held = plain_text.sentences(docs)
+    by_level = load.counts_by_level(held)
+    assert sorted(map(str, by_level.collect())) == sorted(map(str, plain_text.words(docs).rollup("doc", "para", "sent").agg(F.count("*").alias("n")).collect()))
+    assert load.counts_by_level(held.where("doc < 0")).count() == 0 and "Expand" not in by_level._jdf.queryExecution().executedPlan().toString()
+    forms = load.normal_forms(spark.createDataFrame([("ete", "été"), ("ete", "ete"), ("ete", "été")], "norm string, token string"))
+    assert [tuple(r) for r in forms.collect()] == [("ete", "ete,été", 3)]
+    assert "collect_set" not in forms._jdf.queryExecution().executedPlan().toString()
+
+
 def test_whitelist_takes_no_position(spark):
     docs = spark.createDataFrame(DOCS[:1], "doc_id long, text string")
     only = spark.createDataFrame([("cat",), ("saw",)], "token string")
