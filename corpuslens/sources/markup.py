@@ -36,6 +36,8 @@ HEADINGS = {"h1": 1, "h2": 2, "h3": 3}
 SKIPPED = frozenset("teiheader head_html script style".split())
 PAGE, LINE, REF, GRAPHIC = frozenset(["pb"]), frozenset(["l", "lb"]), frozenset(["ref"]), frozenset(["graphic", "figure"])
 MAX_DEPTH = 3
+#: Rows that go to Spark at once.
+BATCH_ROWS = 8192
 ROWS = "doc bigint, kind string, name string, div1 int, div2 int, div3 int, para int, sent int, pos int, page int, start bigint, end bigint, token string, norm string, head string, attrs map<string,string>"
 
 
@@ -248,12 +250,24 @@ def parsed(df: DataFrame, doc: str, text: str, is_html: bool = False) -> DataFra
 
     schema = to_arrow_schema(StructType.fromDDL(ROWS))
 
+    names = [f.name for f in schema if f.name not in ("doc", "attrs")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
             for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [r | {"doc": doc_id, "attrs": list(r["attrs"].items())} for r in parse(body, is_html)]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                for row in parse(body, is_html):
+                    row["doc"] = doc_id
+                    held.append(row)
+                    if len(held) >= BATCH_ROWS:
+                        yield packed(held)
+                        held = []
+        if held:
+            yield packed(held)
+
+    def packed(rows: list[dict]) -> pa.RecordBatch:
+        columns = {name: [r[name] for r in rows] for name in ["doc", *names]} | {"attrs": [list(r["attrs"].items()) for r in rows]}
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
     return df.select(F.col(doc).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, ROWS)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +48,20 @@ def header_fields(column: str, fields: dict[str, tuple[str, ...]] = TEI_HEADER)
     return tei_header(column, fields, F.regexp_extract(F.col(column), HEADER, 1))
 
 
+def _at_path(text: Column, path: str) -> Column:
+    """The text at a path; a header that lacks one of the path's elements isn't parsed for it."""
+    there = F.lit(True)
+    for element in re.findall(r"/([A-Za-z]+)", path):
+        there = there & text.contains(f"<{element}")
+    return F.when(there, F.xpath_string(text, F.lit(path)))
+
+
 def tei_header(column: str, fields: dict[str, tuple[str, ...]] = TEI_HEADER, header: Column | None = None) -> list[Column]:
     """Fields of the well-formed header in a column, or in ``header``; dates must contain a digit."""
     text = F.col(column) if header is None else F.nullif(header, F.lit(""))
     out = []
     for name, paths in fields.items():
-        values = [F.nullif(F.trim(F.xpath_string(text, F.lit(p))), F.lit("")) for p in paths]
+        values = [F.nullif(F.trim(_at_path(text, p)), F.lit("")) for p in paths]
         if name in DATE_FIELDS:
             values = [F.when(v.rlike(r"\d"), v) for v in values]
         out.append(F.coalesce(*values).alias(name))

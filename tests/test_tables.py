@@ -43,6 +43,12 @@ def test_headers(spark):
     assert html.select(tables.dublin_core(F.col("h")).alias("m")).first().m == {"creator": "X", "date": "2"}
 
 
+def test_paths_that_a_header_lacks_are_not_parsed(spark):
+    found = spark.createDataFrame([("<h><titleStmt><title>T</title></titleStmt></h>",), ("<h><publicationStmt><idno>7</idno></publicationStmt><b></h>",)], "h string")
+    # the second header isn't well-formed, which only the fields that it names could notice
+    assert [r.title for r in found.select(tables.tei_header("h", {"title": tables.TEI_HEADER["title"]})[0]).collect()] == ["T", None]
+
+
 def test_bibliography(spark, tmp_path):
     (tmp_path / "b.tsv").write_text("filename\tyear\na.txt\t1850\nb.txt\tx\n")
     assert [r.year for r in tables.bibliography(spark, str(tmp_path / "b.tsv")).orderBy("filename").collect()] == [1850, 0]

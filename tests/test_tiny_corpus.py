@@ -182,3 +182,10 @@ def test_html_divisions_and_empty_input():
 def test_census_difference(spark):
     census = lambda text: markup.tag_census(spark.createDataFrame([(text,)], "html string"), "html")
     assert {r.tag: (r.starts, r.ends, r.flags) for r in markup.census_difference(census("<p>a</p><p><b>x</b>"), census("<b>y</b>")).collect()} == {"p": (2, 1, "*")}
+
+
+def test_parsed_rows_of_many_texts_share_batches(spark):
+    texts = [(k, f"<TEI><text><body><div1><p>Some words, {'more ' * k}here.</p></div1></body></text></TEI>") for k in range(12)]
+    rows = markup.parsed(spark.createDataFrame(texts, "doc long, text string").coalesce(1), "doc", "text")
+    got = sorted((r.doc, r.start, r.kind, r.name) for r in rows.collect())
+    assert got == sorted((k, r["start"], r["kind"], r["name"]) for k, t in texts for r in markup.parse(t))
