@@ -106,7 +106,7 @@ class Database:
         return collocation.over_periods(reports.with_metadata(by_doc, self.corpus.docs, year), year, period)
 
     def word_property_counts(self, r: SearchRequest, name: str) -> DataFrame:
-        return collocation.property_counts(s.search(self.corpus.words, r.q, within=self._within(r)), self.corpus.words, name)
+        return collocation.query_properties(self.corpus.words, r.q, name, self._within(r))
 
     def hits_with_property(self, r: SearchRequest, name: str, value: str) -> DataFrame:
         return s.search(collocation.with_property(self.corpus.words, name, value), r.q, within=self._within(r))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.stats import log_odds_z
-from corpuslens.operators.search import inside
+from corpuslens.operators.load import lemmatised
+from corpuslens.operators.search import inside, postings, search
 from corpuslens.plans.predicates import word_group
 from corpuslens.plans.syntax import Group, group_terms, parse_query, split_phrases
 from corpuslens.schema import SENTENCE
@@ -234,7 +235,19 @@ def over_periods(counts: DataFrame, year: str, period: int, top: int = 100) -> D
 
 def property_counts(hits: DataFrame, words: DataFrame, name: str) -> DataFrame:
     """Hits of each value of a word attribute, or each lemma; without a value NULL."""
-    value = F.col("lemma") if name == "lemma" else F.col("attrs")[name]
-    own = words.select(*SENTENCE, F.col("pos").alias("at"), value.alias("value"))
+    own = words.select(*SENTENCE, F.col("pos").alias("at"), _property(name).alias("value"))
     found = hits.select(*SENTENCE, F.col("positions")[0].alias("at")).join(own, [*SENTENCE, "at"])
     return found.groupBy(F.coalesce("value", F.lit("NULL")).alias("value")).agg(F.count("*").alias("n"))
+
+
+def _property(name: str) -> Column:
+    return F.col("lemma") if name == "lemma" else F.col("attrs")[name]
+
+
+def query_properties(words: DataFrame, query: str, name: str, within: DataFrame | None = None) -> DataFrame:
+    """property_counts() of a query's hits.  A hit of a single word is that word's row, so nothing is joined for it."""
+    groups = split_phrases(group_terms(parse_query(query)))
+    if len(groups) != 1:
+        return property_counts(search(words, query, within=within), words, name)
+    found = postings(words if within is None else inside(words, within), groups[0])
+    return found.groupBy(F.coalesce(_property(name), F.lit("NULL")).alias("value")).agg(F.count("*").alias("n"))

@@ -95,6 +95,22 @@ def test_lemmas_and_attributes(spark, words):
     assert {r.token for r in near.collect()} == {"dog:pos:NOUN"}
 
 
+def test_properties_of_single_words_join_nothing(spark, words):
+    rich = words.withColumn("attrs", F.when(F.length("token") > 3, F.create_map(F.lit("size"), F.lit("long"))).otherwise(F.create_map().cast("map<string,string>")))
+    some = spark.createDataFrame([(1,)], "doc long")
+    for q, within in (("the | s.*", None), ("the | s.*", some), ("the cat", None), ("", None)):
+        got = collocation.query_properties(rich, q, "size", within)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, collocation.property_counts(s.search(rich, q, within=within), rich, "size").collect()))
+    assert "Join" not in collocation.query_properties(rich, "s.*", "size")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lemmas_meet_the_words_once(spark):
+    lemmas = spark.createDataFrame([("Cats", "Felix"), ("cats", "cat"), ("SAW", "tool"), ("gone", None), (None, "x")], "word string, lemma string")
+    rows = load.lemmatised(spark.createDataFrame([("Cats",), ("CATS",), ("cats",), ("SAW",), ("Saw",), ("gone",)], "token string"), lemmas)
+    assert {r.token: r.lemma for r in rows.collect()} == {"Cats": "Felix", "CATS": "cat", "cats": "cat", "SAW": "tool", "Saw": "saw", "gone": "gone"}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 @pytest.mark.parametrize("a, b", [("nation", "nation"), ("nation", "ration"), ("", ""), ("abc", ""), ("kitten", "sitting"), ("aab", "aba")])
 def test_indel_ratio(a, b):
     row = list(range(len(b) + 1))
