@@ -64,6 +64,18 @@ def sentences(texts: DataFrame, doc: str = "doc_id", text: str = "text", breaker
     return listed.select("doc", one.alias("div1"), one.alias("div2"), one.alias("div3"), "para", "sent", tokens.alias("tokens"))
 
 
+def frequencies(texts: DataFrame, doc: str = "doc_id", text: str = "text", breakers: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc, token, n): how often words() has a word in each document.
+
+    A narrow map, as a document is one text; a job over the ids looks whether
+    one comes again, and only then the counts are summed by document.
+    """
+    rows = segments.frequencies(texts, doc, text, breakers, LONGEST_WORD)
+    if texts.groupBy(doc).count().where("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("doc", "token").agg(F.sum("n").alias("n"))
+
+
 def words(texts: DataFrame, doc: str = "doc_id", text: str = "text", breakers: tuple[str, ...] = (), whitelist: DataFrame | None = None) -> DataFrame:
     """The words table of plain texts: sentences(), a row for each word."""
     if whitelist is None:

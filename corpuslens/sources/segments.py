@@ -172,6 +172,19 @@ def sentences(texts: DataFrame, doc: str, text: str, breakers: tuple[str, ...],
     return _mapped(texts, doc, text, StructType([*_key(texts, doc), StructField("tokens", ArrayType(TOKEN))]), make)
 
 
+def frequencies(texts: DataFrame, doc: str, text: str, breakers: tuple[str, ...], longest: int) -> DataFrame:
+    """Rows (doc, token, n), a text's distinct words; a narrow map."""
+
+    def make(ids: pa.Array, bodies: list[str]) -> list[pa.Array]:
+        x = segmented(bodies, breakers, longest)
+        forms = x["tokens"].dictionary_encode()  # pieces that differ in case are one word
+        size = max(len(forms.dictionary), 1)
+        found, n = np.unique(x["at"] * size + forms.indices.to_numpy()[x["index"].to_numpy()], return_counts=True)
+        return [ids.take(pa.array(found // size)), forms.dictionary.take(pa.array(found % size)), pa.array(n)]
+
+    return _mapped(texts, doc, text, StructType([_key(texts, doc)[0], StructField("token", StringType()), StructField("n", LongType())]), make)
+
+
 def words(texts: DataFrame, doc: str, text: str, breakers: tuple[str, ...], longest: int) -> DataFrame:
     """Rows (keys, pos, start, token, norm), one a word, in short runs that are sorted by norm: stored so, a term's scan skips the pages of the files that don't have it; a narrow map."""
 

@@ -67,6 +67,17 @@ def test_batches_follow_the_rules(spark):
         assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_frequencies_of_documents_are_a_narrow_map(spark):
+    texts = [(k, t) for k, t in enumerate([*ODD, None, "The the THE &the; a", *ODD])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = lambda d: sorted(map(tuple, load.object_frequencies(plain_text.words(d)).collect()))
+    rows = plain_text.frequencies(docs)
+    assert sorted(map(tuple, rows.collect())) == want(docs) != []
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    again = docs.unionByName(spark.createDataFrame([(1, "a b a"), (None, "a"), (None, "a")], docs.schema)).repartition(3)
+    assert sorted(map(str, plain_text.frequencies(again).collect())) == sorted(map(str, load.object_frequencies(plain_text.words(again)).collect()))
+
+
 def test_counts_are_summed_from_below(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     held = plain_text.sentences(docs)
