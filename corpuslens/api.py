@@ -70,12 +70,8 @@ class Database:
         words, without = self.corpus.words, None
         if filter_words or choice == "stopwords":
             without = collocation.filter_list(words, choice, filter_words, stopwords, by)
-        if by == "token" and attribute is None:
-            counts = collocation.counted(collocation.near(self.corpus.sentences, r.q, distance, self._within(r)), without=without, own=self._own(r))
-        elif attribute is None:
-            counts = collocation.collocates(s.search(words, r.q, within=self._within(r)), words, distance, without, self._own(r), by)
-        else:
-            counts = collocation.around(s.search(words, r.q, within=self._within(r)), words, distance, attribute).groupBy("token").agg(F.count("*").alias("n"))
+        near = collocation.near(self.corpus.sentences, r.q, distance, self._within(r), by=by, attribute=attribute)
+        counts = collocation.counted(near, without=without, own=self._own(r)) if attribute is None else collocation.counted(near)
         return counts.orderBy(F.col("n").desc(), "token").limit(100)
 
     def _by_group(self, r: SearchRequest, by: str, distance: int | None = None) -> DataFrame:

@@ -28,15 +28,16 @@ def metadata(index: DataFrame, field: str, text: str, limit: int = 100) -> DataF
 
 
 def keys(words: DataFrame, text: str, limit: int = 100) -> DataFrame:
-    """Rows (completion, freq): word:attribute:value and lemma:form[:attribute:value] keys that the last token of a query begins, most frequent first."""
+    """Rows (completion, freq): word:attribute:value and lemma:form[:attribute:value] keys that the last token of a query begins, most frequent first; of words, or of their counts (freq)."""
     tokens = parse_query(text)
+    n = F.sum("freq") if "freq" in words.columns else F.count("*")
     if not tokens or tokens[-1][0] not in ("LEMMA", "LEMMA_ATTR", "ATTR"):
         return words.where(F.lit(False)).select(F.col("token").alias("completion"), F.lit(0).cast("bigint").alias("freq"))
     kind, want = tokens[-1]
     form = F.concat(F.lit("lemma:"), "lemma") if kind in ("LEMMA", "LEMMA_ATTR") else F.col("token")
     pairs = F.transform(F.map_entries("attrs"), lambda e: F.concat_ws(":", form, e["key"], e["value"])) if "attrs" in words.columns else F.array().cast("array<string>")
-    every = words.select(F.explode(F.concat(F.array(form), pairs) if kind == "LEMMA" else pairs).alias("completion"))
-    return every.where(matches(F.col("completion"), want) if METACHARACTERS.search(want) else F.col("completion").startswith(want)).groupBy("completion").agg(F.count("*").alias("freq")).orderBy(F.col("freq").desc(), "completion").limit(limit)
+    every = words.select(*(["freq"] if "freq" in words.columns else []), F.explode(F.concat(F.array(form), pairs) if kind == "LEMMA" else pairs).alias("completion"))
+    return every.where(matches(F.col("completion"), want) if METACHARACTERS.search(want) else F.col("completion").startswith(want)).groupBy("completion").agg(n.alias("freq")).orderBy(F.col("freq").desc(), "completion").limit(limit)
 
 
 def highlighted(values: DataFrame, text: str, column: str = "value") -> DataFrame:

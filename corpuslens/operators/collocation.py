@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,28 +38,37 @@ def single_group(query: str) -> Group:
     return groups[0]
 
 
-def near(sentences: DataFrame, query: str, distance: int | None = None, within: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (*keep, token, norm, m): the words around a single word's hits, with how many hits each stands by.
+def near(sentences: DataFrame, query: str, distance: int | None = None, within: DataFrame | None = None, keep: tuple[str, ...] = (), by: str = "token", attribute: tuple[str, str] | None = None) -> DataFrame:
+    """Rows (*keep, token, norm, m): the words (``by``: their lemmas) around a single word's hits, with how many hits each stands by.
 
     A narrow scan of the sentence layout.  Without a ``distance`` each word of
     a sentence counts once, weighed by the hits beside itself, so the work is
     linear in a sentence's length; with one, only the words that near are
     looked at.  ``within`` restricts to objects; ``keep``: columns of the
-    sentences (doc, or what was joined to them).
+    sentences (doc, or what was joined to them).  With an ``attribute`` (name,
+    value) only words that have it are given, named word:name:value.
     """
+    held = (F.col(f"_t.{by}").alias("token"), "_t.norm", *(["_t.attrs"] if attribute else []))
+    given = partial(with_attribute, attribute=attribute) if attribute else lambda rows: rows
     group = single_group(query)
     is_hit = lambda x: word_group(group, False, x.getField)
     rows = (inside(sentences, within) if within is not None else sentences).where(F.exists("tokens", is_hit))
     if distance is None:
         counted_once = rows.select(*keep, F.size(F.filter("tokens", is_hit)).alias("_h"), "tokens")  # before the words go apart
         words = counted_once.select(*keep, "_h", F.explode("tokens").alias("_t"))
-        out = words.select(*keep, "_t.token", "_t.norm", (F.col("_h") - F.when(is_hit(F.col("_t")), 1).otherwise(0)).alias("m"))
-        return out.where("m > 0")
+        out = words.select(*keep, *held, (F.col("_h") - F.when(is_hit(F.col("_t")), 1).otherwise(0)).alias("m"))
+        return given(out.where("m > 0"))
     at = F.filter(F.transform("tokens", lambda x: F.when(is_hit(x), x["pos"])), lambda p: p.isNotNull())
     hits = rows.select(*keep, "tokens", F.explode(at).alias("_p"))
     first = F.greatest(F.col("_p") - distance, F.lit(1))
     words = F.filter(F.slice("tokens", first, F.col("_p") + distance + 1 - first), lambda x: x["pos"] != F.col("_p"))
-    return hits.select(*keep, F.explode(words).alias("_t")).select(*keep, "_t.token", "_t.norm", F.lit(1).alias("m"))
+    return given(hits.select(*keep, F.explode(words).alias("_t")).select(*keep, *held, F.lit(1).alias("m")))
+
+
+def with_attribute(rows: DataFrame, attribute: tuple[str, str]) -> DataFrame:
+    """Rows of near() with attrs: those that have the attribute, the words named word:name:value."""
+    name, value = attribute
+    return rows.where(F.col("attrs")[name] == value).withColumn("token", F.concat_ws(":", F.lower("token"), F.lit(name), F.lit(value))).drop("attrs")
 
 
 def filter_list(words: DataFrame, choice: str = "frequency", n: int = 100, stopwords: DataFrame | None = None, by: str = "token") -> DataFrame:
@@ -94,7 +105,17 @@ def near_by_group(sentences: DataFrame, docs: DataFrame, query: str, field: str,
 
 def frequent(words: DataFrame, n: int = 100) -> DataFrame:
     """The n most frequent words; ties by the word."""
-    return words.groupBy("token").agg(F.count("*").alias("freq")).orderBy(F.col("freq").desc(), "token").limit(n).select("token")
+    return most(words.groupBy("token").agg(F.count("*").alias("n")), n)
+
+
+def most(counts: DataFrame, n: int) -> DataFrame:
+    """Rows (token): the n largest of counts (token, n); ties by the word."""
+    return counts.orderBy(F.col("n").desc(), "token").limit(n).select("token")
+
+
+def by_lemma(counts: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """Counts (token, n) of words summed by their lemmas, rows (word, lemma); those meet counts, not occurrences."""
+    return lemmatised(counts, lemmas).groupBy(F.col("lemma").alias("token")).agg(F.sum("n").alias("n"))
 
 
 def collocates(hits: DataFrame, words: DataFrame, distance: int | None = None, without: DataFrame | None = None, own: tuple[str, ...] = (), by: str = "token") -> DataFrame:

@@ -5,10 +5,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.operators import collocation, load
+from corpuslens.operators import autocomplete, collocation, load
 from corpuslens.operators import search as s
 from corpuslens.sources import markup, plain_text
-from corpuslens.store import from_sentences
+from corpuslens.store import from_sentences, in_sentences
 
 DOCS = [(1, "The cat sat. The cat saw the dog!\nA dog ran 12 miles; the cat slept."), (2, "Été: le chat dort. Dr. Smith paid 3.50 for a cat. the dog barked"), (3, None), (4, "")]
 
@@ -134,6 +134,24 @@ def test_properties_of_single_words_join_nothing(spark, words):
     assert "Join" not in collocation.query_properties(rich, "s.*", "size")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_lemmas_and_attributes_near_a_word(spark, words):
+    """Lemmas meet counts, and sentences give words by lemma or attribute as the join of words does."""
+    lemmas = spark.createDataFrame([("sat", "sit"), ("slept", "sit"), ("dog", "cat")], "word string, lemma string")
+    size = F.when(F.length("token") > 3, F.create_map(F.lit("size"), F.lit("long"))).otherwise(F.create_map().cast("map<string,string>"))
+    rich = load.lemmatised(words, lemmas).withColumn("attrs", size)
+    held, rows = in_sentences(rich), lambda df: sorted(map(tuple, df.select("token", "n").collect()))
+    for distance in (None, 2):
+        around = collocation.collocates(s.search(rich, "the"), rich, distance, by="lemma")
+        plain = collocation.counted(collocation.near(in_sentences(words), "the", distance))
+        assert rows(collocation.counted(collocation.near(held, "the", distance, by="lemma"))) == rows(collocation.by_lemma(plain, lemmas)) == rows(around) != []
+        long = collocation.around(s.search(rich, "the"), rich, distance, ("size", "long")).groupBy("token").agg(F.count("*").alias("n"))
+        assert rows(collocation.counted(collocation.near(held, "the", distance, attribute=("size", "long")))) == rows(long) != []
+    counts = load.word_frequencies(words)
+    assert rows(collocation.by_lemma(counts, lemmas)) == rows(rich.groupBy(F.col("lemma").alias("token")).agg(F.count("*").alias("n")))
+    key = lambda df: [tuple(r) for r in autocomplete.keys(df, "lemma:s").collect()]
+    assert key(load.lemmatised(counts.withColumnRenamed("n", "freq"), lemmas).withColumn("attrs", size)) == key(rich) != []
+
+
 def test_lemmas_meet_the_words_once(spark):
     lemmas = spark.createDataFrame([("Cats", "Felix"), ("cats", "cat"), ("SAW", "tool"), ("gone", None), (None, "x")], "word string, lemma string")
     rows = load.lemmatised(spark.createDataFrame([("Cats",), ("CATS",), ("cats",), ("SAW",), ("Saw",), ("gone",)], "token string"), lemmas)
