@@ -11,6 +11,8 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -23,6 +25,13 @@ TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<!
 ATTRIBUTE = re.compile(r"([\w:.-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 PIECE = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:_+[\p{L}\p{M}\p{N}]+)*|[&\p{L};]+|[^\p{L}\p{M}\p{N}&;]+")
 LETTER = regex.compile(r"\p{L}")
+#: What words are indexed without.
+DROPPED = regex.compile(r"[&;_\p{C}]")
+LONGEST_WORD = 200  # bytes
+#: Pieces of up to so many signs are looked at once.
+LONGEST_HELD = 64
+#: What a separator ends: nothing, a sentence unless its surroundings are of a kind, a sentence.
+WEAK, STOP, STRONG = 0, 1, 2
 # What tags are.
 PARAGRAPHS = frozenset("p sp lg note epigraph argument list opener closer stage castlist add ab".split())
 DIVISION = re.compile(r"div([0-7]?)\Z")
@@ -39,6 +48,7 @@ MAX_DEPTH = 3
 #: Rows that go to Spark at once.
 BATCH_ROWS = 8192
 ROWS = "doc bigint, kind string, name string, div1 int, div2 int, div3 int, para int, sent int, pos int, page int, start bigint, end bigint, token string, norm string, head string, attrs map<string,string>"
+WORDS = "doc bigint, div1 int, div2 int, div3 int, para int, sent int, pos int, page int, start bigint, token string, norm string"
 
 
 @dataclass
@@ -218,58 +228,78 @@ def _tag(s: State, name: str, closing: bool, attrs: dict, text: str, m: re.Match
         yield _row(s, kind, attrs.get("n", ""), m.start(), m.end(), pos=s.parallel[kind], attrs=attrs)
 
 
+@lru_cache(maxsize=1 << 16)
+def _piece(raw: str) -> tuple[bool, str, str | int]:
+    """Whether a piece is a word; a word's token, empty if it isn't indexed, and norm; a separator's signs and what it ends."""
+    if LETTER.search(raw):
+        token = DROPPED.sub("", html.unescape(raw).lower()) if len(raw.encode()) <= LONGEST_WORD else ""
+        return True, token, folded(token)
+    return False, raw.strip(), STRONG if "!" in raw or "?" in raw else STOP if "." in raw else WEAK
+
+
 def _text(s: State, chunk: str, at: int) -> Iterator[dict]:
     if not LETTER.search(chunk) and not chunk.strip():
         return
-    pieces = list(PIECE.finditer(chunk))
-    for k, m in enumerate(pieces):
-        raw = m[0]
-        if LETTER.search(raw):
-            token = regex.sub(r"[&;_\p{C}]", "", html.unescape(raw).lower())
+    pieces = PIECE.findall(chunk)  # which leave no sign out
+    key = s.key()
+    for k, raw in enumerate(pieces):
+        start, at = at, at + len(raw)
+        is_word, token, more = _piece(raw) if len(raw) <= LONGEST_HELD else _piece.__wrapped__(raw)
+        if is_word:
             s.last = raw
-            if not token or len(raw.encode()) > 200:
+            if not token:
                 continue
             if s.para == 0:
-                yield from _new_para(s, at + m.start())
-                yield _row(s, "para", "__virtual", at + m.start(), at + m.start())
+                yield from _new_para(s, start)
+                yield _row(s, "para", "__virtual", start, start)
+                key = s.key()
             s.pos += 1
-            yield _row(s, "word", token, at + m.start(), at + m.end(), sent=s.sent, pos=s.pos, token=token, norm=folded(token))
+            yield {"kind": "word", "name": token, **key, "sent": s.sent, "pos": s.pos, "page": s.page, "start": start, "end": at, "token": token, "norm": more, "head": None, "attrs": {}}
             continue
-        follows = pieces[k + 1][0] if k + 1 < len(pieces) else ""
-        ends = "!" in raw or "?" in raw or "." in raw and not (len(s.last) < 3 and re.search("[A-Z0-9]", s.last)) and not (follows.islower() or follows.isdigit())
-        if sign := raw.strip():
-            yield _row(s, "punct", sign, at + m.start(), at + m.end(), sent=s.sent)
+        follows = pieces[k + 1] if k + 1 < len(pieces) else ""
+        ends = more == STRONG or more == STOP and not (len(s.last) < 3 and re.search("[A-Z0-9]", s.last)) and not (follows.islower() or follows.isdigit())
+        if token:
+            yield _row(s, "punct", token, start, at, sent=s.sent)
         if ends and not s.own_sentences and not s.in_lines:
             _new_sentence(s)
 
 
 def parsed(df: DataFrame, doc: str, text: str, is_html: bool = False) -> DataFrame:
     """Rows of ROWS for all documents; a narrow map."""
+    return _mapped(df, doc, text, is_html, ROWS)
+
+
+def parsed_words(df: DataFrame, doc: str, text: str, is_html: bool = False) -> DataFrame:
+    """words_of() what is parsed; no other rows or columns leave the parser."""
+    return _mapped(df, doc, text, is_html, WORDS, "word")
+
+
+def _mapped(df: DataFrame, doc: str, text: str, is_html: bool, ddl: str, kind: str | None = None) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL(ROWS))
-
-    names = [f.name for f in schema if f.name not in ("doc", "attrs")]
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    columns = itemgetter(*(f.name for f in schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[tuple] = []
         for batch in batches:
             for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for row in parse(body, is_html):
-                    row["doc"] = doc_id
-                    held.append(row)
-                    if len(held) >= BATCH_ROWS:
-                        yield packed(held)
-                        held = []
+                    if kind is None or row["kind"] == kind:
+                        row["doc"] = doc_id
+                        held.append(columns(row))
+                        if len(held) >= BATCH_ROWS:
+                            yield packed(held)
+                            held = []
         if held:
             yield packed(held)
 
-    def packed(rows: list[dict]) -> pa.RecordBatch:
-        columns = {name: [r[name] for r in rows] for name in ["doc", *names]} | {"attrs": [list(r["attrs"].items()) for r in rows]}
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        listed = ([list(v.items()) for v in column] if f.name == "attrs" else column for f, column in zip(schema, zip(*rows)))
+        return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(listed, schema)], schema=schema)
 
-    return df.select(F.col(doc).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, ROWS)
+    return df.select(F.col(doc).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, ddl)
 
 
 def words_of(rows: DataFrame) -> DataFrame:

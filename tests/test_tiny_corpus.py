@@ -253,3 +253,18 @@ def test_parsed_rows_of_many_texts_share_batches(spark):
     rows = markup.parsed(spark.createDataFrame(texts, "doc long, text string").coalesce(1), "doc", "text")
     got = sorted((r.doc, r.start, r.kind, r.name) for r in rows.collect())
     assert got == sorted((k, r["start"], r["kind"], r["name"]) for k, t in texts for r in markup.parse(t))
+
+
+def test_words_leave_the_parser_alone(spark):
+    """Only words do, the same as of all rows; a piece that comes again isn't looked at again."""
+    texts = [(1, TEI), (2, PLAY), (3, None), (4, "<p>&eacute;t&eacute; a&b; " + "x" * 201 + " " + "." * 90 + "! Dr. no 1. b. x? _&; </p>")]
+    df = spark.createDataFrame(texts, "doc bigint, text string")
+    for is_html in (False, True):
+        got = markup.parsed_words(df, "doc", "text", is_html)
+        want = markup.words_of(markup.parsed(df, "doc", "text", is_html))
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    list(markup.parse("<p>" + "again and again. " * 50))
+    before = markup._piece.cache_info().misses
+    list(markup.parse("<p>" + "again and again. " * 50))
+    assert markup._piece.cache_info().misses == before
