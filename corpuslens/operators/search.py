@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import folded
-from corpuslens.plans.predicates import is_plain, word_group
+from corpuslens.operators.load import forms_asked, lemma_forms, with_lemmas
+from corpuslens.plans.predicates import asks_lemma, is_plain, word_group
 from corpuslens.plans.syntax import METACHARACTERS, Group, group_terms, parse_query, resolve_method, split_phrases
 from corpuslens.schema import KEYS, SENTENCE, keys_of
+from corpuslens.store import kept
 
 
 def postings(words: DataFrame, group: Group, anchored: bool = False) -> DataFrame:
@@ -46,6 +48,22 @@ def near_postings(lexicon: DataFrame, ratio: float) -> Callable[..., DataFrame]:
     return near
 
 
+def lemma_postings(lemmas: DataFrame) -> Callable[..., DataFrame]:
+    """Like postings(), of words without a lemma, which has to come from lemma rows (word, lemma).
+
+    Only forms that may have a lemma of the group's meet the words.  They are
+    stored first, so that their size is known when the join is planned, and
+    few forms go to the words instead of all words to the forms.
+    """
+
+    def of(words: DataFrame, group: Group, anchored: bool = False) -> DataFrame:
+        asked = asks_lemma(group)
+        rows = with_lemmas(words, kept(forms_asked(lemma_forms(lemmas), asked), "forms")) if asked else words
+        return postings(rows, group, anchored)
+
+    return of
+
+
 def _hits(rows: DataFrame, key: tuple[str, ...], n: int) -> DataFrame:
     spots = F.array_sort(F.array(*(F.struct(F.col(f"p{i}").alias("pos"), F.col(f"s{i}").alias("start")) for i in range(n))))
     out = rows.select(*key, spots.alias("spots"))

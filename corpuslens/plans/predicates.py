@@ -38,6 +38,11 @@ def _either(tests: list[Column]) -> Column:
     return out
 
 
+def is_form(c: Column, text: str) -> Column:
+    """Whether a value is a form, or as a whole a match of a pattern."""
+    return matches(c, text, True) if METACHARACTERS.search(text) else c == text
+
+
 def word_token(token: Token, anchored: bool = False, get: Callable[[str], Column] = F.col) -> Column:
     """The test of a word by one token; ``get`` gives the word's columns, those of a row or of a struct."""
     kind, value = token
@@ -48,7 +53,7 @@ def word_token(token: Token, anchored: bool = False, get: Callable[[str], Column
         parts = value.split(":")
         head = get("lemma") if parts[0] == "lemma" else get("token")
         rest = parts[1:] if parts[0] == "lemma" else parts
-        test = matches(head, rest[0], True) if METACHARACTERS.search(rest[0]) else head == rest[0]
+        test = is_form(head, rest[0])
         return test & (get("attrs")[rest[1]] == rest[2]) if len(rest) == 3 else test & (F.lit(True) if len(rest) == 1 else F.array_contains(F.map_values(get("attrs")), rest[1]))
     text = folded(value)
     return matches(get("norm"), text, anchored) if METACHARACTERS.search(text) else get("norm") == text
@@ -63,6 +68,12 @@ def word_group(group: Group, anchored: bool = False, get: Callable[[str], Column
     return test & ~_either([word_token(t, anchored, get) for t in group.none_of]) if group.none_of else test
 
 
+def asks_lemma(group: Group) -> Callable[[Column], Column] | None:
+    """The test whether a value is one of the lemmas that a group names, to take or to leave out; None if it names none."""
+    named = sorted({v.split(":")[1] for k, v in (*group.any_of, *group.none_of) if k in ("LEMMA", "LEMMA_ATTR")})
+    return (lambda c: _either([is_form(c, x) for x in named])) if named else None
+
+
 def is_plain(group: Group) -> bool:
     return not group.none_of and all(k == "TERM" and not METACHARACTERS.search(v) for k, v in group.any_of)
 

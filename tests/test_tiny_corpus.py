@@ -159,6 +159,18 @@ def test_lemmas_meet_the_words_once(spark):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
+@pytest.mark.parametrize("query", ["lemma:cat", "lemma:s.*", "lemma:.*", "lemma:saw", "lemma:Cat", "lemma:tool", "lemma:none", "cat NOT lemma:cat", "dog | lemma:sit", "dog | lemma:sit NOT lemma:cat", "lemma:.* NOT lemma:s.*", "dog | cat NOT lemma:none", "lemma:cat:size:long", "lemma:sit:long", "the lemma:cat", "the cat"])
+def test_lemmas_from_asked_forms(spark, words, query):
+    """The forms that a query asks for give the hits that words with every lemma do."""
+    lemmas = spark.createDataFrame([("sat", "sit"), ("slept", "sit"), ("dog", "cat"), ("saw", "tool"), ("Cat", "Cat"), ("CAT", "cat"), ("Barked", "bark"), ("the", "the"), ("the", "a"), ("ran", None), (None, "cat")], "word string, lemma string")
+    cased = words.withColumn("token", F.when(F.col("sent") == 2, F.initcap("token")).otherwise(F.col("token")))
+    sized = cased.withColumn("attrs", F.when(F.length("token") > 3, F.create_map(F.lit("size"), F.lit("long"))).otherwise(F.create_map().cast("map<string,string>")))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    found = rows(s.search(sized, query, pick=s.lemma_postings(lemmas)))
+    assert found == rows(s.search(load.lemmatised(sized, lemmas), query))
+    assert bool(found) == (query not in ("lemma:none", "lemma:saw", "lemma:cat:size:long"))
+
+
 @pytest.mark.parametrize("a, b", [("nation", "nation"), ("nation", "ration"), ("", ""), ("abc", ""), ("kitten", "sitting"), ("aab", "aba")])
 def test_indel_ratio(a, b):
     row = list(range(len(b) + 1))
